@@ -25,8 +25,16 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles reach a Jaccard similarity of 0.9."""
+    from lyrebird.llm.ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, p=90, q=100)
+
+
 _QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
 }
 _ORACLES: dict[str, str] = {}
 
