@@ -72,7 +72,7 @@ class WordEncoder:
                 runs[part] = (part.lower(),)
             else:
                 runs[part] = (part,)
-        need = list({r for rs in runs.values() for r in rs} - self._runs.keys())
+        need = list({r for rs in runs.values() for r in rs if r not in self._runs})
         if len(self._runs) + len(need) > 2 * CACHE_ENTRIES:
             self._runs.clear()
             need = list({r for rs in runs.values() for r in rs})
@@ -91,10 +91,10 @@ class WordEncoder:
         out = []
         for at in range(0, len(parts), CACHE_ENTRIES // 4):  # a very long text never asks for more than the cache holds
             some = parts[at : at + CACHE_ENTRIES // 4]
-            missing = set(some) - self._parts.keys()
+            missing = {w for w in some if w not in self._parts}
             if missing:
                 self._learn(missing)
-                missing = set(some) - self._parts.keys()  # words that a full cache has just forgotten
+                missing = {w for w in some if w not in self._parts}  # words that a full cache has just forgotten
                 if missing:
                     self._learn(missing)
             out.append(b"".join(map(self._parts.__getitem__, some)))
