@@ -32,11 +32,45 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, p=90, q=100)
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside occurrences of 13-word benchmark windows."""
+    from lyrebird.llm.decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 13)
+
+
 _QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+}
+_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP9_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS width, array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') AS win
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS i FROM b WHERE len(w) > 0)),
+widths AS (SELECT DISTINCT width FROM bw),
+dw AS (
+  SELECT doc_id, width, i, array_to_string(list_slice(w, i, i + width - 1), ' ') AS win
+  FROM (SELECT doc_id, w, width, unnest(generate_series(1, len(w) - width + 1)) AS i FROM d, widths WHERE len(w) >= width)),
+hits AS (SELECT dw.doc_id, dw.width, dw.i, bw.item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.width = bw.width),
+per AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + width - 1)) AS p FROM hits) GROUP BY doc_id),
+its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
+FROM d LEFT JOIN per ON d.doc_id = per.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+"""
+
+_ORACLES: dict[str, str] = {
+    "op9_benchmark_decontamination": _OP9_SQL,
 }
-_ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Query]:
