@@ -25,6 +25,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 
+#: The contract's rules: (host, path, verdict).
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the longest fitting rule for every page's url."""
+    from lyrebird.llm.urlfilter import judge_urls
+
+    values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    return judge_urls(table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM VALUES {values} AS r(host, path, verdict)"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles reach a Jaccard similarity of 0.9."""
     from lyrebird.llm.ngram_join import jaccard_components
@@ -41,11 +53,25 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 _QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op5_url_filter": op5_url_filter,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 _FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_OP5_SQL = """
+WITH r(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+u AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages)
+SELECT u.page_id, u.host, u.path, max_by(r.host || r.path, len(r.host || r.path)) AS rule,
+  coalesce(max_by(r.verdict, len(r.host || r.path)), 'allow') AS verdict
+FROM u LEFT JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+GROUP BY u.page_id, u.host, u.path
+"""
+
 _OP9_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -69,6 +95,7 @@ FROM d LEFT JOIN per ON d.doc_id = per.doc_id LEFT JOIN its ON d.doc_id = its.do
 """
 
 _ORACLES: dict[str, str] = {
+    "op5_url_filter": _OP5_SQL,
     "op9_benchmark_decontamination": _OP9_SQL,
 }
 
