@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,79 +35,73 @@ _PACKED_ARROW = pa.schema([*_PIECES_ARROW, ("sequence_id", pa.int64()), ("offset
 #: Rows that one packing task holds at most, about; 60 bytes each.
 ROWS_PER_TASK = 200_000
 #: Entries kept in a worker's caches of encoded words.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 500_000
 
 
-class WordEncoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes, through caches of words.
+class WordEncoder(dict):
+    """Token ids of texts as unsigned 32-bit bytes in the machine's order (little-endian on all of Spark's platforms); as a dict, of the parts between blanks.
 
     The tokenizer drops white space and no token spans it, so a text's ids are the ids of its parts between
-    spaces and line feeds, in order. A part of Latin letters followed by other ASCII marks (no apostrophe, which starts
-    contractions) is again the ids of both runs, as the pre-tokenizer splits there.
+    spaces and line feeds, in order. A part of Latin letters that is followed by nothing or by other ASCII marks (no
+    apostrophe, which starts contractions, and no sign of a special token) is again the ids of both runs, as the
+    pre-tokenizer splits there; these runs go to the model at once, in lower case and with bytes as the byte-level
+    step spells them. All other parts take the tokenizer's whole way.
     """
 
-    _TWO_RUNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-;=?@\[-`{}~]+)")
-    _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    _RUNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-;=?@\[-`{}~]*)")
 
     def __init__(self, tokenizer_path: str) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
-        self._parts: dict[str, bytes] = {"": b""}
-        self._runs: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> None:
-        if len(self._runs) + len(texts) > 2 * CACHE_ENTRIES:
-            self._runs.clear()
-        for text, enc in zip(texts, self._tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            self._runs[text] = np.array(enc.ids, "<u4").tobytes()
-
-    def _learn(self, parts: set[str]) -> None:
-        runs: dict[str, tuple[str, ...]] = {}
-        for part in parts:
-            m = self._TWO_RUNS.fullmatch(part)
-            if m:
-                runs[part] = (m[1].lower(), m[2])
-            elif self._LETTERS.fullmatch(part):
-                runs[part] = (part.lower(),)
-            else:
-                runs[part] = (part,)
-        need = list({r for rs in runs.values() for r in rs if r not in self._runs})
-        if len(self._runs) + len(need) > 2 * CACHE_ENTRIES:
-            self._runs.clear()
-            need = list({r for rs in runs.values() for r in rs})
-        self._encode(need)
-        if len(self._parts) + len(runs) > CACHE_ENTRIES:
-            self._parts = {"": b""}
-        for part, rs in runs.items():
-            self._parts[part] = b"".join([self._runs[r] for r in rs])
-
-    def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self._parts.__getitem__, parts))
-        except KeyError:
-            pass
-        out = []
-        for at in range(0, len(parts), CACHE_ENTRIES // 4):  # a very long text never asks for more than the cache holds
-            some = parts[at : at + CACHE_ENTRIES // 4]
-            missing = {w for w in some if w not in self._parts}
-            if missing:
-                self._learn(missing)
-                missing = {w for w in some if w not in self._parts}  # words that a full cache has just forgotten
-                if missing:
-                    self._learn(missing)
-            out.append(b"".join(map(self._parts.__getitem__, some)))
-        return b"".join(out)
+        self._model = self._tokenizer.model
+        self._runs: dict[str, bytes] = {"": b""}
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self._spelled = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def _run(self, run: str) -> bytes:
+        if len(self._runs) >= CACHE_ENTRIES:
+            self._runs = {"": b""}
+        spelled = run if run.isascii() else "".join([self._spelled[b] for b in run.encode()])
+        ids = array("I", [t.id for t in self._model.tokenize(spelled)]).tobytes()
+        self._runs[run] = ids
+        return ids
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        m = self._RUNS.fullmatch(part)
+        if m:
+            letters, marks = m[1].lower(), m[2]
+            ids = (self._runs.get(letters) or self._run(letters)) + (self._runs.get(marks) or marks and self._run(marks) or b"")
+        else:
+            ids = array("I", self._tokenizer.encode(part, add_special_tokens=False).ids).tobytes() if part else b""
+        self[part] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+def worker_encoder(tokenizer_path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker process; its caches have a bound."""
+    import sys
+
+    kept = sys.__dict__.setdefault("_lyrebird_encoders", {})
+    if tokenizer_path not in kept:
+        kept[tokenizer_path] = WordEncoder(tokenizer_path)
+    return kept[tokenizer_path]
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, separator: int = 0) -> DataFrame:
     """One row per piece of at most ``max_tokens`` ids of each document, whose ids end with ``separator``."""
-    width, end = 4 * max_tokens, np.array([separator], "<u4").tobytes()
+    width, end = 4 * max_tokens, array("I", [separator]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer_path)
+        encode = worker_encoder(tokenizer_path).encode
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
