@@ -25,6 +25,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 
+def op3_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 39 with row counts at most one apart."""
+    from lyrebird.llm.ring import shard_rows
+
+    out = shard_rows(table(spark, sf_dir, "documents"), 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 #: The contract's rules: (host, path, verdict).
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -44,6 +52,13 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, p=90, q=100)
 
 
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive every page and read the archive back."""
+    from lyrebird.llm.warc import read_archive, write_archive
+
+    return read_archive(*write_archive(table(spark, sf_dir, "pages"), "html", 1000))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside occurrences of 13-word benchmark windows."""
     from lyrebird.llm.decontam import contamination
@@ -53,8 +68,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 _QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_ring_sharding": op3_ring_sharding,
     "op5_url_filter": op5_url_filter,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op8_warc_archive": op8_warc_archive,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 _FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -72,6 +89,16 @@ FROM u LEFT JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND
 GROUP BY u.page_id, u.host, u.path
 """
 
+_OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS d FROM p),
+w AS (SELECT d, n, max(page_id) AS top FROM h WHERE n >= 1000 GROUP BY d, n)
+SELECT h.page_id, h.n AS payload_bytes, h.d AS payload_digest,
+  CASE WHEN w.top IS NOT NULL AND w.top <> h.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN w.top <> h.page_id THEN w.top END AS refers_to
+FROM h LEFT JOIN w ON h.d = w.d AND h.n = w.n
+"""
+
 _OP9_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -96,6 +123,7 @@ FROM d LEFT JOIN per ON d.doc_id = per.doc_id LEFT JOIN its ON d.doc_id = its.do
 
 _ORACLES: dict[str, str] = {
     "op5_url_filter": _OP5_SQL,
+    "op8_warc_archive": _OP8_SQL,
     "op9_benchmark_decontamination": _OP9_SQL,
 }
 
