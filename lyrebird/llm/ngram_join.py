@@ -8,8 +8,8 @@ past the plain t + 1 where frequent tokens come in, and two similar sets share a
 G grows with the set's size, so that pairs stay proportional to it; a set near a boundary of size classes is
 indexed for both.
 
-Frequencies are counted over all documents, in hash buckets of bounded number; the order, and the frequent
-class, follow the bucket's count. Sets with the same tokens are one node. For each signature the
+Frequencies are counted over all documents, in hash buckets of bounded number; the order follows the bucket's
+count, and a token is rare if its bucket shows that it occurs at most ``RARE`` times. Sets with the same tokens are one node. For each signature the
 smallest node is compared with every other (a star, not all pairs); where that leaves nodes of one signature in
 different components, those pairs are compared too, so that no link between components is lost. Links are
 verified on whole sets.
@@ -36,6 +36,8 @@ from lyrebird.llm.words import WordHashes, mix, shingle_set
 
 #: Buckets of the token frequency table, and with it the rows that reach the driver.
 BUCKET_BITS = 17
+#: Occurrences up to which a token counts as rare, as its bucket proves it.
+RARE = 3
 #: 64-bit words of the Bloom filter of nodes to fetch, at most: 8 MB.
 BLOOM_WORDS = 1 << 20
 
@@ -65,31 +67,19 @@ def token_frequencies(docs: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def frequent_above(counts: np.ndarray) -> float:
-    """A bucket's count over which its tokens count as frequent: clearly more than an even share."""
-    mean = counts.mean()
-    return mean + 4 * mean**0.5 + 16
-
-
 class Signatures:
     """Signatures of a token set under the threshold p/q."""
 
     def __init__(self, counts: np.ndarray, p: int, q: int) -> None:
-        self._counts, self._limit, self._p, self._q = counts, frequent_above(counts), p, q
+        self._counts, self._p, self._q = counts, p, q
 
     def __call__(self, tokens: np.ndarray) -> np.ndarray:
         n, p, q = len(tokens), self._p, self._q
         lost = n - -(-p * n // q)
         count = self._counts[(tokens >> _SHIFT).astype(np.int64)]
-        if n > 4 * (lost + 8):  # only the rarest part matters, as a rule: cut it off before sorting
-            head = np.argpartition(count, 2 * lost + 8)
-            cut = count[head[2 * lost + 8]]
-            keep = count < cut
-            if keep.sum() > lost and cut <= self._limit:
-                tokens, count = tokens[keep], count[keep]
         order = np.lexsort((tokens, count))
-        tokens, frequent = tokens[order], count[order] > self._limit
-        rare = int(len(tokens) - frequent.sum())
+        tokens = tokens[order]
+        rare = int((count <= RARE).sum())
         if rare > lost:
             return tokens[: lost + 1]
         out = [tokens[:rare]]
@@ -99,20 +89,20 @@ class Signatures:
 
     @staticmethod
     def _pairs(tokens: np.ndarray, needed: int, level: int) -> np.ndarray:
-        groups = 1 << (level - 3)
-        kind = ((tokens >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
+        """Pairs within each of 2**(level - 3) classes, over the shortest prefix in which the classes survive ``needed`` losses."""
+        kind = (tokens >> np.uint64(20)) & np.uint64((1 << (level - 3)) - 1)
         by = np.argsort(kind, kind="stable")
-        starts = np.r_[True, kind[by][1:] != kind[by][:-1]]
         later = np.empty(len(tokens), bool)  # not the first of its class: each such token adds one to what the prefix survives
-        later[by] = ~starts
+        later[by[0]] = False
+        later[by[1:]] = kind[by[1:]] == kind[by[:-1]]
         end = int(np.searchsorted(np.cumsum(later), needed)) + 1
         inside = by[by < end]
-        runs = np.split(inside, np.flatnonzero(np.diff(kind[inside])) + 1)
-        out = []
-        for run in runs:
-            i, j = np.triu_indices(len(run), 1)
-            t = tokens[run]
-            out.append(mix(t[i] * np.uint64(3) + mix(t[j]) + np.uint64(level)))
+        token, kind, out = tokens[inside], kind[inside], []
+        for gap in range(1, len(inside)):
+            same = kind[gap:] == kind[:-gap]
+            if not same.any():
+                break
+            out.append(mix(token[:-gap][same] * np.uint64(3) + mix(token[gap:][same]) + np.uint64(level)))
         return np.concatenate(out) if out else tokens[:0]
 
 
