@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _OWN_ROOT: dict[str, str] = {}
@@ -62,3 +63,8 @@ def gather(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
 def input_partitions(df: DataFrame, rows_each: int, n_rows: int, least: int = 1) -> int:
     """Partitions so that each holds about ``rows_each`` rows."""
     return max(least, -(-n_rows // rows_each))
+
+
+def wider(df: DataFrame, name: str, kind: str) -> StructType:
+    """The frame's schema with one more column."""
+    return StructType([*df.schema, *StructType.fromDDL(f"`{name}` {kind}")])

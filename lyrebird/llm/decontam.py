@@ -155,7 +155,8 @@ def _search(index: DataFrame, windows, freq, slack: int | None) -> DataFrame:
     """Matches of each document of the index; every document has a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = windows.value
+        w = Windows.__new__(Windows)
+        vars(w).update(windows.value)
         order, matrices = w.ordered(freq.value), w.terms_by_length()
         for batch in batches:
             for row in batch.to_pylist():
@@ -187,7 +188,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, slack:
         pairs = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n")).toArrow()
         freq = np.zeros(len(windows.vocab), np.int64)
         freq[pairs["terms"].to_numpy()] = pairs["n"].to_numpy()
-        found = _search(index, spark.sparkContext.broadcast(windows), spark.sparkContext.broadcast(freq), slack)
+        found = _search(index, spark.sparkContext.broadcast(vars(windows)), spark.sparkContext.broadcast(freq), slack)
         out = found if out is None else out.unionByName(found)
     if slices > 1:
         out = out.groupBy("block", "ord").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("found")).alias("found"))

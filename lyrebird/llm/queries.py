@@ -33,6 +33,13 @@ def op3_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with the corpus's verdict on the wider kinds."""
+    from lyrebird.llm.secrets import digest, scan_corpus
+
+    return digest(scan_corpus(table(spark, sf_dir, "documents")))
+
+
 #: The contract's rules: (host, path, verdict).
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -52,6 +59,13 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, p=90, q=100)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by the subword-bag model."""
+    from lyrebird.llm.toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive every page and read the archive back."""
     from lyrebird.llm.warc import read_archive, write_archive
@@ -69,8 +83,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 _QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_ring_sharding": op3_ring_sharding,
+    "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_toxicity": op7_toxicity,
     "op8_warc_archive": op8_warc_archive,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
