@@ -25,6 +25,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from lyrebird.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 39 with row counts at most one apart."""
     from lyrebird.llm.ring import shard_rows
@@ -80,8 +87,17 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 13)
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of every vector whose id is divisible by 100."""
+    from lyrebird.llm.ann import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 100 = 0"), 10)
+
+
 _QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_html_main_text": op2_html_main_text,
     "op3_ring_sharding": op3_ring_sharding,
     "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
@@ -89,6 +105,7 @@ _QUERIES: dict[str, Query] = {
     "op7_toxicity": op7_toxicity,
     "op8_warc_archive": op8_warc_archive,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 _FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
