@@ -55,7 +55,8 @@ def bloom_words(rules: DataFrame, blocks: int) -> DataFrame:
     return as_map.select(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(blocks * WORDS - 1).cast("long")), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("bloom"))
 
 
-def _possible(key: Column, bloom: Column, blocks: int) -> Column:
+def possible(key: Column, bloom: Column, blocks: int) -> Column:
+    """Whether a key may be in the filter; looks at one block of it."""
     block, bits = _bits(key)
     first = F.pmod(block, F.lit(blocks)) * WORDS
     ok = None
@@ -93,7 +94,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     rows = rows.withColumn("hosts", hosts).withColumn("paths", F.transform(F.filter(lens, lambda k: k <= F.length("path")), lambda k: F.substr(F.col("path"), F.lit(1), k)))
     keys = F.flatten(F.transform("hosts", lambda h: F.transform("paths", lambda p: F.concat_ws("\n", h, p))))
-    rows = rows.select("page_id", "host", "path", "uid", F.filter(keys, lambda k: _possible(k, bloom, blocks)).alias("keys"))
+    rows = rows.select("page_id", "host", "path", "uid", F.filter(keys, lambda k: possible(k, bloom, blocks)).alias("keys"))
     tested = rows.select("page_id", "host", "path", "uid", F.explode_outer("keys").alias("key"))
     judged = tested.join(rules.select("key", F.concat("r_host", "r_path").alias("rule"), "r_verdict"), "key", "left")
     best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("r_verdict")))).alias("best")
