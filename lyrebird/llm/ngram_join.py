@@ -11,8 +11,8 @@ indexed for both.
 Frequencies are counted over all documents, in hash buckets of bounded number; the order follows the bucket's
 count, and a token is rare if its bucket shows that it occurs at most ``RARE`` times. Sets with the same tokens are one node. For each signature the
 smallest node is compared with every other (a star, not all pairs); where that leaves nodes of one signature in
-different components, those pairs are compared too, so that no link between components is lost. Links are
-verified on whole sets.
+different components, their pairs are tried too, so that no link between components is lost: an exact bound from
+parity bits of the sets rules out nearly all that don't link before a pair is made. Links are verified on whole sets.
 
 Defined results: null or empty text, or text without words: no tokens, linked with nothing, component is its own
 doc_id. Repeated rows each give a row. A null doc_id gets the component's smallest known doc_id. Extra columns
@@ -32,14 +32,15 @@ from pyspark.sql.window import Window
 
 from lyrebird.llm.common import drop_scratch, materialize
 from lyrebird.llm.components import connected_components
+from lyrebird.llm.rows import with_ids
 from lyrebird.llm.words import WordHashes, mix, shingle_set
 
 #: Buckets of the token frequency table, and with it the rows that reach the driver.
 BUCKET_BITS = 17
 #: Occurrences up to which a token counts as rare, as its bucket proves it.
 RARE = 3
-#: 64-bit words of the Bloom filter of nodes to fetch, at most: 8 MB.
-BLOOM_WORDS = 1 << 20
+#: 64-bit words of a set's parity bits.
+PARITY_WORDS = 16
 
 _SHIFT = np.uint64(64 - BUCKET_BITS)
 
@@ -127,48 +128,29 @@ def _signed_sets(docs: DataFrame, k: int, p: int, q: int, counts) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, n long, set_id binary, sigs array<long>")
 
 
-def _bloom(spark, ids: DataFrame, n: int) -> np.ndarray:
-    """Bit words of a Bloom filter (two bits an id) of set_id values; at most BLOOM_WORDS of them reach the driver."""
-    words = 1 << min(BLOOM_WORDS.bit_length() - 1, max(10, (n * 16 // 64).bit_length()))
-    low = F.conv(F.hex(F.substring("set_id", 1, 7)), 16, 10).cast("long")
-    bit = lambda shift: F.struct((F.shiftright(low, shift + 6) % words).alias("w"), F.expr("1L").alias("one"), (F.shiftright(low, shift) % 64).cast("int").alias("b"))
-    rows = ids.select(F.explode(F.array(bit(0), bit(26))).alias("x")).groupBy("x.w").agg(F.expr("bit_or(shiftleft(x.one, x.b))").alias("m")).toArrow()
-    out = np.zeros(words, np.int64)
-    out[rows["w"].to_numpy()] = rows["m"].to_numpy()
-    return out.view(np.uint64)
-
-
-def _in_bloom(bits: np.ndarray, set_id: bytes) -> bool:
-    low, n = int.from_bytes(set_id[:7], "big"), len(bits)
-    for shift in (0, 26):
-        if not int(bits[(low >> (shift + 6)) % n]) >> ((low >> shift) % 64) & 1:
-            return False
-    return True
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """One bit per residue of a token: whether the set holds an odd number of such tokens."""
+    odd = np.bincount((tokens & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _fetch_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Whole token sets (as bytes) of the nodes, from their texts: (node, tokens)."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_bloom(spark, nodes, nodes.count()))
+    """Whole token sets (as bytes) and parity words of the nodes, from their texts: (node, tokens, parity).
+
+    A Bloom filter of the nodes' documents keeps the other texts out of Python; the join by set_id is exact.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, done = WordHashes(), set()
+        hashes = WordHashes()
         for batch in batches:
-            ids, sets = [], []
-            for text in batch.column(0):
-                s = shingle_set(text.as_py(), k, hashes)
-                if len(s):
-                    data = s.tobytes()
-                    set_id = xxhash.xxh3_128_digest(data)
-                    if set_id not in done and _in_bloom(bits.value, set_id):
-                        if len(done) < 100_000:
-                            done.add(set_id)
-                        ids.append(set_id)
-                        sets.append(data)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], ["set_id", "tokens"])
+            found = [s for text in batch.column(0) if len(s := shingle_set(text.as_py(), k, hashes))]
+            data = [s.tobytes() for s in found]
+            parity = [_parity(s).tolist() for s in found]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(d) for d in data], pa.binary()), pa.array(data, pa.binary()), pa.array(parity, pa.list_(pa.int64()))], ["set_id", "tokens", "parity"])
 
-    found = _texts(docs).select("text").mapInArrow(run, "set_id binary, tokens binary")
-    return found.dropDuplicates(["set_id"]).join(nodes, "set_id").select("node", "tokens")
+    some = with_ids(_texts(docs), nodes.select(F.col("low_doc").alias("doc_id")))
+    found = some.select("text").mapInArrow(run, "set_id binary, tokens binary, parity array<long>")
+    return found.dropDuplicates(["set_id"]).join(nodes, "set_id").select("node", "tokens", "parity")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -211,17 +193,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -
     )
     close = lambda m, n: F.expr(f"{q} * least({m}, {n}) >= {p} * greatest({m}, {n})")
     star = materialize(shared.filter("node <> p_node").filter(close("n", "p_n")).select(F.col("p_node").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    wanted = materialize(shared.select("node").distinct().join(nodes.select("node", "set_id"), "node"), "wanted")
+    wanted = materialize(shared.select("node").distinct().join(nodes.select("node", "set_id", "low_doc"), "node"), "wanted")
     sets = materialize(_fetch_sets(docs, wanted, k), "sets")
     links = materialize(_verified(star, sets, p, q), "links")
     groups = connected_components(links)
     label = shared.select("sig", "node", "n").join(groups, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
     split = materialize(label.withColumn("lo", F.min("root").over(per_sig)).withColumn("hi", F.max("root").over(per_sig)).filter("lo < hi").select("sig", "node", "n", "root"), "split")
-    left, right = (split.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root"))) for s in "ab")
+    bits = sets.select("node", *(F.col("parity")[i].alias(f"w{i}") for i in range(PARITY_WORDS)))
+    marked = split.join(bits, "node")
+    left, right = (marked.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in marked.columns if c != "sig")) for s in "ab")
+    # sets differ in at least as many tokens as their parity bits do: an exact bound that leaves little to verify
+    differ = " + ".join(f"bit_count(w{i}_a ^ w{i}_b)" for i in range(PARITY_WORDS))
     rest = (
         left.join(right, "sig")
         .filter("root_a <> root_b and node_a < node_b")
         .filter(close("n_a", "n_b"))
+        .filter(f"{p + q} * ({differ}) <= {q - p} * (n_a + n_b)")
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         .distinct()
         .join(star, ["a", "b"], "left_anti")

@@ -1,26 +1,40 @@
-"""Take rows out of wide tables by id without shuffling the rows that stay."""
+"""Pick rows of wide tables by id without shuffling all of them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lyrebird.llm.urlfilter import KEYS_A_BLOCK, MAX_BLOCKS, bloom_words, possible
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id isn't in ``ids`` (one column, of the same name).
-
-    A Bloom filter of the ids, of bounded size, parts the rows: those it rules out stay where they are, and only
-    possible hits meet the ids in an anti join. Rows with a null id stay.
-    """
+def _hit(id_col: str, ids: DataFrame) -> Column | None:
+    """Whether a row's id may be among ``ids`` by a Bloom filter of bounded size, null for a null id; None without ids."""
     key = F.col(id_col).cast("string")
     keys = ids.select(key.alias("key")).filter("key is not null").distinct()
     n, blocks = keys.count(), 1
     if not n:
-        return docs
+        return None
     while blocks * KEYS_A_BLOCK < n and blocks < MAX_BLOCKS:
         blocks *= 2
     words = F.from_json(F.lit(bloom_words(keys, blocks).select(F.to_json("bloom")).first()[0]), "array<long>")
-    hit = F.coalesce(possible(key, words, blocks), F.lit(False))
+    return possible(key, words, blocks)
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is among ``ids``, those with a null id, and possibly some more; nothing is shuffled."""
+    hit = _hit(id_col, ids)
+    return docs.filter(F.col(id_col).isNull() if hit is None else F.coalesce(hit, F.lit(True)))
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id isn't in ``ids`` (one column, of the same name).
+
+    Rows that the Bloom filter rules out stay where they are, and only possible hits meet the ids in an anti
+    join. Rows with a null id stay.
+    """
+    hit = _hit(id_col, ids)
+    if hit is None:
+        return docs
+    hit = F.coalesce(hit, F.lit(False))
     return docs.filter(~hit).unionByName(docs.filter(hit).join(ids.select(id_col).distinct(), id_col, "left_anti").select(docs.columns))
