@@ -60,6 +60,13 @@ def gather(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_batches(kept) if kept else schema.empty_table()
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch in which a column holds about ``most`` bytes: what a worker makes of them stays small."""
+    rows = max(1, batch.num_rows * most // max(1, batch.column(column).nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def input_partitions(df: DataFrame, rows_each: int, n_rows: int, least: int = 1) -> int:
     """Partitions so that each holds about ``rows_each`` rows."""
     return max(least, -(-n_rows // rows_each))

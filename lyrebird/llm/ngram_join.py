@@ -9,8 +9,8 @@ G grows with the set's size, so that pairs stay proportional to it; a set near a
 indexed for both.
 
 Frequencies are counted over all documents, in hash buckets of bounded number; the order follows the bucket's
-count, and a token is rare if its bucket shows that it occurs at most ``RARE`` times. Sets with the same tokens are one node. For each signature the
-smallest node is compared with every other (a star, not all pairs); where that leaves nodes of one signature in
+count, and a token is rare if its bucket shows that it occurs at most ``RARE`` times. Sets with the same tokens are one node. For each signature one
+node is compared with every other (a star, not all pairs); where that leaves nodes of one signature in
 different components, their pairs are tried too, so that no link between components is lost: an exact bound from
 parity bits of the sets rules out nearly all that don't link before a pair is made. Links are verified on whole sets.
 
@@ -26,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lyrebird.llm.common import drop_scratch, materialize
+from lyrebird.llm.common import by_bytes, drop_scratch, materialize
 from lyrebird.llm.components import connected_components
 from lyrebird.llm.rows import with_ids
 from lyrebird.llm.words import WordHashes, mix, shingle_set
@@ -54,7 +54,7 @@ def token_frequencies(docs: DataFrame, k: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, total = WordHashes(), np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in batches:
+        for batch in (part for b in batches for part in by_bytes(b, 0)):
             got = [shingle_set(text.as_py(), k, hashes) >> _SHIFT for text in batch.column(0)]
             if got:
                 total += np.bincount(np.concatenate(got).astype(np.int64), minlength=len(total))
@@ -112,7 +112,7 @@ def _signed_sets(docs: DataFrame, k: int, p: int, q: int, counts) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sign = WordHashes(), Signatures(counts.value, p, q)
-        for batch in batches:
+        for batch in (part for b in batches for part in by_bytes(b, 1)):
             ns, ids, sigs, ends = [], [], [], [0]
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), k, hashes)
@@ -142,7 +142,7 @@ def _fetch_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (part for b in batches for part in by_bytes(b, 0)):
             found = [s for text in batch.column(0) if len(s := shingle_set(text.as_py(), k, hashes))]
             data = [s.tobytes() for s in found]
             parity = [_parity(s).tolist() for s in found]
@@ -173,6 +173,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _close(m: str, n: str, p: int, q: int) -> Column:
+    """Whether sets of these sizes can reach p/q."""
+    return F.expr(f"{q} * least({m}, {n}) >= {p} * greatest({m}, {n})")
+
+
+def _star(shared: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (a, b) of each signature's most famous node with its others. Fame is the number of signatures that a node
+    shares with any other: an unchanged original has more of them than its changed copies."""
+    per_sig = Window.partitionBy("sig")
+    with_pivot = shared.withColumn("pivot", F.max(F.struct("fame", "node", "n")).over(per_sig))
+    pairs = with_pivot.filter("node <> pivot.node").filter(_close("n", "pivot.n", p, q)).select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
+    return materialize(pairs.distinct(), "star")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id (smallest doc_id reachable over links with q*inter >= p*union)."""
     spark = docs.sparkSession
@@ -183,17 +197,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -
         "nodes",
     )
     per_sig = Window.partitionBy("sig")
-    shared = materialize(
-        nodes.select("node", "n", F.explode("sigs").alias("sig"))
-        .withColumn("pivot", F.min(F.struct("node", "n")).over(per_sig))
-        .withColumn("last", F.max("node").over(per_sig))
-        .filter("last > pivot.node")
-        .select("sig", "node", "n", F.col("pivot.node").alias("p_node"), F.col("pivot.n").alias("p_n")),
-        "shared",
-    )
-    close = lambda m, n: F.expr(f"{q} * least({m}, {n}) >= {p} * greatest({m}, {n})")
-    star = materialize(shared.filter("node <> p_node").filter(close("n", "p_n")).select(F.col("p_node").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    wanted = materialize(shared.select("node").distinct().join(nodes.select("node", "set_id", "low_doc"), "node"), "wanted")
+    several = nodes.select("node", "n", F.explode("sigs").alias("sig")).withColumn("lo", F.min("node").over(per_sig)).withColumn("hi", F.max("node").over(per_sig))
+    shared = materialize(several.filter("lo < hi").select("sig", "node", "n"), "shared")
+    fame = shared.groupBy("node").agg(F.count("*").alias("fame"))
+    star = _star(shared.join(fame, "node"), p, q)
+    wanted = materialize(fame.select("node").join(nodes.select("node", "set_id", "low_doc"), "node"), "wanted")
     sets = materialize(_fetch_sets(docs, wanted, k), "sets")
     links = materialize(_verified(star, sets, p, q), "links")
     groups = connected_components(links)
@@ -207,7 +215,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -
     rest = (
         left.join(right, "sig")
         .filter("root_a <> root_b and node_a < node_b")
-        .filter(close("n_a", "n_b"))
+        .filter(_close("n_a", "n_b", p, q))
         .filter(f"{p + q} * ({differ}) <= {q - p} * (n_a + n_b)")
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         .distinct()
