@@ -1 +1,168 @@
+"""Monitoring and data-quality reports over the run log and the star schema."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lyrebird.load import run_log, table
+from lyrebird.operators import monitor
+from lyrebird.plans.registry import query
+
+AS_OF = "TIMESTAMP '2024-01-30 00:00:00'"
+
+
+@query("status_counts", "SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, status")
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return run_log(spark, d).groupBy("status").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "status")
+
+
+@query("top_errors", "SELECT props AS message, count(*) AS n FROM events WHERE event_type = 'error' OR event_type = 'click' GROUP BY 1 ORDER BY n DESC, message LIMIT 5")
+def top_errors(spark: SparkSession, d: str) -> DataFrame:
+    bad = run_log(spark, d).filter(F.col("status").isin("error", "click"))
+    return bad.groupBy(F.col("metadata").alias("message")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "message").limit(5)
+
+
+@query("recent_window", f"SELECT event_id FROM events WHERE ts > {AS_OF} - INTERVAL 3 HOUR")
+def recent_window(spark: SparkSession, d: str) -> DataFrame:
+    return monitor.recent(run_log(spark, d), "updated_at", F.expr(AS_OF), "3 HOURS").select("event_id")
+
+
+@query(
+    "health_check",
+    f"""SELECT n_total, n_items, n_recent, n_recent_errors, coalesce(round(100.0 * n_recent_errors / nullif(n_recent, 0), 2), 0.0) AS error_pct,
+      coalesce(round(100.0 * n_recent_errors / nullif(n_recent, 0), 2), 0.0) > 20 AS alert FROM (
+      SELECT count(*) AS n_total, count(DISTINCT user_id) AS n_items, count(*) FILTER (WHERE ts > {AS_OF} - INTERVAL 24 HOUR) AS n_recent,
+        count(*) FILTER (WHERE ts > {AS_OF} - INTERVAL 24 HOUR AND event_type = 'click') AS n_recent_errors FROM events)""",
+)
+def health_check(spark: SparkSession, d: str) -> DataFrame:
+    return monitor.health(run_log(spark, d), F.expr(AS_OF), "click")
+
+
+@query(
+    "processing_rates",
+    f"""SELECT count(*) AS n, round(count(*) / 24.0, 6) AS per_hour, round(sum(value) / 3600.0, 4) AS hours, round(avg(value), 4) AS mean_s
+    FROM events WHERE ts > {AS_OF} - INTERVAL 24 HOUR""",
+)
+def processing_rates(spark: SparkSession, d: str) -> DataFrame:
+    day = monitor.recent(run_log(spark, d), "updated_at", F.expr(AS_OF), "24 HOURS")
+    return day.agg(F.count("*").alias("n"), F.round(F.count("*") / 24.0, 6).alias("per_hour"), F.round(F.sum("duration_s") / 3600.0, 4).alias("hours"), F.round(F.avg("duration_s"), 4).alias("mean_s"))
+
+
+@query("duration_stats_median", "SELECT event_type AS status, round(min(value), 4) AS least, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS median, round(max(value), 4) AS most FROM events GROUP BY 1")
+def duration_stats_median(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("duration_s")
+    return run_log(spark, d).groupBy("status").agg(F.round(F.min(v), 4).alias("least"), F.round(F.avg(v), 4).alias("mean"), F.round(F.median(v), 4).alias("median"), F.round(F.max(v), 4).alias("most"))
+
+
+@query("transcript_source_pct", "SELECT round(100.0 * count(*) FILTER (WHERE lang = 'en') / count(*), 4) AS caption_pct, round(100.0 * sum(CASE WHEN lang <> 'en' THEN 1 ELSE 0 END) / count(*), 4) AS recognised_pct FROM documents")
+def transcript_source_pct(spark: SparkSession, d: str) -> DataFrame:
+    n = F.count("*")
+    return table(spark, d, "documents").agg(F.round(100.0 * F.count_if(F.col("lang") == "en") / n, 4).alias("caption_pct"), F.round(100.0 * F.sum(F.when(F.col("lang") != "en", 1).otherwise(0)) / n, 4).alias("recognised_pct"))
+
+
+@query("success_rate", "SELECT user_id AS media_id, count(*) AS n, count(CASE WHEN event_type <> 'click' THEN 1 END) AS ok, round(100.0 * count(CASE WHEN event_type <> 'click' THEN 1 END) / nullif(count(*), 0), 2) AS rate FROM events GROUP BY 1")
+def success_rate(spark: SparkSession, d: str) -> DataFrame:
+    ok = F.count_if(F.col("status") != "click")
+    return run_log(spark, d).groupBy("media_id").agg(F.count("*").alias("n"), ok.alias("ok"), monitor.rate_pct(ok, F.count("*")).alias("rate"))
+
+
+_K = "json_extract_string(props, '$.k')"
+
+
+@query("json_avg", f"SELECT event_type AS status, round(avg(TRY_CAST({_K} AS DOUBLE)), 6) AS mean_k FROM events GROUP BY 1")
+def json_avg(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("metadata", "$.k").try_cast("double")
+    return run_log(spark, d).groupBy("status").agg(F.round(F.avg(k), 6).alias("mean_k"))
+
+
+@query("json_text_compare", f"SELECT event_id FROM events WHERE {_K} > '50'")
+def json_text_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Text order, as '9' > '50'; kept beside the numeric form."""
+    return run_log(spark, d).filter(F.get_json_object("metadata", "$.k") > "50").select("event_id")
+
+
+@query("json_numeric_compare", f"SELECT event_id FROM events WHERE TRY_CAST({_K} AS DOUBLE) > 50")
+def json_numeric_compare(spark: SparkSession, d: str) -> DataFrame:
+    return run_log(spark, d).filter(F.get_json_object("metadata", "$.k").try_cast("double") > 50).select("event_id")
+
+
+@query("json_group", f"SELECT {_K} AS k, count(*) AS n FROM events GROUP BY 1")
+def json_group(spark: SparkSession, d: str) -> DataFrame:
+    return run_log(spark, d).groupBy(F.get_json_object("metadata", "$.k").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("cost_by_day", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type AS method, count(*) AS n, round(sum(value / 60 * 0.006), 4) AS cost FROM events GROUP BY 1, 2")
+def cost_by_day(spark: SparkSession, d: str) -> DataFrame:
+    cost = monitor.cost_of(F.col("duration_s") / 60)
+    return run_log(spark, d).groupBy(F.date_trunc("day", "updated_at").cast("timestamp_ntz").alias("day"), F.col("status").alias("method")).agg(F.count("*").alias("n"), F.round(F.sum(cost), 4).alias("cost"))
+
+
+@query("cost_by_month", "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def cost_by_month(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(
+    "throughput_ratio",
+    "SELECT user_id AS media_id, round(sum(value) / nullif(epoch(max(ts)) - epoch(min(ts)), 0), 8) AS ratio FROM events GROUP BY 1",
+)
+def throughput_ratio(spark: SparkSession, d: str) -> DataFrame:
+    t = F.unix_micros(F.col("updated_at").cast("timestamp")) / 1e6
+    return run_log(spark, d).groupBy("media_id").agg(F.round(F.try_divide(F.sum("duration_s"), F.max(t) - F.min(t)), 8).alias("ratio"))
+
+
+@query("quota_estimate", "SELECT count(DISTINCT user_id) AS n_items, CAST(count(DISTINCT user_id) * 42.0 AS DOUBLE) AS units, count(DISTINCT user_id) * 42.0 > 8000 AS alert FROM events")
+def quota_estimate(spark: SparkSession, d: str) -> DataFrame:
+    out = run_log(spark, d).agg(F.count_distinct("media_id").alias("n_items"))
+    units = monitor.quota_estimate(F.col("n_items"))
+    return out.select("n_items", F.round(units, 4).alias("units"), (units > monitor.DAILY_QUOTA * monitor.QUOTA_ALERT_PCT / 100).alias("alert"))
+
+
+_BUCKET = "CASE WHEN n_chars < 100 THEN '<100' WHEN n_chars < 400 THEN '100-399' WHEN n_chars < 1200 THEN '400-1199' ELSE '1200+' END"
+
+
+@query("length_histogram_share", f"SELECT {_BUCKET} AS bucket, count(*) AS n, round(CAST(100.0 * count(*) / sum(count(*)) OVER () AS DOUBLE), 4) AS share FROM documents GROUP BY 1")
+def length_histogram_share(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_chars")
+    bucket = F.when(n < 100, "<100").when(n < 400, "100-399").when(n < 1200, "400-1199").otherwise("1200+")
+    per = table(spark, d, "documents").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return per.join(F.broadcast(per.agg(F.sum("n").alias("t"))), F.lit(True)).select("bucket", "n", F.round(100.0 * F.col("n") / F.col("t"), 4).alias("share"))
+
+
+@query(
+    "length_audit",
+    """SELECT count(*) AS n, count(*) FILTER (WHERE length(text) < 50) AS under_50, count(*) FILTER (WHERE length(text) < 100) AS under_100, count(*) FILTER (WHERE length(text) >= 150) AS from_150,
+    CASE WHEN 100.0 * count(*) FILTER (WHERE length(text) < 50) / count(*) > 30 THEN 'high' WHEN 100.0 * count(*) FILTER (WHERE length(text) < 50) / count(*) > 10 THEN 'medium' ELSE 'low' END AS impact FROM conversations""",
+)
+def length_audit(spark: SparkSession, d: str) -> DataFrame:
+    n = F.length("text")
+    out = table(spark, d, "conversations").agg(F.count("*").alias("n"), F.count_if(n < 50).alias("under_50"), F.count_if(n < 100).alias("under_100"), F.count_if(n >= 150).alias("from_150"))
+    pct = 100.0 * F.col("under_50") / F.col("n")
+    return out.withColumn("impact", F.when(pct > 30, "high").when(pct > 10, "medium").otherwise("low"))
+
+
+@query("shortest_longest", "(SELECT 'short' AS kind, doc_id, n_chars FROM documents ORDER BY n_chars, doc_id LIMIT 10) UNION ALL (SELECT 'long', doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10)")
+def shortest_longest(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    pick = lambda kind, order: docs.orderBy(order, "doc_id").limit(10).select(F.lit(kind).alias("kind"), "doc_id", "n_chars")
+    return pick("short", F.asc("n_chars")).unionByName(pick("long", F.desc("n_chars")))
+
+
+@query("delta_between_polls", "SELECT day, n, n - lag(n) OVER (ORDER BY day) AS delta FROM (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n FROM events GROUP BY 1)")
+def delta_between_polls(spark: SparkSession, d: str) -> DataFrame:
+    """Counts per day and their change; the window runs over one row a day."""
+    from pyspark.sql.window import Window
+
+    per = run_log(spark, d).groupBy(F.date_trunc("day", "updated_at").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"))
+    return per.withColumn("delta", F.col("n") - F.lag("n").over(Window.orderBy("day")))
+
+
+@query("nested_group_count", "SELECT n_lines, count(*) AS n_orders FROM (SELECT count(*) AS n_lines FROM lineitem GROUP BY l_orderkey) GROUP BY n_lines")
+def nested_group_count(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines")).groupBy("n_lines").agg(F.count("*").alias("n_orders"))
+
+
+@query("recommend_mode", "SELECT (SELECT count(*) FROM events) AS n_items, round((SELECT avg(value) FROM (SELECT value FROM events ORDER BY event_id LIMIT 10)), 4) AS avg_s")
+def recommend_mode(spark: SparkSession, d: str) -> DataFrame:
+    return monitor.recommend_mode(run_log(spark, d), "event_id").select("n_items", F.round("avg_s", 4).alias("avg_s"))
