@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lyrebird.llm.common import by_bytes, drop_scratch, materialize
+from lyrebird.llm.common import by_bytes, drop_scratch, materialize, release
 from lyrebird.llm.components import connected_components
 from lyrebird.llm.rows import with_ids
 from lyrebird.llm.words import WordHashes, mix, shingle_set
@@ -196,11 +196,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -
         signed.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("low_doc"), F.first("n").alias("n"), F.first("sigs").alias("sigs")).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
+    # signatures are most of the bytes: no table and no shuffle keeps them longer than it must
+    members = materialize(signed.select("doc_id", "n", "set_id"), "members")
+    drop_scratch(signed)
+    release(spark)
     per_sig = Window.partitionBy("sig")
-    several = nodes.select("node", "n", F.explode("sigs").alias("sig")).withColumn("lo", F.min("node").over(per_sig)).withColumn("hi", F.max("node").over(per_sig))
-    shared = materialize(several.filter("lo < hi").select("sig", "node", "n"), "shared")
-    fame = shared.groupBy("node").agg(F.count("*").alias("fame"))
-    star = _star(shared.join(fame, "node"), p, q)
+    several = nodes.select("node", F.explode("sigs").alias("sig")).withColumn("lo", F.min("node").over(per_sig)).withColumn("hi", F.max("node").over(per_sig)).filter("lo < hi")
+    groups_of = materialize(several.select("sig", "node"), "groups")
+    sizes = materialize(nodes.select("node", "set_id", "low_doc", "n"), "sizes")
+    drop_scratch(nodes)
+    del signed, several
+    release(spark)
+    nodes = sizes
+    fame = groups_of.groupBy("node").agg(F.count("*").alias("fame")).join(nodes.select("node", "n"), "node")
+    shared = groups_of.join(fame, "node")
+    star = _star(shared, p, q)
     wanted = materialize(fame.select("node").join(nodes.select("node", "set_id", "low_doc"), "node"), "wanted")
     sets = materialize(_fetch_sets(docs, wanted, k), "sets")
     links = materialize(_verified(star, sets, p, q), "links")
@@ -227,6 +237,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -
     named = nodes.select("set_id", "node", "low_doc").join(groups, "node", "left").select("set_id", "low_doc", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low_doc").alias("component_id"))
     by_set = named.join(lowest, "root").select("set_id", "component_id")
-    out = signed.select("doc_id", "n", "set_id").join(by_set, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    drop_scratch(shared, star, wanted, sets, split)
+    out = members.select("doc_id", "n", "set_id").join(by_set, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    drop_scratch(groups_of, star, wanted, sets, split)
     return out
