@@ -35,9 +35,10 @@ def video_id(url: Column) -> Column:
 
 
 def video_id_of_file(name: Column) -> Column:
-    """The first 11-character token of a file name, else its stem."""
+    """The first 11-character token of a path's file name, else its stem."""
+    name = F.substring_index(name, "/", -1)
     token = F.regexp_extract(name, r"(?:^|[^A-Za-z0-9_-])([A-Za-z0-9_-]{11})(?:[^A-Za-z0-9_-]|$)", 1)
-    return F.when(token != "", token).otherwise(F.regexp_replace(F.substring_index(name, "/", -1), r"\.[^.]*$", ""))
+    return F.when(token != "", token).otherwise(F.regexp_replace(name, r"\.[^.]*$", ""))
 
 
 def deep_link(url: Column, start: Column, source_type: Column) -> Column:

@@ -15,7 +15,7 @@ _TIMES = r"([0-9:.,]+)\s*-->\s*([0-9:.,]+)"
 
 def whole_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """path and value (the whole text) of the files whose names match."""
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))).alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
 
 
 def plain(c: Column) -> Column:
