@@ -114,7 +114,7 @@ def _nearest(post: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def search_block(row: dict, windows: Windows, order: list[list[tuple[int, int]]], matrices: list, slack: int | None) -> list[tuple[int, int, str, int, int]]:
     """(document's place, window, kind, start, end) of a block's matches; starts count the document's words."""
-    terms, counts = np.asarray(row["terms"]), np.asarray(row["counts"])
+    terms, counts = np.asarray(row["terms"], np.int64), np.asarray(row["counts"], np.int64)
     ends = np.cumsum(counts)
     postings = np.frombuffer(row["postings"], np.uint32).astype(np.int64)
     lists = {int(t): postings[e - c : e] for t, c, e in zip(terms, counts, ends, strict=True)}
