@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +29,6 @@ def hashing_tf(text: Column, dim: int = 64) -> Column:
 
     A provider is a model behind an Arrow batch interface, and so is this one.
     """
-    import zlib
-
-    import numpy as np
-    import pandas as pd
-
     def vector(t: str | None) -> list[float] | None:
         words = t.lower().split() if t else []
         if not words:
