@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 _OWN_ROOT: dict[str, str] = {}
 
 
@@ -30,6 +32,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/lyrebird-{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
+    """Within it, what runs hands batches of at most ``most`` bytes to Python: texts and sets may be long."""
+    before = spark.conf.get(BATCH_KEY)
+    spark.conf.set(BATCH_KEY, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_KEY, before)
+
+
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -37,7 +50,8 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
@@ -67,7 +81,7 @@ def gather(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_batches(kept) if kept else schema.empty_table()
 
 
-def by_bytes(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch in which a column holds about ``most`` bytes: what a worker makes of them stays small."""
     rows = max(1, batch.num_rows * most // max(1, batch.column(column).nbytes))
     for at in range(0, batch.num_rows, rows):

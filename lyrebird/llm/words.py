@@ -10,7 +10,7 @@ _B = np.uint64(0xC2B2AE3D27D4EB4F)
 _S1, _S2 = np.uint64(32), np.uint64(29)
 
 #: Distinct words whose hashes a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 class WordHashes(dict):
