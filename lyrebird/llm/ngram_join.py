@@ -5,8 +5,8 @@ at most t = |x| - ceil(p|x|/q) tokens of it. Rare tokens are indexed one by one,
 tokens fall into G classes by hash, and c tokens of one class in a prefix survive c - 1 lost tokens as
 some pair. A prefix runs until (rare tokens) + sum over classes of (c - 1) reaches t + 1, so it is extended
 past the plain t + 1 where frequent tokens come in, and two similar sets share at least one signature.
-G grows with the set's size, so that pairs stay proportional to it; a set near a boundary of size classes is
-indexed for both.
+G follows the size class of the smaller set of a pair, so that pairs stay proportional to the size; a set whose
+partners may be of a smaller class is indexed for both.
 
 Frequencies are counted over all documents, in hash buckets of bounded number; the order follows the bucket's
 count, and a token is rare if its bucket shows that it occurs at most ``RARE`` times. Sets with the same tokens are one node. For each signature one
@@ -22,6 +22,7 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -74,25 +75,38 @@ class Signatures:
 
     def __init__(self, counts: np.ndarray, p: int, q: int) -> None:
         self._counts, self._p, self._q = counts, p, q
+        # about as many classes as a set may lose tokens make the fewest pairs
+        self._shift = max(0, round(log2(q / (1.5 * (q - p))))) if p < q else 4
 
     def __call__(self, tokens: np.ndarray) -> np.ndarray:
         n, p, q = len(tokens), self._p, self._q
         lost = n - -(-p * n // q)
         count = self._counts[(tokens >> _SHIFT).astype(np.int64)]
-        order = np.lexsort((tokens, count))
-        tokens = tokens[order]
+        levels = range((-(-p * n // q)).bit_length() - 1, n.bit_length())
+        need = lost + 1 + max(map(self._groups, levels))
         rare = int((count <= RARE).sum())
+        if need < n // 2:  # only the rarest tokens are looked at: sort no others
+            some = count <= np.partition(count, need)[need]
+            tokens, count = tokens[some], count[some]
+        tokens = tokens[np.lexsort((tokens, count))]
         if rare > lost:
             return tokens[: lost + 1]
         out = [tokens[:rare]]
-        for level in {(-(-p * n // q)).bit_length() - 1, (n * q // p).bit_length() - 1}:
-            out.append(tokens[rare : lost + 1] if level < 3 else self._pairs(tokens[rare:], lost + 1 - rare, level))
+        for level in levels:
+            groups = self._groups(level)
+            out.append(self._pairs(tokens[rare:], lost + 1 - rare, groups) if groups else tokens[rare : lost + 1])
         return np.unique(np.concatenate(out))
 
+    def _groups(self, level: int) -> int:
+        """Classes of frequent tokens for pairs whose smaller set has 2**level to 2**(level + 1) - 1 tokens; 0: single tokens only."""
+        groups = 1 << (level - self._shift) if level >= self._shift else 0
+        return groups if groups and -(-self._p * (1 << level) // self._q) > groups else 0
+
     @staticmethod
-    def _pairs(tokens: np.ndarray, needed: int, level: int) -> np.ndarray:
-        """Pairs within each of 2**(level - 3) classes, over the shortest prefix in which the classes survive ``needed`` losses."""
-        kind = (tokens >> np.uint64(20)) & np.uint64((1 << (level - 3)) - 1)
+    def _pairs(tokens: np.ndarray, needed: int, groups: int) -> np.ndarray:
+        """Pairs within each of ``groups`` classes (a power of two), over the shortest prefix in which the classes survive ``needed`` losses."""
+        tokens = tokens[: needed + groups]  # the prefix can't be longer
+        kind = (tokens >> np.uint64(20)) & np.uint64(groups - 1)
         by = np.argsort(kind, kind="stable")
         later = np.empty(len(tokens), bool)  # not the first of its class: each such token adds one to what the prefix survives
         later[by[0]] = False
@@ -104,7 +118,7 @@ class Signatures:
             same = kind[gap:] == kind[:-gap]
             if not same.any():
                 break
-            out.append(mix(token[:-gap][same] * np.uint64(3) + mix(token[gap:][same]) + np.uint64(level)))
+            out.append(mix(token[:-gap][same] * np.uint64(3) + mix(token[gap:][same]) + np.uint64(groups)))
         return np.concatenate(out) if out else tokens[:0]
 
 
