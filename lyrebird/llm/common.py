@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +83,17 @@ def gather(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_batches(kept) if kept else schema.empty_table()
 
 
+def worker_slot(key, make: Callable):
+    """The one object that a worker process remembers between tasks; another key replaces it, so caches never add up."""
+    kept = sys.__dict__.setdefault("_lyrebird_slot", {})
+    if key not in kept:
+        kept.clear()
+        with contextlib.suppress(OSError, AttributeError):  # give freed memory back, where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+        kept[key] = make()
+    return kept[key]
+
+
 def by_bytes(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch in which a column holds about ``most`` bytes: what a worker makes of them stays small."""
     rows = max(1, batch.num_rows * most // max(1, batch.column(column).nbytes))

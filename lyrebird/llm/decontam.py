@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyrebird.llm.common import materialize
+from lyrebird.llm.common import materialize, worker_slot
 
 #: Tokens of a block, about; a longer document is a block of its own.
 BLOCK_TOKENS = 1_500_000
@@ -79,6 +79,7 @@ def build_index(docs: DataFrame, vocab) -> DataFrame:
     """Positional postings of the terms in the broadcast ``vocab``, one row per block of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_slot("nothing", object)
         number = vocab.value
         schema = pa.schema([("block", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary()), ("docs", pa.binary()), ("ids", pa.list_(pa.int64()))])
         block, parts, directory, ids, size = TaskContext.get().partitionId() << 32, [], [], [], 0

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lyrebird.llm.common import by_bytes, drop_scratch, materialize, release, small_batches
+from lyrebird.llm.common import by_bytes, drop_scratch, materialize, release, small_batches, worker_slot
 from lyrebird.llm.components import connected_components
 from lyrebird.llm.rows import with_ids
 from lyrebird.llm.words import WordHashes, mix, shingle_set
@@ -54,7 +54,7 @@ def token_frequencies(docs: DataFrame, k: int) -> np.ndarray:
     """Documents' distinct tokens counted in 2**BUCKET_BITS hash buckets, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = WordHashes(), np.zeros(1 << BUCKET_BITS, np.int64)
+        hashes, total = worker_slot("words", WordHashes), np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in (part for b in batches for part in by_bytes(b, 0)):
             got = [shingle_set(text.as_py(), k, hashes) >> _SHIFT for text in batch.column(0)]
             if got:
@@ -126,7 +126,7 @@ def _signed_sets(docs: DataFrame, k: int, p: int, q: int, counts) -> DataFrame:
     """doc_id, n tokens, 128-bit set_id (null: no tokens) and signatures of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sign = WordHashes(), Signatures(counts.value, p, q)
+        hashes, sign = worker_slot("words", WordHashes), Signatures(counts.value, p, q)
         for batch in (part for b in batches for part in by_bytes(b, 1)):
             ns, ids, sigs, ends = [], [], [], [0]
             for text in batch.column(1):
@@ -156,7 +156,7 @@ def _fetch_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = worker_slot("words", WordHashes)
         for batch in (part for b in batches for part in by_bytes(b, 0)):
             found = [s for text in batch.column(0) if len(s := shingle_set(text.as_py(), k, hashes))]
             data = [s.tobytes() for s in found]

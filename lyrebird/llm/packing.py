@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyrebird.llm.common import gather, input_partitions, materialize
+from lyrebird.llm.common import gather, input_partitions, materialize, worker_slot
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, gap int"
@@ -35,7 +35,7 @@ _PACKED_ARROW = pa.schema([*_PIECES_ARROW, ("sequence_id", pa.int64()), ("offset
 #: Rows that one packing task holds at most, about; 60 bytes each.
 ROWS_PER_TASK = 200_000
 #: Entries kept in a worker's caches of encoded words.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 350_000
 
 
 class WordEncoder(dict):
@@ -86,22 +86,12 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-def worker_encoder(tokenizer_path: str) -> WordEncoder:
-    """One encoder for all tasks of a worker process; its caches have a bound."""
-    import sys
-
-    kept = sys.__dict__.setdefault("_lyrebird_encoders", {})
-    if tokenizer_path not in kept:
-        kept[tokenizer_path] = WordEncoder(tokenizer_path)
-    return kept[tokenizer_path]
-
-
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, separator: int = 0) -> DataFrame:
     """One row per piece of at most ``max_tokens`` ids of each document, whose ids end with ``separator``."""
     width, end = 4 * max_tokens, array("I", [separator]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = worker_encoder(tokenizer_path).encode
+        encode = worker_slot(("encoder", tokenizer_path), lambda: WordEncoder(tokenizer_path)).encode
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
