@@ -28,7 +28,8 @@ WINDOW = 3
 SURGE = 90
 
 # HTML element names and words of class names, ids and roles.
-RAW = "script style title textarea noscript template iframe svg math object canvas audio video head-noscript".split()
+RAW = "script style title textarea".split()
+UNSEEN = "noscript template iframe svg math object canvas audio video".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul br".split())
 SKIP_TAGS = frozenset("nav footer aside form button select option menu dialog fieldset legend datalist".split())
@@ -43,6 +44,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?P<raw>{'|'.join(RAW)})\b[^>]*+(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
+    rf"|<(?P<unseen>{'|'.join(UNSEEN)})\b(?:[^>]*+(?<=/)>|[^>]*+>.*?</(?P=unseen)\s*+>)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)",

@@ -25,6 +25,8 @@ PARA = "This paragraph has quite enough words to count as the running text of an
         ("<article><p>cut &am", "cut &am"),
         ("<article><p>cut</p><p class='x", "cut"),
         ("<article><p title='a > b'>q</p></article>", "q"),
+        ("<article><p>a <svg class=i/> b</p><video src=x>old</video><iframe src=y></article>c", "a b"),
+        ("<title>T</title><article><noscript>turn it on</noscript><p>x<p>y</article>", "x\ny"),
     ],
 )
 def test_main_text(page, want):
