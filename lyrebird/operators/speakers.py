@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lyrebird.functions.vector import cosine
+from lyrebird.operators.bounds import small
 from lyrebird.schemas import UNKNOWN
 
 # Thresholds of attribution.
@@ -28,10 +29,10 @@ def boosted(similarity: Column, seconds: Column) -> Column:
 def attribute_clusters(clusters: DataFrame, profiles: DataFrame, margin: float = MARGIN, least_s: float = MIN_CLUSTER_S) -> DataFrame:
     """cluster, label, similarity and second best: clusters (cluster, seconds, centroid) against profiles (name, centroid, threshold).
 
-    Profiles are few and named by hand; they are broadcast. A label needs enough speech, the profile's threshold, and a
+    Profiles are few and named by hand; they are broadcast, after a check of their number. A label needs enough speech, the profile's threshold, and a
     margin over the next distinct similarity.
     """
-    p = F.broadcast(profiles.select("name", F.col("centroid").alias("p_centroid"), "threshold"))
+    p = small(profiles.select("name", F.col("centroid").alias("p_centroid"), "threshold"), "voice profiles")
     pairs = clusters.join(p, F.lit(True)).withColumn("similarity", boosted(cosine(F.col("centroid"), F.col("p_centroid")), F.col("seconds")))
     best = pairs.groupBy("cluster", "seconds").agg(F.max_by(F.struct("name", "threshold"), F.struct("similarity", "name")).alias("b"), F.max("similarity").alias("similarity"), F.reverse(F.array_sort(F.collect_set("similarity"))).alias("all"))
     second = F.get("all", F.lit(1))

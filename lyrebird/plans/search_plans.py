@@ -10,6 +10,7 @@ from lyrebird.functions.time import recency_boosted
 from lyrebird.functions.vector import cosine
 from lyrebird.load import CHUNKS_SQL, chunks, table
 from lyrebird.operators import answer, cluster, search, vector_search
+from lyrebird.operators.bounds import small
 from lyrebird.plans.registry import query
 
 AS_OF = "TIMESTAMP '1999-01-01 00:00:00'"
@@ -158,7 +159,8 @@ def vector_best_centroid(spark: SparkSession, d: str) -> DataFrame:
     from lyrebird.functions.vector import centroids
 
     e = table(spark, d, "embeddings")
-    packed = F.broadcast(centroids(e, "label", "embedding").agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("_p")))
+    profiles = small(centroids(e, "label", "embedding"), "label centroids")
+    packed = F.broadcast(profiles.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("_p")))
     best = F.array_min(F.transform("_p", lambda p: F.struct((-cosine(F.col("embedding"), p["centroid"])).alias("s"), p["label"].alias("l"))))
     return e.join(packed, F.lit(True)).select("vec_id", "label", best.alias("b")).select("vec_id", "label", F.col("b.l").alias("best_label"), F.round(-F.col("b.s"), 6).alias("similarity"))
 

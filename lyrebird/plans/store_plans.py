@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lyrebird.load import run_log, table
 from lyrebird.operators import store
+from lyrebird.operators.bounds import broadcast_if_small
 from lyrebird.plans.registry import query
 
 _NORM = "lower(trim(text))"
@@ -162,7 +163,7 @@ def latest_with_child_count(spark: SparkSession, d: str) -> DataFrame:
 def correlated_source_stats(spark: SparkSession, d: str) -> DataFrame:
     """Mean of per-parent counts: children are counted once, parents without any keep 0."""
     per = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    nation = F.broadcast(table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"))  # 25 rows by the schema
+    nation = broadcast_if_small(table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"))
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey").join(per, "c_custkey", "left").join(nation, "c_nationkey")
     return c.groupBy("n_name").agg(F.round(F.avg(F.coalesce("n", F.lit(0))), 6).alias("avg_orders"))
 
