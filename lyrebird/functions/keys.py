@@ -50,10 +50,10 @@ def base_url(url: Column) -> Column:
     return F.substring_index(url, "&t=", 1)
 
 
-def normal_label(label: Column, default: str = GUEST) -> Column:
-    """Speaker labels under their one name; null or empty becomes the default."""
+def normal_label(label: Column, default: str = GUEST, primary: tuple[str, ...] = ("CH", "HOST")) -> Column:
+    """Speaker labels under their one name; null or empty becomes the default. ``primary``: the primary speaker's other names, in upper case."""
     up = F.upper(F.trim(label))
-    return F.when(up.isin("CH", PRIMARY.upper(), "SPEAKER_CH"), PRIMARY).when(up.isin("G1", "G2", "GUEST"), GUEST).when(label.isNull() | (up == ""), default).otherwise(label)
+    return F.when(up.isin(*primary, PRIMARY.upper()), PRIMARY).when(up.isin("G1", "G2", "GUEST"), GUEST).when(label.isNull() | (up == ""), default).otherwise(label)
 
 
 def repaired_source_type(source_type: Column, url: Column, source_id: Column) -> Column:

@@ -54,6 +54,6 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: DuckDB forms of the views above.
 CHUNKS_SQL = "(SELECT doc_id, source, lang, n_chars, text, floor(doc_id / 20) * 45.0 AS start_sec, floor(doc_id / 20) * 45.0 + 45.0 AS end_sec FROM documents)"
 SEGMENTS_SQL = """(SELECT conv_id AS media_id, CAST(turn AS INTEGER) AS seq, start_sec, start_sec + length(text) / 15.0 AS end_sec,
-  CASE role WHEN 'user' THEN 'GUEST' WHEN 'assistant' THEN 'Chaffee' ELSE 'Unknown' END AS speaker_label, text,
+  CASE role WHEN 'user' THEN 'GUEST' WHEN 'assistant' THEN 'PRIMARY' ELSE 'Unknown' END AS speaker_label, text,
   -((length(text) % 100) / 100.0) AS avg_logprob, 1.0 + (turn % 20) / 10.0 AS compression_ratio, (turn % 10) / 10.0 AS no_speech_prob
   FROM (SELECT *, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / 15.0 AS start_sec FROM conversations))"""

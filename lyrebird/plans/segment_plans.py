@@ -60,7 +60,7 @@ def adjacent_merge(spark: SparkSession, d: str) -> DataFrame:
         SELECT s.media_id, s.rn, f.p, s.seq, CASE WHEN f.p THEN s.x <= 0.68 ELSE s.x >= 0.75 END AS hit,
           CASE WHEN CASE WHEN f.p THEN s.x <= 0.68 ELSE s.x >= 0.75 END THEN f.run + 1 ELSE 0 END AS r
         FROM f JOIN s ON s.media_id = f.media_id AND s.rn = f.rn + 1))
-    SELECT media_id, seq, CASE WHEN p THEN 'Chaffee' ELSE 'GUEST' END AS state_label FROM f WHERE rn > 0""",
+    SELECT media_id, seq, CASE WHEN p THEN 'PRIMARY' ELSE 'GUEST' END AS state_label FROM f WHERE rn > 0""",
 )
 def hysteresis_label(spark: SparkSession, d: str) -> DataFrame:
     s = segments(spark, d).withColumn("speaker_conf", (F.length("text") % 100) / 100.0)

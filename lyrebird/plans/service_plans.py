@@ -66,7 +66,7 @@ def rag_vector_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "segments_with_metadata",
-    f"""SELECT media_id, seq, round(end_sec - start_sec, 6) AS duration, CASE speaker_label WHEN 'Chaffee' THEN 'Primary speaker' WHEN 'GUEST' THEN 'Guest' ELSE 'Unknown speaker' END AS speaker_display_name FROM {SEGMENTS_SQL}""",
+    f"""SELECT media_id, seq, round(end_sec - start_sec, 6) AS duration, CASE speaker_label WHEN 'PRIMARY' THEN 'Primary speaker' WHEN 'GUEST' THEN 'Guest' ELSE 'Unknown speaker' END AS speaker_display_name FROM {SEGMENTS_SQL}""",
 )
 def segments_with_metadata(spark: SparkSession, d: str) -> DataFrame:
     return views.segments_with_metadata(segments(spark, d)).select("media_id", "seq", F.round("duration", 6).alias("duration"), "speaker_display_name")
@@ -97,7 +97,7 @@ def chunk_coverage(spark: SparkSession, d: str) -> DataFrame:
     return views.coverage(s.filter("seq % 2 = 0"), durations).select("media_id", "n_segments", F.round("coverage", 6).alias("coverage"))
 
 
-@query("storage_gate", f"SELECT media_id, seq, CAST(CASE WHEN speaker_label = 'Chaffee' THEN length(text) END AS INTEGER) AS kept FROM {SEGMENTS_SQL} WHERE speaker_label <> 'Unknown'")
+@query("storage_gate", f"SELECT media_id, seq, CAST(CASE WHEN speaker_label = 'PRIMARY' THEN length(text) END AS INTEGER) AS kept FROM {SEGMENTS_SQL} WHERE speaker_label <> 'Unknown'")
 def storage_gate(spark: SparkSession, d: str) -> DataFrame:
     s = segments(spark, d).filter("speaker_label <> 'Unknown'")
     return s.select("media_id", "seq", views.gated_embedding(F.col("speaker_label"), F.length("text")).alias("kept"))

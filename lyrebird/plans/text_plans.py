@@ -108,9 +108,9 @@ def terminology_fix(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(text.fix_terms(F.col("text"), [("tion", "TION"), ("TIONs", "tions")])).alias("h"))
 
 
-@query("label_normalize", "SELECT role AS label, CASE upper(role) WHEN 'USER' THEN 'user' ELSE role END AS normal, count(*) AS n FROM (SELECT CASE turn % 5 WHEN 0 THEN 'CH' WHEN 1 THEN 'CHAFFEE' WHEN 2 THEN 'G1' WHEN 3 THEN '' ELSE role END AS raw, CASE turn % 5 WHEN 0 THEN 'Chaffee' WHEN 1 THEN 'Chaffee' WHEN 2 THEN 'GUEST' WHEN 3 THEN 'GUEST' ELSE role END AS role FROM conversations) GROUP BY 1, 2")
+@query("label_normalize", "SELECT role AS label, CASE upper(role) WHEN 'USER' THEN 'user' ELSE role END AS normal, count(*) AS n FROM (SELECT CASE turn % 5 WHEN 0 THEN 'CH' WHEN 1 THEN 'HOST' WHEN 2 THEN 'G1' WHEN 3 THEN '' ELSE role END AS raw, CASE turn % 5 WHEN 0 THEN 'PRIMARY' WHEN 1 THEN 'PRIMARY' WHEN 2 THEN 'GUEST' WHEN 3 THEN 'GUEST' ELSE role END AS role FROM conversations) GROUP BY 1, 2")
 def label_normalize(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.expr("CASE turn % 5 WHEN 0 THEN 'CH' WHEN 1 THEN 'CHAFFEE' WHEN 2 THEN 'G1' WHEN 3 THEN '' ELSE role END")
+    raw = F.expr("CASE turn % 5 WHEN 0 THEN 'CH' WHEN 1 THEN 'HOST' WHEN 2 THEN 'G1' WHEN 3 THEN '' ELSE role END")
     out = table(spark, d, "conversations").select(keys.normal_label(raw).alias("label"))
     return out.groupBy("label", F.col("label").alias("normal")).agg(F.count("*").alias("n"))
 
@@ -125,7 +125,7 @@ def source_type_repair(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "quality_label",
-    f"""SELECT media_id, seq, CASE WHEN CASE WHEN speaker_label = 'Chaffee' THEN avg_logprob > -0.3 AND compression_ratio < 2.0 ELSE avg_logprob > -0.4 AND compression_ratio < 2.2 END THEN 'high'
+    f"""SELECT media_id, seq, CASE WHEN CASE WHEN speaker_label = 'PRIMARY' THEN avg_logprob > -0.3 AND compression_ratio < 2.0 ELSE avg_logprob > -0.4 AND compression_ratio < 2.2 END THEN 'high'
       WHEN avg_logprob <= -0.35 OR compression_ratio >= 2.4 THEN 'low' ELSE 'medium' END AS label,
       avg_logprob <= -0.35 OR compression_ratio >= 2.4 OR no_speech_prob >= 0.8 AS refine FROM {SEGMENTS_SQL}""",
 )

@@ -24,6 +24,6 @@ TABLES = {"sources": SOURCES, "segments": SEGMENTS, "ingest_state": INGEST_STATE
 
 # Fixed values of the data model's enumerations.
 SOURCE_TYPES = ("youtube", "zoom", "youtube_api", "local_file")
-PRIMARY, GUEST, UNKNOWN = "Chaffee", "GUEST", "Unknown"
+PRIMARY, GUEST, UNKNOWN = "PRIMARY", "GUEST", "Unknown"
 STATUSES = ("pending", "has_yt_transcript", "needs_whisper", "transcribed", "chunked", "embedded", "upserted", "error", "skipped", "done")
 PROVENANCES = ("owner", "yt_caption", "yt_dlp", "whisper")

@@ -121,7 +121,7 @@ def test_links_and_labels(spark):
     assert one(spark, link, u="u", s=0.0, k="youtube") == "u"
     assert one(spark, link, u="u", s=12.7, k="zoom") == "u"
     assert one(spark, keys.base_url(F.col("u")), u="u&t=12s") == "u"
-    for raw, want in (("ch", "Chaffee"), ("CHAFFEE", "Chaffee"), ("g1", "GUEST"), (None, "GUEST"), ("Bob", "Bob")):
+    for raw, want in (("ch", "PRIMARY"), ("HOST", "PRIMARY"), ("g1", "GUEST"), (None, "GUEST"), ("Bob", "Bob")):
         assert one(spark, keys.normal_label(F.col("l")), l=F.lit(raw).cast("string")) == want
 
 

@@ -94,7 +94,7 @@ def test_hysteresis(spark, data):
             run = run + 1 if hit else 0
             if hit and run >= 2:
                 on = not on
-            want.append((r[0], r[1], "Chaffee" if on else "GUEST"))
+            want.append((r[0], r[1], "PRIMARY" if on else "GUEST"))
     got = seg.hysteresis(spark.createDataFrame(data, SCHEMA)).collect()
     assert sorted((r.media_id, r.seq, r.state_label) for r in got) == sorted(want)
 
