@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 _OWN_ROOT: dict[str, str] = {}
 
 
@@ -34,15 +35,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/lyrebird-{name}-{uuid.uuid4().hex}"
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
-    """Within it, what runs hands batches of at most ``most`` bytes to Python: texts and sets may be long."""
-    before = spark.conf.get(BATCH_KEY)
-    spark.conf.set(BATCH_KEY, str(most))
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH_KEY, before)
+def cap_batches(spark: SparkSession) -> None:
+    """From now on this session hands Python batches of at most 8 MB, or fewer bytes if it is set so: texts may be long,
+    and batches are held several times over, outside the heap and in the workers."""
+    if int(str(spark.conf.get(BATCH_KEY)).rstrip("bB")) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -52,8 +49,8 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with small_batches(spark):
-        df.write.option("compression", compression).parquet(path)
+    cap_batches(spark)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out

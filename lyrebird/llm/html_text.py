@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lyrebird.llm.common import cap_batches
+
 WINDOW = 3
 #: Characters of non-link text in a window at which a block of text begins, on pages that don't mark their article.
 SURGE = 90
@@ -233,4 +235,5 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(page.as_py()) for page in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    cap_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

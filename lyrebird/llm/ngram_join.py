@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lyrebird.llm.common import by_bytes, drop_scratch, materialize, release, small_batches, worker_slot
+from lyrebird.llm.common import by_bytes, cap_batches, drop_scratch, materialize, release, worker_slot
 from lyrebird.llm.components import connected_components
 from lyrebird.llm.rows import with_ids
 from lyrebird.llm.words import WordHashes, mix, shingle_set
@@ -63,8 +63,8 @@ def token_frequencies(docs: DataFrame, k: int) -> np.ndarray:
         if used.size:
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bucket", "n"])
 
-    with small_batches(docs.sparkSession):
-        counts = _texts(docs).select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    cap_batches(docs.sparkSession)
+    counts = _texts(docs).select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << BUCKET_BITS, np.int64)
     out[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     return out
