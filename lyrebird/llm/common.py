@@ -64,9 +64,16 @@ def drop_scratch(*frames: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def trim() -> None:
+    """Give this process's freed memory back, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now: it does so when their plans are garbage on the driver."""
-    gc.collect()
+    trim()
     spark._jvm.System.gc()
 
 
@@ -85,8 +92,7 @@ def worker_slot(key, make: Callable):
     kept = sys.__dict__.setdefault("_lyrebird_slot", {})
     if key not in kept:
         kept.clear()
-        with contextlib.suppress(OSError, AttributeError):  # give freed memory back, where the C library can
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
         kept[key] = make()
     return kept[key]
 
