@@ -5,7 +5,7 @@ word, all hashed into one table; a text is the mean of its words' vectors, weigh
 counts (a word that a text repeats over and over must not outweigh it), and a softmax layer gives the two classes. Table and layer are trained together, so an unseen misspelling scores through n-grams it shares.
 
 As the layer is linear, a word's share of the logit is one number: scoring looks words up in a bounded cache and
-averages whole texts. Training reads a bounded sample of labelled rows (``max_rows``, by hash of doc_id); scoring
+averages whole texts. N-grams cover a word to its end, however long it is: a text without white space is one word. Training reads a bounded sample of labelled rows (``max_rows``, by hash of doc_id); scoring
 covers every row.
 
 Defined results: null or empty texts get the score of the bias alone; unlabelled rows are never learned from;
@@ -38,6 +38,10 @@ MAX_ROWS = 6000
 CACHE_WORDS = 250_000
 #: Words whose n-grams the driver keeps while it builds the sample's bags.
 BAG_WORDS = 50_000
+#: Characters up to which a word is kept in either cache; longer ones are hashed anew each time.
+CACHED_CHARS = 64
+#: Characters from which a word's n-grams are hashed as arrays.
+ARRAY_CHARS = 400
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -62,11 +66,36 @@ def spelled(word: str) -> str:
     return "".join(c for c in word.translate(_LEET) if c.isalnum())
 
 
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, (t >> 1) ^ np.uint32(0xEDB88320), t >> 1)
+    return t
+
+
+_CRC = _crc_table()
+
+
+def _crc_grams(w: str, n: int) -> np.ndarray:
+    """zlib.crc32 of the UTF-8 bytes of each run of n characters."""
+    data = np.frombuffer(w.encode("utf-8", "surrogatepass"), np.uint8)
+    bounds = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    start, size = bounds[:-n], bounds[n:] - bounds[:-n]
+    crc = np.full(len(start), 0xFFFFFFFF, np.uint32)
+    for k in range(int(size.max(initial=0))):
+        byte = data[np.minimum(start + k, len(data) - 1)]
+        crc = np.where(k < size, _CRC[(crc ^ byte) & 0xFF] ^ (crc >> 8), crc)
+    return ~crc
+
+
 def ngrams_of(word: str) -> list[int]:
     """Table rows of a word's n-grams and of the word itself; none for an empty word."""
     if not word:
         return []
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
+    if len(w) >= ARRAY_CHARS:
+        whole = zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS
+        return [whole, *np.concatenate([_crc_grams(w, n) % BUCKETS for n in SIZES]).tolist()]
     grams = [w, *(w[i : i + n] for n in SIZES for i in range(len(w) - n + 1))]
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
 
@@ -98,11 +127,13 @@ class Scorer(dict):
         self._rows = (model.table.astype(np.float64) @ layer * SCALE).tolist()
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
         grams = ngrams_of(spelled(word))
         rows = self._rows
-        value = self[word] = sum([rows[g] for g in grams]) / len(grams) if grams else 0.0
+        value = sum([rows[g] for g in grams]) / len(grams) if grams else 0.0
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
     def score(self, text: str | None) -> float:
@@ -128,9 +159,11 @@ def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for w, c in counts.items():
             grams = seen.get(w)
             if grams is None:
-                if len(seen) >= BAG_WORDS:
-                    seen.clear()
-                grams = seen[w] = array("H", ngrams_of(spelled(w)))
+                grams = array("H", ngrams_of(spelled(w)))
+                if len(w) <= CACHED_CHARS:
+                    if len(seen) >= BAG_WORDS:
+                        seen.clear()
+                    seen[w] = grams
             if grams:
                 parts += grams
                 shares += array("f", [sqrt(c) / len(grams) / whole]) * len(grams)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -87,6 +88,20 @@ def test_toxicity_on_held_out_rows_and_misspellings(spark, toxic_corpus):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def test_toxicity_reads_long_words_to_their_end(toxic_corpus):
+    model = toxicity.train([t for _, t, _ in toxic_corpus], [y for _, _, y in toxic_corpus])
+    scorer = toxicity.Scorer(model)
+    for clean in (".".join(f"w{i}" for i in range(100, 140)), "天気がいいので散歩に行きます" * 4):
+        assert len(toxicity.spelled(clean)) > 40
+        assert scorer.score(clean + ".you.stupid.idiot.moron." * 8) > scorer.score(clean) + 0.2
+    for word in ("天気é" * 300 + "x", "ab" * 250, "𝒳\ud800y" * 200):
+        w = f"<{word}>"
+        slow = [zlib.crc32(g.encode("utf-8", "surrogatepass")) % toxicity.BUCKETS for g in (w, *(w[i : i + n] for n in toxicity.SIZES for i in range(len(w) - n + 1)))]
+        assert toxicity.ngrams_of(word) == slow
+    scorer.score("z" * 1000)
+    assert max(map(len, scorer)) <= toxicity.CACHED_CHARS
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in toxicity.score_documents(docs(spark, [(1, "a", "s")]), labels).collect()] == [0.0]
