@@ -3,8 +3,10 @@
 Markup is stripped into lines, one per block of the page; what stands in menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments makes blank lines. Text lengths are summed over windows
 of ``WINDOW`` lines: a block of text surges where such a sum rises to the threshold and dives where it falls to
-nothing. Text between surge and dive is kept. Where the page marks its article, the distribution picks the
-marked container with the most text, and everything between its first and last line of text is kept, however short.
+nothing. Text between surge and dive is kept. Where the page marks its article, each marked container whose own lines
+surge is kept from its first to its last line of text, however short, if these containers hold at least half of all
+the text that surges: articles before main elements before names. Else the marks are doubted, and the text between surge
+and dive stays. Where nothing surges, the surest container with the most text is kept, or else the run with the most.
 
 Blocks are the lines between block-level tags and line breaks; character references are decoded, white space
 inside a block becomes one space, blocks are trimmed and joined by one line feed; nothing else is dropped.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from lyrebird.llm.common import cap_batches
 
 WINDOW = 3
-#: Characters of non-link text in a window at which a block of text begins, on pages that don't mark their article.
+#: Characters of non-link text in a window at which a block of text begins.
 SURGE = 90
 
 # HTML element names and words of class names, ids and roles.
@@ -207,24 +209,44 @@ def text_blocks(lengths: list[int], surge: int, window: int = WINDOW) -> list[tu
     return out
 
 
+def _groups(lines: _Lines, kinds: list[int], least: int) -> list[range]:
+    """The lines of each outermost container that holds the article as surely as ``least`` or more."""
+    out: dict[int, list[int]] = {}
+    for i, inside in enumerate(lines.inside):
+        for c in inside:
+            if kinds[c] >= least:
+                out.setdefault(c, [i, i])[1] = i
+                break
+    return [range(a, b + 1) for a, b in out.values()]
+
+
+def _chosen(lines: _Lines, kinds: list[int]) -> set[int]:
+    """Numbers of the lines to keep."""
+    size = list(map(len, lines.text))
+    runs = [range(a, b) for a, b in text_blocks(lines.plain, SURGE)]
+    surging = sum(size[i] for r in runs for i in r)
+    for least in sorted(set(kinds), reverse=True):
+        groups = _groups(lines, kinds, least)
+        if runs:
+            groups = [g for g in groups if text_blocks(lines.plain[g.start : g.stop], SURGE)]
+            if 2 * sum(size[i] for g in groups for i in g) < surging:  # most of what surges is elsewhere
+                continue
+        elif any(size[i] for g in groups for i in g):  # nothing surges: the container with the most text
+            groups = [max(groups, key=lambda g: (sum(size[i] for i in g), -g.start))]
+        if groups:
+            return {i for g in groups for i in g}
+    if not runs:  # nothing surges and no container has text: the run with the most text
+        runs = sorted((range(a, b) for a, b in text_blocks(lines.plain, 1)), key=lambda r: (-sum(lines.plain[i] for i in r), r.start))[:1]
+    return {i for r in runs for i in r}
+
+
 def main_text(page: str | None) -> str:
     """The page's main text; see the module's text for what counts."""
     if not page:
         return ""
     lines, kinds = _lines_of(page)
-    best = max(kinds, default=0)
-    if best:
-        total = dict.fromkeys((c for c, k in enumerate(kinds) if k == best), 0)
-        for n, inside in zip(map(len, lines.text), lines.inside, strict=True):
-            for c in inside:
-                if c in total:
-                    total[c] += n
-        chosen = max(total, key=lambda c: (total[c], -c))
-        return "\n".join(t for t, inside in zip(lines.text, lines.inside, strict=True) if t and chosen in inside)
-    keep = text_blocks(lines.plain, SURGE)
-    if not keep:  # nothing surges: the run with the most text
-        keep = sorted(text_blocks(lines.plain, 1), key=lambda ab: (-sum(lines.plain[ab[0] : ab[1]]), ab))[:1]
-    return "\n".join(t for a, b in keep for t in lines.text[a:b] if t)
+    keep = _chosen(lines, kinds)
+    return "\n".join(t for i, t in enumerate(lines.text) if t and i in keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -41,6 +41,19 @@ def test_line_blocks_without_marked_article():
     assert text_blocks([], 80) == []
 
 
+def test_surges_choose_among_marked_containers():
+    a, b, c = (f"{n} {PARA.strip()} {PARA.strip()}" for n in ("One.", "Two.", "Three."))
+    # an article spread over siblings, with a teaser that doesn't surge between them
+    assert main_text(f"<article><h2>H</h2><p>{a}</article><article><a href=x>More</a></article><article><p>{b}</p><p>Ok.</article>") == f"H\n{a}\n{b}\nOk."
+    # the mark stands on a teaser, the text is in the main element around it, or in no container
+    assert main_text(f"<main><p>{a}</p><article><p>tease</article><p>{b}</main>") == f"{a}\ntease\n{b}"
+    assert main_text(f"<div class='post-meta'>by me</div><p>{a}</p><p>{b}</p>").endswith(f"{a}\n{b}")
+    # two halves under one class name
+    assert main_text(f"<div class=entry><p>{a}</div><div class=ad>x</div><div class=entry><p>{b}</p></div>") == f"{a}\n{b}"
+    # a marked article with most of the surging text is kept alone
+    assert main_text(f"<p>{c}</p><article><p>{a}</p><p>{b}</article>") == f"{a}\n{b}"
+
+
 def test_extract_keeps_every_row(spark):
     rows = [(1, "u", "<article>é</article>", 5), (1, "u", "<article>é</article>", 5), (2, None, None, 6)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
