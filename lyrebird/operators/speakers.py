@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lyrebird.functions.vector import cosine
+from lyrebird.functions.vector import cosine, doubles
 from lyrebird.operators.bounds import small
 from lyrebird.schemas import UNKNOWN
 
@@ -53,10 +57,50 @@ def is_monologue(similarities: Column, threshold: Column, from_centroid: Column)
     return (F.size(first) > 0) & (mean >= least)
 
 
-def profile_threshold(similarities: DataFrame, by: str, column: str = "similarity", sigmas: float = 3.0) -> DataFrame:
+def threshold_of(n: Column, mean: Column, deviation: Column, sigmas: float = 3.0) -> Column:
     """max(0.5, mean - 3 population standard deviations), 0.7 for fewer than two similarities."""
+    return F.when(n < 2, 0.7).otherwise(F.greatest(F.lit(0.5), mean - sigmas * deviation))
+
+
+def profile_threshold(similarities: DataFrame, by: str, column: str = "similarity", sigmas: float = 3.0) -> DataFrame:
+    """The threshold of each key's similarities."""
     agg = similarities.groupBy(by).agg(F.count(column).alias("n"), F.avg(column).alias("m"), F.stddev_pop(column).alias("d"))
-    return agg.select(by, F.when(F.col("n") < 2, 0.7).otherwise(F.greatest(F.lit(0.5), F.col("m") - sigmas * F.col("d"))).alias("threshold"))
+    return agg.select(by, threshold_of(F.col("n"), F.col("m"), F.col("d"), sigmas).alias("threshold"))
+
+
+def pair_similarities(df: DataFrame, by: str, vector: str) -> DataFrame:
+    """Per key with two vectors or more: n_pairs, mean and population deviation of the cosines of all pairs, without making a pair.
+
+    With unit vectors u, the cosines of all pairs sum to (|sum u|^2 - sum |u|^2) / 2 and their squares to
+    (|sum u u'|^2 - sum |u|^4) / 2; both sums are added up in parts. A zero vector has similarity 0; null keys and vectors
+    take no part; all vectors have one length.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = b.column(1)
+            u = np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
+            size = np.linalg.norm(u, axis=1, keepdims=True)
+            u = np.divide(u, size, out=np.zeros_like(u), where=size > 0)
+            keys, place = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+            for k in range(len(keys)):
+                x = u[place == k]
+                some = float((size[place == k] > 0).sum())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([int(np.argmax(place == k))])), pa.array([len(x)], pa.int64()), pa.array([some]), pa.array([x.sum(axis=0)]), pa.array([(x.T @ x).ravel()])], [by, "n", "some", "one", "two"])
+
+    known = df.select(by, doubles(F.col(vector)).alias("v")).filter(F.col(by).isNotNull() & F.col("v").isNotNull())
+    kind = known.schema[by].dataType.simpleString()
+    parts = known.mapInArrow(run, f"`{by}` {kind}, n long, some double, one array<double>, two array<double>")
+    sizes = parts.groupBy(by).agg(F.sum("n").alias("n"), F.sum("some").alias("some"))
+
+    def squares(c: str) -> DataFrame:
+        cells = parts.select(by, F.posexplode(c).alias("pos", "x")).groupBy(by, "pos").agg(F.sum("x").alias("x"))
+        return cells.groupBy(by).agg(F.sum(F.col("x") * F.col("x")).alias(c))
+
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    mean, square = (F.col("one") - F.col("some")) / 2 / F.col("n_pairs"), (F.col("two") - F.col("some")) / 2 / F.col("n_pairs")
+    joined = sizes.filter("n > 1").join(squares("one"), by).join(squares("two"), by).withColumn("n_pairs", pairs.cast("long"))
+    return joined.select(by, "n_pairs", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("deviation"))
 
 
 def speaker_stats(df: DataFrame, label: str = "speaker_label") -> DataFrame:

@@ -172,14 +172,15 @@ def vector_best_centroid(spark: SparkSession, d: str) -> DataFrame:
       WHERE a.vec_id % 20 = a.label AND b.vec_id % 20 = b.label) GROUP BY label""",
 )
 def vector_pairwise_threshold(spark: SparkSession, d: str) -> DataFrame:
-    """Threshold per profile from the similarities of its enrolment vectors; a profile's vectors are a small enrolled set."""
-    from lyrebird.operators.speakers import profile_threshold
-
-    e = table(spark, d, "embeddings").filter(F.col("vec_id") % 20 == F.col("label"))
-    a, b = e.select("label", F.col("vec_id").alias("i"), F.col("embedding").alias("x")), e.select("label", F.col("vec_id").alias("j"), F.col("embedding").alias("y"))
-    s = a.join(b, "label").filter("i < j").select("label", cosine(F.col("x"), F.col("y")).alias("similarity"))
-    stats = s.groupBy("label").agg(F.count("*").alias("n_pairs"), F.round(F.avg("similarity"), 6).alias("mean"))
-    return stats.join(profile_threshold(s, "label"), "label").select("label", "n_pairs", "mean", F.round("threshold", 6).alias("threshold"))
+    """Threshold per profile from the similarities of all pairs of its vectors.
+
+    The SQL takes one vector in 20 only, so its rows differ; without its filter on vec_id it gives these.
+    """
+    from lyrebird.operators.speakers import pair_similarities, threshold_of
+
+    s = pair_similarities(table(spark, d, "embeddings"), "label", "embedding")
+    threshold = threshold_of(F.col("n_pairs"), F.col("mean"), F.col("deviation"))
+    return s.select("label", "n_pairs", F.round("mean", 6).alias("mean"), F.round(threshold, 6).alias("threshold"))
 
 
 @query(
