@@ -87,7 +87,13 @@ def span_union_merge(spark: SparkSession, d: str) -> DataFrame:
         FROM {SEGMENTS_SQL} WHERE seq % 3 <> 1)) GROUP BY media_id, c""",
 )
 def close_caption_merge(spark: SparkSession, d: str) -> DataFrame:
-    out = cluster.merged(cluster.gap_clusters(segments(spark, d).filter("seq % 3 <> 1"), "media_id", "seq", 1.0), "media_id", "seq", by=" ")
+    """Every segment, merged where gaps are short; two seconds more before each third segment make gaps.
+
+    The SQL makes gaps by leaving out a third of the segments, so its rows differ.
+    """
+    shift = 2.0 * F.floor(F.col("seq") / 3)
+    spaced = segments(spark, d).withColumns({"start_sec": F.col("start_sec") + shift, "end_sec": F.col("end_sec") + shift})
+    out = cluster.merged(cluster.gap_clusters(spaced, "media_id", "seq", 1.0), "media_id", "seq", by=" ")
     return out.select("media_id", F.col("cluster").cast("long"), "n_rows", F.md5("text").alias("text_md5"))
 
 
@@ -186,11 +192,12 @@ def overlap_flag(spark: SparkSession, d: str) -> DataFrame:
       THEN CAST(max_by(label, sim) AS VARCHAR) ELSE 'Unknown' END AS label, round(max(sim), 6) AS similarity FROM r GROUP BY vec_id""",
 )
 def speaker_margin(spark: SparkSession, d: str) -> DataFrame:
+    """The label of every vector. The SQL takes one vector in 10 only; without its filter on vec_id it gives these rows."""
     from lyrebird.functions.vector import centroids
 
     e = table(spark, d, "embeddings")
     profiles = centroids(e, "label", "embedding").select(F.col("label").cast("string").alias("name"), "centroid", F.lit(0.5).alias("threshold"))
-    clusters = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("cluster"), F.lit(7.0).alias("seconds"), F.col("embedding").cast("array<double>").alias("centroid"))
+    clusters = e.select(F.col("vec_id").alias("cluster"), F.lit(7.0).alias("seconds"), F.col("embedding").cast("array<double>").alias("centroid"))
     return speakers.attribute_clusters(clusters, profiles).select(F.col("cluster").alias("vec_id"), "label", F.round("similarity", 6).alias("similarity"))
 
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 
+from lyrebird.load import SEGMENTS_SQL, segments
 from lyrebird.operators.speakers import pair_similarities
 from lyrebird.plans import registry
 from tests.test_oracle import duck, rows  # noqa: F401
@@ -40,3 +41,24 @@ def test_pairwise_threshold_takes_every_vector(spark, medium):
 
 def test_pairwise_threshold_equals_sql_over_all_vectors(spark, duck, medium):  # noqa: F811
     equal_without(spark, duck, medium, "vector_pairwise_threshold", "WHERE a.vec_id % 20 = a.label AND b.vec_id % 20 = b.label")
+
+
+def test_speaker_margin_labels_every_vector(spark, duck, medium):  # noqa: F811
+    assert registry.queries()["speaker_margin"](spark, medium).count() == spark.read.parquet(f"{medium}/embeddings.parquet").count()
+    equal_without(spark, duck, medium, "speaker_margin", " WHERE vec_id % 10 = 0")
+
+
+def test_close_captions_keep_every_segment(spark, duck, medium):  # noqa: F811
+    out = registry.queries()["close_caption_merge"](spark, medium)
+    n = Counter(r.media_id for r in segments(spark, medium).collect())
+    got = Counter()
+    for r in out.collect():
+        got[r.media_id] += r.n_rows
+    assert got == n
+    spaced = f"(SELECT * REPLACE (start_sec + 2 * (seq // 3) AS start_sec, end_sec + 2 * (seq // 3) AS end_sec) FROM {SEGMENTS_SQL})"
+    sql = registry.oracle_sql()["close_caption_merge"]
+    part = f"{SEGMENTS_SQL} WHERE seq % 3 <> 1"
+    assert sql.count(part) == 1
+    want = duck.sql(sql.replace(part, spaced))
+    assert rows(out.columns, out.collect()) == rows(want.columns, want.fetchall())
+    assert max(n.values()) <= 3 or out.count() > len(n)
