@@ -43,7 +43,8 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
 
 @query("chunk_hash", f"SELECT media_id, seq, substr(sha256(media_id || ':' || printf('%.3f', start_sec) || ':' || printf('%.3f', end_sec) || ':' || text), 1, 16) AS h FROM {SEGMENTS_SQL} WHERE seq = 0")
 def chunk_hash(spark: SparkSession, d: str) -> DataFrame:
-    s = segments(spark, d).filter("seq = 0")
+    """The hash of every segment. The SQL takes first turns only; without its filter on seq it gives these rows."""
+    s = segments(spark, d)
     return s.select("media_id", "seq", keys.chunk_hash(F.col("media_id").cast("string"), F.col("start_sec"), F.col("end_sec"), F.col("text")).alias("h"))
 
 

@@ -62,3 +62,8 @@ def test_close_captions_keep_every_segment(spark, duck, medium):  # noqa: F811
     want = duck.sql(sql.replace(part, spaced))
     assert rows(out.columns, out.collect()) == rows(want.columns, want.fetchall())
     assert max(n.values()) <= 3 or out.count() > len(n)
+
+
+def test_chunk_hash_covers_every_segment(spark, duck, medium):  # noqa: F811
+    assert registry.queries()["chunk_hash"](spark, medium).count() == spark.read.parquet(f"{medium}/conversations.parquet").count()
+    equal_without(spark, duck, medium, "chunk_hash", " WHERE seq = 0")
