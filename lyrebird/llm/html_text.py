@@ -6,7 +6,8 @@ of ``WINDOW`` lines: a block of text surges where such a sum rises to the thresh
 nothing. Text between surge and dive is kept. Where the page marks its article, each marked container whose own lines
 surge is kept from its first to its last line of text, however short, if these containers hold at least half of all
 the text that surges: articles before main elements before names. Else the marks are doubted, and the text between surge
-and dive stays. Where nothing surges, the surest container with the most text is kept, or else the run with the most.
+and dive stays. A name doesn't make an element boilerplate if it speaks of the layout (with-sidebar), or if the element holds
+the page's main element, or the only article, or most of the text where nothing else surges. Where nothing surges, the surest container with the most text is kept, or else the run with the most.
 
 Blocks are the lines between block-level tags and line breaks; character references are decoded, white space
 inside a block becomes one space, blocks are trimmed and joined by one line feed; nothing else is dropped.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +43,10 @@ SKIP_ROLES = frozenset("navigation banner contentinfo complementary search alert
 SKIP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus feedback footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related recommended recommendations reply replies respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: A class name with one of these says how the page is laid out, not what the element holds.
+LAYOUT_WORDS = frozenset("with without no not has hide hides show shows".split())
+#: Words for lists of what isn't the article, though their entries may be marked as articles.
+OTHERS = frozenset("comment comments disqus feedback recommended recommendations related replies reply respond responses".split())
 MAIN_WORDS = frozenset("article content entry main post story".split())
 NEVER_SKIPPED = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -61,8 +67,9 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z0-9]+")
 PLAIN, SKIP, HEAD_ONLY, HEADING = range(4)
 
 
-def _marks(tag: str, attrs: str) -> tuple[bool, int]:
-    """Whether the element is boilerplate, and how surely it holds the article: 3 article, 2 main, 1 by its name, 0 not."""
+def _marks(tag: str, attrs: str) -> tuple[bool, set[str], int]:
+    """Whether the element is boilerplate, the words of its names that say so, and how surely it holds the article: 3 article, 2 main, 1 by its name, 0 not."""
+    named: set[str] = set()
     skip, main = tag in SKIP_TAGS or tag == "header", 3 if tag == "article" else 2 if tag == "main" else 0
     if attrs.strip(" /"):
         for name, *values in _ATTR.findall(attrs):
@@ -72,12 +79,23 @@ def _marks(tag: str, attrs: str) -> tuple[bool, int]:
                 main = max(main, 2 if value.lower() == "main" else 3 if value.lower() == "article" else 0)
             elif name in ("class", "id"):
                 words = {w.lower() for w in _CAMEL.split(value)}
-                skip |= bool(words & SKIP_WORDS)
+                if words & SKIP_WORDS:
+                    names = [{w.lower() for w in _CAMEL.split(name)} for name in value.split()]
+                    named.update(*(n & SKIP_WORDS for n in names if not n & LAYOUT_WORDS))
                 if tag in ("div", "section", "td") and words & MAIN_WORDS:
                     main = max(main, 1)
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
                 skip = True
-    return skip and tag not in NEVER_SKIPPED, main
+    return (False, set(), main) if tag in NEVER_SKIPPED else (skip, named, main)
+
+
+@dataclass
+class _Skipped:
+    """An element that is skipped for its names alone: its text's length, how surely it holds articles, whether it lists others' texts."""
+
+    others: bool
+    size: int = 0
+    holds: frozenset[int] = frozenset()
 
 
 class _Lines:
@@ -112,9 +130,14 @@ class _Lines:
                 self.inside.append(())
 
 
-def _lines_of(page: str) -> tuple[_Lines, list[int]]:
-    """The page's lines, and how surely each container holds the article."""
+def _lines_of(page: str, spared: frozenset[int] = frozenset()) -> tuple[_Lines, list[int], dict[int, _Skipped]]:
+    """The page's lines, how surely each container holds the article, and by its place what was skipped for its names alone.
+
+    Elements at the places ``spared`` aren't skipped for their names.
+    """
     lines, kinds = _Lines(), []
+    skipped: dict[int, _Skipped] = {}
+    within: list[int] = []  # places of the open skipped elements, -1 for one that isn't skipped for its names alone
     stack: list[tuple[str, int, int]] = []  # tag, mode, container or -1
     skips = links = 0
     inside: tuple[int, ...] = ()
@@ -132,15 +155,21 @@ def _lines_of(page: str) -> tuple[_Lines, list[int]]:
     def pop() -> None:
         nonlocal skips, links, inside
         tag, mode, container = stack.pop()
-        skips -= mode == SKIP
+        if mode == SKIP:
+            skips -= 1
+            within.pop()
         links -= tag == "a"
         if container >= 0:
             inside = inside[:-1]
 
     at = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at and kept():
-            lines.add(page[at : m.start()], links > 0)
+        if m.start() > at:
+            if kept():
+                lines.add(page[at : m.start()], links > 0)
+            elif skips and -1 not in within:
+                for place in within:
+                    skipped[place].size += len(page[at : m.start()].strip())
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if not tag:
@@ -171,9 +200,11 @@ def _lines_of(page: str) -> tuple[_Lines, list[int]]:
                     break
                 if stack[i][0] in BLOCKS:
                     break
-        skip, main = _marks(tag, m["attrs"] or m["attrs2"] or "")
+        skip, named, main = _marks(tag, m["attrs"] or m["attrs2"] or "")
+        if m.start() in spared:
+            named = set()
         mode = PLAIN
-        if skip:
+        if skip or named:
             mode = HEAD_ONLY if tag == "header" and inside else SKIP
         elif tag in HEADINGS:
             mode = HEADING
@@ -182,15 +213,44 @@ def _lines_of(page: str) -> tuple[_Lines, list[int]]:
             kinds.append(main)
             container = len(kinds) - 1
             inside = (*inside, container)
+        elif main > 1 and mode == PLAIN and -1 not in within:
+            for place in within:
+                skipped[place].holds |= {main}
         stack.append((tag, mode, container))
-        skips += mode == SKIP
+        if mode == SKIP:
+            skips += 1
+            within.append(-1 if skip else m.start())
+            if not skip:
+                skipped[m.start()] = _Skipped(bool(named & OTHERS))
         links += tag == "a"
         if mode == SKIP:
             lines.blank()
     if at < len(page) and kept():
         lines.add(page[at:], links > 0)
     lines.end(inside)
-    return lines, kinds
+    return lines, kinds, skipped
+
+
+def _spared(lines: _Lines, kinds: list[int], skipped: dict[int, _Skipped]) -> frozenset[int]:
+    """Places of the elements whose names mislead: a main element is in them, or else, where what is left has no article,
+    an article, or where it has no marked container and no surge, most of the page's text."""
+    left = sum(map(len, lines.text))
+    seen = max((kinds[c] for inside in lines.inside for c in inside), default=0)
+    surges = bool(text_blocks(lines.plain, SURGE))
+    # a share of the page without what lists others' texts
+    own = left + max((e.size for e in skipped.values() if not e.others), default=0)
+
+    def misled(e: _Skipped) -> bool:
+        if 2 in e.holds:
+            return True
+        if seen > 1 or not e.size or e.others and left:
+            return False
+        most = 2 * e.size > own
+        if 3 in e.holds:
+            return most or not surges
+        return most and not seen and not surges
+
+    return frozenset(place for place, e in skipped.items() if misled(e))
 
 
 def text_blocks(lengths: list[int], surge: int, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -244,7 +304,9 @@ def main_text(page: str | None) -> str:
     """The page's main text; see the module's text for what counts."""
     if not page:
         return ""
-    lines, kinds = _lines_of(page)
+    lines, kinds, skipped = _lines_of(page)
+    if skipped and (spared := _spared(lines, kinds, skipped)):
+        lines, kinds, _ = _lines_of(page, spared)
     keep = _chosen(lines, kinds)
     return "\n".join(t for i, t in enumerate(lines.text) if t and i in keep)
 

@@ -54,6 +54,23 @@ def test_surges_choose_among_marked_containers():
     assert main_text(f"<p>{c}</p><article><p>{a}</p><p>{b}</article>") == f"{a}\n{b}"
 
 
+@pytest.mark.parametrize("name", ["class='page with-sidebar'", "class=no-sidebar", "class='has-banner'", "class=content-header-fixed", "id='search-and-content'", "id=sidebarPage class='x noSidebar'"])
+def test_layout_names_around_the_text_skip_nothing(name):
+    text = f"{PARA.strip()} {PARA.strip()}"
+    for tag in ("article", "main", "section"):
+        page = f"<nav>Menu</nav><div {name}><div class=toolbar-holder><div class=ad>Buy</div><{tag}><h1>H</h1><p>{text}</p></{tag}></div></div><footer>f</footer>"
+        assert main_text(page.replace(" class=toolbar-holder", "")) == f"H\n{text}"
+        assert main_text(page) == f"H\n{text}"
+
+
+def test_names_still_mark_boilerplate():
+    text, other = f"One. {PARA.strip()}", f"Two. {PARA.strip()} {PARA.strip()}"
+    for box in (f"<div class=comments><article><p>{other}</article></div>", f"<div class='sidebar'><p>{other}</div>", f"<div id=related-posts><article>{other}</article></div>"):
+        assert main_text(f"<article><p>{text}</article>{box}") == text
+        assert main_text(f"<div class=post><p>{text}</div>{box}") == text
+        assert main_text(f"<nav class=with-sidebar><p>{other}</nav><p>{text}") == text
+
+
 def test_extract_keeps_every_row(spark):
     rows = [(1, "u", "<article>é</article>", 5), (1, "u", "<article>é</article>", 5), (2, None, None, 6)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
