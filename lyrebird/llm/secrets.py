@@ -2,8 +2,8 @@
 
 A scan of every whole text finds candidates: the three base kinds (assign, access, hex), and two wider kinds,
 token (vendor prefixes and long mixed strings) and private key blocks. Each candidate's value is hashed, and the hashes are
-aggregated over the corpus by distinct owners and distinct repositories. A value seen with many owners is a
-widely copied example; one that stays with few owners is a live-looking credential. Base spans are always
+aggregated over the corpus by distinct owners and distinct repositories. A value seen with many owners, or in very many
+repositories of few owners, is a widely copied example; one that stays with few of both is a live-looking credential. Base spans are always
 reported; a wider span is reported when its value looks live and no base span covers it.
 
 Defined results: null or empty text has no candidates; repeated rows each give a row; a null owner or repository
@@ -34,6 +34,9 @@ WIDE = re.compile(
     r"(?P<token>\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{16,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}))"
     r"|(?P<key>-----BEGIN [A-Z ]*PRIVATE KEY-----)"
 )
+#: Owners and repositories up to which a value looks live.
+MAX_OWNERS, MAX_REPOS = 2, 1000
+
 KINDS = (*BASE_KINDS, "token", "key")
 
 _HEX_RUN = re.compile(r"[0-9a-f]{32,}")
@@ -95,23 +98,27 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.join(repos, "value")
 
 
+def _live(max_owners: int, max_repos: int) -> Column:
+    return (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+
+
 def _joined(spans: Column) -> Column:
     name = F.array(*(F.lit(k) for k in KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_corpus(docs: DataFrame, max_owners: int = 2, id_col: str = "doc_id", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
-    """Per document: doc_id, uid, base and spans (arrays of kind, start, end) and n_live, n_example.
+def scan_corpus(docs: DataFrame, max_owners: int = MAX_OWNERS, id_col: str = "doc_id", owner_col: str = "source", repo_col: str | None = None, max_repos: int = MAX_REPOS) -> DataFrame:
+    """Per document: doc_id, uid, base and spans (arrays of start, kind, end, live, n_owners, n_repos) and n_live, n_example.
 
-    A value with at most ``max_owners`` owners is live-looking, one with more a copied example.
+    A value with at most ``max_owners`` owners and ``max_repos`` repositories is live-looking, one with more of either a copied example.
     """
     found = materialize(find_candidates(docs, id_col, owner_col, repo_col), "candidates")
     some = found.filter(F.size("found") > 0)
     kept = some.select("uid", F.explode("found").alias("f")).select("uid", "f.kind", "f.start", "f.end", "f.value")
-    judged = kept.join(ownership(some), "value").withColumn("live", F.col("n_owners") <= max_owners)
-    span = F.struct("start", "kind", "end", "live")
+    judged = kept.join(ownership(some), "value").withColumn("live", _live(max_owners, max_repos))
+    span = F.struct("start", "kind", "end", "live", "n_owners", "n_repos")
     per_doc = judged.groupBy("uid").agg(F.sort_array(F.collect_list(span)).alias("all"))
-    joined = found.select("doc_id", "uid").join(per_doc, "uid", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>")))
+    joined = found.select("doc_id", "uid").join(per_doc, "uid", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,n_owners:bigint,n_repos:bigint>>")))
     base = F.filter("all", lambda s: s["kind"] < 3)
     wide = lambda s: s["live"] & ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
     return (
@@ -139,7 +146,7 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str = "[secret]") -> s
     return "".join([*out, text[at:]])
 
 
-def redact_corpus(docs: DataFrame, max_owners: int = 2, owner_col: str = "source") -> DataFrame:
+def redact_corpus(docs: DataFrame, max_owners: int = MAX_OWNERS, owner_col: str = "source", max_repos: int = MAX_REPOS) -> DataFrame:
     """The documents, all of them and with their own columns, with live-looking secrets replaced in ``text``.
 
     Texts are scanned again where they are replaced, and only those with a candidate meet the verdicts in a join.
@@ -148,7 +155,7 @@ def redact_corpus(docs: DataFrame, max_owners: int = 2, owner_col: str = "source
     found = materialize(find_candidates(docs, "doc_id", owner_col), "candidates")
     some = found.filter(F.size("found") > 0)
     kept = some.select("doc_id", F.explode("found.value").alias("value")).distinct()
-    live = kept.join(ownership(some).filter(F.col("n_owners") <= max_owners).select("value"), "value", "left_semi")
+    live = kept.join(ownership(some).filter(_live(max_owners, max_repos)).select("value"), "value", "left_semi")
     per_doc = live.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("value").alias("_live"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,6 +54,17 @@ def test_redact_overlapping_spans():
     assert secrets.redact("abcdefghij", [(1, 4), (2, 6), (8, 9)], "#") == "a#gh#j"
 
 
+def test_many_repositories_make_an_example(spark):
+    few, many = "ghp_" + "a1B2" * 6, "ghp_" + "c3D4" * 6
+    df = docs(spark, [(1, f"x {few} y", "s"), *((i, f"x {many} y", "s") for i in range(10, 14))])
+    got = {r.doc_id: r for r in secrets.scan_corpus(df, max_repos=3).collect()}
+    assert [(s.live, s.n_owners, s.n_repos) for s in got[1].spans] == [(True, 1, 1)]
+    assert all(not got[i].spans for i in range(10, 14))
+    texts = {r.doc_id: r.text for r in secrets.redact_corpus(df, max_repos=3).collect()}
+    assert texts[1] == "x [secret] y" and texts[10] == f"x {many} y"
+    assert {r.n_repos for r in secrets.ownership(secrets.find_candidates(df)).collect()} == {1, 4}
+
+
 @pytest.fixture(scope="module")
 def toxic_corpus():
     rng = np.random.default_rng(5)
