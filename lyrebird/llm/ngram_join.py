@@ -14,6 +14,9 @@ node is compared with every other (a star, not all pairs); where that leaves nod
 different components, their pairs are tried too, so that no link between components is lost: an exact bound from
 parity bits of the sets rules out nearly all that don't link before a pair is made. Links are verified on whole sets.
 
+Only connectivity is computed: pairs of different sets that the star has already put into one component are never verified, so the
+operator gives components, but neither all links nor the number of links of a document.
+
 Defined results: null or empty text, or text without words: no tokens, linked with nothing, component is its own
 doc_id. Repeated rows each give a row. A null doc_id gets the component's smallest known doc_id. Extra columns
 are ignored; an empty table gives an empty result.
