@@ -8,7 +8,7 @@ import gc
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +18,17 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
 _OWN_ROOT: dict[str, str] = {}
+#: Tables written inside each open ``scratch_scope``.
+_SCOPES: list[list[DataFrame]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is set (local tests)."""
+    """The shared folder the cluster names; a folder of our own only where none is set and all executors are this process (local tests)."""
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_ROOT:
         _OWN_ROOT[app] = "file://" + tempfile.mkdtemp(prefix="lyrebird-scratch-")
@@ -53,9 +57,24 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
+    for scope in _SCOPES:
+        scope.append(out)
     return out
 
 
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[Callable[[DataFrame], None]]:
+    """Drops at its end all tables written inside it, but for those given to the function it yields."""
+    written: list[DataFrame] = []
+    kept: list[str] = []
+    _SCOPES.append(written)
+    try:
+        yield lambda df: kept.append(df.scratch)
+    finally:
+        _SCOPES.remove(written)
+        drop_scratch(*(df for df in written if df.scratch not in kept))
+
+
 def drop_scratch(*frames: DataFrame) -> None:
     """Delete tables written by ``materialize``; only for tables no later plan reads."""
     for df in frames:
@@ -109,6 +128,14 @@ def input_partitions(df: DataFrame, rows_each: int, n_rows: int, least: int = 1)
     return max(least, -(-n_rows // rows_each))
 
 
+def fresh(names: Iterable[str], name: str) -> str:
+    """A column name that none of ``names`` equals, in any case."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def wider(df: DataFrame, name: str, kind: str) -> StructType:
     """The frame's schema with one more column."""
     return StructType([*df.schema, *StructType.fromDDL(f"`{name}` {kind}")])

@@ -16,7 +16,8 @@ def _fingerprint(edges: DataFrame) -> tuple[int, int]:
 def connected_components(links: DataFrame, name: str = "components") -> DataFrame:
     """``links`` (a long, b long) -> (node, root): root is the smallest node reachable; nodes without links are absent.
 
-    Every round is written to the shared folder; nothing but a row count and a checksum reaches the driver.
+    Every round is written to the shared folder; nothing but a row count and a checksum reaches the driver. The result reads
+    the last round's table, its ``scratch``.
     """
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = _fingerprint(edges)
@@ -33,4 +34,6 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
         if now == seen:
             break
         seen = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out.scratch = edges.scratch
+    return out

@@ -3,8 +3,9 @@
 The index holds, for blocks of documents of bounded size, the word positions of every term that occurs in the
 benchmark; it is one stored row per block, built and searched without a shuffle. Term frequencies over all documents
 order each window's terms: its rarest terms' posting lists, shifted by their offsets in the window, are
-intersected first, until the list is empty or all terms agree (an exact phrase). Proximity matches have all
-terms of a window, in any order, within ``slack`` more words than it has.
+intersected first, until the list is empty or all terms agree (an exact phrase). Proximity matches are the
+minimal spans of a document with all terms of a window, each as often as the window has it, in any order, within ``slack`` more
+words than it has, but for exact occurrences of the window. A span is minimal if no shorter one inside it has all these terms.
 
 The benchmark is searched in slices of at most ``SLICE_BYTES`` of text, which bounds what is broadcast.
 
@@ -15,15 +16,17 @@ give a row; extra columns are ignored; empty tables give no hits or no rows. A n
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lyrebird.llm.common import materialize, worker_slot
+from lyrebird.llm.rows import text_key, without_keys
 
 #: Tokens of a block, about; a longer document is a block of its own.
 BLOCK_TOKENS = 1_500_000
@@ -33,8 +36,9 @@ SLICE_BYTES = 16 << 20
 #: Bytes to word bytes (A-Z lower-cased) or to blanks: words are digits, letters and all bytes past ASCII.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
-_INDEX = "block long, terms array<int>, counts array<int>, postings binary, docs binary, ids array<long>"
-_MATCHES = "block long, ord int, doc_id long, n_words long, found array<struct<item:string,kind:string,start:long,end:long>>"
+_INDEX = "block long, terms array<int>, counts array<int>, postings binary, docs binary, ids array<{id}>"
+_MATCHES = "block long, ord int, doc_id {id}, n_words long, found array<struct<item:string,kind:string,start:long,end:long>>"
+_ARROW_IDS = {"bigint": pa.int64(), "string": pa.string()}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -76,12 +80,13 @@ def _index_block(terms: np.ndarray, docs: list[tuple[int, int]], ids: list, bloc
 
 
 def build_index(docs: DataFrame, vocab) -> DataFrame:
-    """Positional postings of the terms in the broadcast ``vocab``, one row per block of documents."""
+    """Positional postings of the terms in the broadcast ``vocab``, one row per block of documents (doc_id a long or a string, text)."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_slot("nothing", object)
         number = vocab.value
-        schema = pa.schema([("block", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary()), ("docs", pa.binary()), ("ids", pa.list_(pa.int64()))])
+        schema = pa.schema([("block", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary()), ("docs", pa.binary()), ("ids", pa.list_(_ARROW_IDS[id_type]))])
         block, parts, directory, ids, size = TaskContext.get().partitionId() << 32, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -103,14 +108,36 @@ def build_index(docs: DataFrame, vocab) -> DataFrame:
         if parts:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _INDEX)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, _INDEX.format(id=id_type))
 
 
-def _nearest(post: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each position the nearest posting."""
-    i = np.searchsorted(post, at)
-    lo, hi = post[np.maximum(i - 1, 0)], post[np.minimum(i, len(post) - 1)]
-    return np.where(np.abs(at - lo) <= np.abs(hi - at), lo, hi)
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All whole numbers of the ranges lo to hi, ends excluded."""
+    size = hi - lo
+    return np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+
+
+def near_spans(lists: list[np.ndarray], need: list[int], longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last position) of the minimal spans of at most ``longest`` words that hold ``need[i]`` postings of each sorted list i; the shortest list first.
+
+    Only what lies near postings of the first list is looked at.
+    """
+    rare = lists[0]
+    for post, n in zip(lists, need, strict=True):
+        rare = rare[np.searchsorted(post, rare + longest) - np.searchsorted(post, rare - longest, "right") >= n]
+        if not rare.size:
+            return rare, rare
+    near = [post[np.unique(_ranges(np.searchsorted(post, rare - longest, "right"), np.searchsorted(post, rare + longest)))] for post in lists]
+    first = np.sort(np.concatenate(near))
+    last, ok = first.copy(), np.ones(len(first), bool)
+    for post, n in zip(near, need, strict=True):
+        i = np.searchsorted(post, first) + n - 1
+        ok &= i < len(post)
+        last = np.maximum(last, post[np.minimum(i, len(post) - 1)])
+    ok &= last - first < longest
+    first, last = first[ok], last[ok]
+    shortest = np.r_[last[1:] != last[:-1], True] if len(last) else ok[:0]  # the last start for an end
+    return first[shortest], last[shortest]
 
 
 def search_block(row: dict, windows: Windows, order: list[list[tuple[int, int]]], matrices: list, slack: int | None) -> list[tuple[int, int, str, int, int]]:
@@ -143,17 +170,18 @@ def search_block(row: dict, windows: Windows, order: list[list[tuple[int, int]]]
             if at.size:
                 tell("exact", k, at, len(plan))
             if slack is not None:
-                near = np.stack([_nearest(lists[t], rare) for t, _ in plan])
-                lo, hi = near.min(axis=0), near.max(axis=0)
-                place = np.searchsorted(starts, lo, "right")
-                ok = (hi - lo < len(plan) + slack) & (place == np.searchsorted(starts, hi, "right")) & ~np.isin(lo, at)
-                for a, b in sorted(set(zip(lo[ok].tolist(), hi[ok].tolist(), strict=True))):
+                need = Counter(term for term, _ in plan)
+                lo, hi = near_spans([lists[t] for t in need], list(need.values()), len(plan) + slack)
+                same = np.searchsorted(starts, lo, "right") == np.searchsorted(starts, hi, "right")
+                other = ~(np.isin(lo, at) & (hi - lo == len(plan) - 1))
+                for a, b in zip(lo[same & other].tolist(), hi[same & other].tolist(), strict=True):
                     tell("near", k, np.array([a]), b - a + 1)
     return out
 
 
 def _search(index: DataFrame, windows, freq, slack: int | None) -> DataFrame:
     """Matches of each document of the index; every document has a row."""
+    id_type = index.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Windows.__new__(Windows)
@@ -167,17 +195,19 @@ def _search(index: DataFrame, windows, freq, slack: int | None) -> DataFrame:
                 n = len(row["ids"])
                 lengths = np.frombuffer(row["docs"], np.int64).reshape(-1, 2)[:, 1]
                 kind = pa.list_(pa.struct([("item", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(row["ids"], pa.int64()), pa.array(lengths), pa.array([found.get(i, []) for i in range(n)], kind)], ["block", "ord", "doc_id", "n_words", "found"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(row["ids"], _ARROW_IDS[id_type]), pa.array(lengths), pa.array([found.get(i, []) for i in range(n)], kind)], ["block", "ord", "doc_id", "n_words", "found"])
 
-    return index.mapInArrow(run, _MATCHES)
+    return index.mapInArrow(run, _MATCHES.format(id=id_type))
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, slack: int | None = None) -> DataFrame:
     """Per document: doc_id, n_words and found, an array of (item, kind 'exact' or 'near', start, end) in words.
 
-    ``slack`` None leaves out proximity matches.
+    ``slack`` None leaves out proximity matches. ``doc_id`` may be a string; else it is cast to long.
     """
     spark = docs.sparkSession
+    if docs.schema["doc_id"].dataType.simpleString() != "string":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-total // SLICE_BYTES))
@@ -196,22 +226,46 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, slack:
     return out.select("doc_id", "n_words", "found")
 
 
+def _kind(kind: str) -> Column:
+    return F.filter("found", lambda m: m["kind"] == kind)
+
+
 def judge(matches: DataFrame, share: int = 20) -> DataFrame:
-    """From exact matches: n_hit words, n_items, items_sha256 and contaminated (share * n_hit >= n_words)."""
-    spans = F.array_sort(F.transform(F.filter("found", lambda m: m["kind"] == "exact"), lambda m: F.struct(m["start"].alias("s"), m["end"].alias("e"))))
+    """From exact matches: n_hit words, n_items, items_sha256 and contaminated (share * n_hit >= n_words); from near ones n_near_items."""
+    spans = F.array_sort(F.transform(_kind("exact"), lambda m: F.struct(m["start"].alias("s"), m["end"].alias("e"))))
     covered = F.aggregate(
         spans,
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
         lambda a, m: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), m["e"] - F.greatest(m["s"], a["to"]))).alias("n"), F.greatest(a["to"], m["e"]).alias("to")),
         lambda a: a["n"],
     )
-    items = F.array_sort(F.array_distinct(F.transform(F.filter("found", lambda m: m["kind"] == "exact"), lambda m: m["item"])))
+    distinct = lambda kind: F.array_sort(F.array_distinct(F.transform(_kind(kind), lambda m: m["item"])))
     return (
         matches.withColumn("n_hit", covered)
-        .withColumn("items", items)
-        .select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+        .withColumn("items", distinct("exact"))
+        .select(
+            "doc_id",
+            "n_words",
+            "n_hit",
+            F.size("items").cast("long").alias("n_items"),
+            F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+            ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+            F.size(distinct("near")).cast("long").alias("n_near_items"),
+        )
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
-    return judge(find_matches(docs, benchmark, width))
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, slack: int | None = None) -> DataFrame:
+    """Per document the verdict of ``judge``; n_near_items only where ``slack`` is given."""
+    out = judge(find_matches(docs, benchmark, width, slack))
+    return out.drop("n_near_items") if slack is None else out
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
+    """The documents, with their own columns, that no benchmark passage contaminates.
+
+    A text decides on its own: rows go by the digest of their text, whatever their doc_id is.
+    """
+    rows = docs.select(text_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
+    judged = materialize(contamination(rows, benchmark, width).filter("contaminated").select("doc_id"), "judged")
+    return without_keys(docs, text_key(), judged)

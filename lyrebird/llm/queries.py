@@ -81,10 +81,10 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of each document inside occurrences of 13-word benchmark windows."""
+    """Words of each document inside occurrences of 13-word benchmark windows, and the items with windows that stand there in another order or spread over 2 words more."""
     from lyrebird.llm.decontam import contamination
 
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 13)
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 13, slack=2)
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,25 +133,43 @@ FROM h LEFT JOIN w ON h.d = w.d AND h.n = w.n
 """
 
 _OP9_SQL = rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bw AS (
   SELECT DISTINCT item_id, least(len(w), 13) AS width, array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') AS win
   FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS i FROM b WHERE len(w) > 0)),
 widths AS (SELECT DISTINCT width FROM bw),
 dw AS (
-  SELECT doc_id, width, i, array_to_string(list_slice(w, i, i + width - 1), ' ') AS win
-  FROM (SELECT doc_id, w, width, unnest(generate_series(1, len(w) - width + 1)) AS i FROM d, widths WHERE len(w) >= width)),
-hits AS (SELECT dw.doc_id, dw.width, dw.i, bw.item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.width = bw.width),
+  SELECT rid, width, i, array_to_string(list_slice(w, i, i + width - 1), ' ') AS win
+  FROM (SELECT rid, w, width, unnest(generate_series(1, len(w) - width + 1)) AS i FROM d, widths WHERE len(w) >= width)),
+hits AS (SELECT dw.rid, dw.width, dw.i, dw.win, bw.item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.width = bw.width),
 per AS (
-  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + width - 1)) AS p FROM hits) GROUP BY doc_id),
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(i, i + width - 1)) AS p FROM hits) GROUP BY rid),
 its AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
-  FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+  SELECT rid, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT rid, item_id FROM hits) GROUP BY rid),
+wt AS (
+  SELECT win, width, term, count(*) AS need FROM (SELECT win, width, unnest(string_split(win, ' ')) AS term FROM (SELECT DISTINCT win, width FROM bw)) GROUP BY win, width, term),
+wn AS (SELECT win, width, count(*) AS terms FROM wt GROUP BY win, width),
+dt AS (
+  SELECT rid, term, list(pos ORDER BY pos) AS at FROM (SELECT rid, unnest(w) AS term, unnest(generate_series(1, len(w))) AS pos FROM d)
+  WHERE term IN (SELECT term FROM wt) GROUP BY rid, term),
+cand AS (
+  SELECT dt.rid, wt.win, wt.width, list(dt.at) AS lists, list(wt.need) AS needs
+  FROM dt JOIN wt ON dt.term = wt.term AND len(dt.at) >= wt.need
+  GROUP BY dt.rid, wt.win, wt.width HAVING count(*) = (SELECT terms FROM wn WHERE wn.win = wt.win AND wn.width = wt.width)),
+ends AS (
+  SELECT rid, win, width, s, list_max(list_transform(list_zip(lists, needs), lambda x: coalesce(list_filter(x[1], lambda p: p >= s)[x[2]], 1000000000))) AS e
+  FROM (SELECT rid, win, width, lists, needs, unnest(flatten(lists)) AS s FROM cand)),
+near AS (SELECT rid, win, width, max(s) AS s, e FROM ends GROUP BY rid, win, width, e HAVING e - max(s) < width + 2),
+nears AS (
+  SELECT near.rid, count(DISTINCT bw.item_id) AS n_near FROM near JOIN bw ON bw.win = near.win AND bw.width = near.width
+  WHERE NOT EXISTS (SELECT 1 FROM hits WHERE hits.rid = near.rid AND hits.win = near.win AND hits.width = near.width AND hits.i = near.s AND near.e - near.s + 1 = near.width)
+  GROUP BY near.rid)
 SELECT d.doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
-FROM d LEFT JOIN per ON d.doc_id = per.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated, coalesce(n_near, 0) AS n_near_items
+FROM d LEFT JOIN per ON d.rid = per.rid LEFT JOIN its ON d.rid = its.rid LEFT JOIN nears ON d.rid = nears.rid
 """
 
 _ORACLES: dict[str, str] = {

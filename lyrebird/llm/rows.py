@@ -1,40 +1,63 @@
-"""Pick rows of wide tables by id without shuffling all of them."""
+"""Pick rows of wide tables by key without shuffling all of them. A key is any column expression of type string or long."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lyrebird.llm.common import fresh
 from lyrebird.llm.urlfilter import KEYS_A_BLOCK, MAX_BLOCKS, bloom_words, possible
 
 
-def _hit(id_col: str, ids: DataFrame) -> Column | None:
-    """Whether a row's id may be among ``ids`` by a Bloom filter of bounded size, null for a null id; None without ids."""
-    key = F.col(id_col).cast("string")
-    keys = ids.select(key.alias("key")).filter("key is not null").distinct()
+def text_key(*more: Column | str, text: Column | str = "text") -> Column:
+    """128 bits, as a string, of a row's text and of the further columns; null is a value of its own."""
+    known = lambda c: F.coalesce(F.concat(F.lit("="), (F.col(c) if isinstance(c, str) else c).cast("string")), F.lit("-"))
+    return F.md5(F.concat(*(F.md5(known(c)) for c in more), known(text)))
+
+
+def _hit(key: Column, keys: DataFrame) -> Column | None:
+    """Whether a row's key may be among ``keys`` (one column) by a Bloom filter of bounded size, null for a null key.
+
+    None without keys; true for all where the filter would be too full to tell.
+    """
+    keys = keys.select(F.col(keys.columns[0]).cast("string").alias("key")).filter("key is not null").distinct()
     n, blocks = keys.count(), 1
     if not n:
         return None
-    while blocks * KEYS_A_BLOCK < n and blocks < MAX_BLOCKS:
+    if n > MAX_BLOCKS * KEYS_A_BLOCK:
+        return F.lit(True)
+    while blocks * KEYS_A_BLOCK < n:
         blocks *= 2
     words = F.from_json(F.lit(bloom_words(keys, blocks).select(F.to_json("bloom")).first()[0]), "array<long>")
-    return possible(key, words, blocks)
+    return possible(key.cast("string"), words, blocks)
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows whose id is among ``ids``, those with a null id, and possibly some more; nothing is shuffled."""
-    hit = _hit(id_col, ids)
-    return docs.filter(F.col(id_col).isNull() if hit is None else F.coalesce(hit, F.lit(True)))
+def with_keys(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows whose key is among ``keys``, and possibly some more; nothing is shuffled."""
+    hit = _hit(key, keys)
+    return docs.limit(0) if hit is None else docs.filter(F.coalesce(hit, F.lit(False)))
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id isn't in ``ids`` (one column, of the same name).
+def split_by_keys(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame | None, str]:
+    """(rows whose key can't be among ``keys``, the possible ones with their key in one more column, that column's name).
 
-    Rows that the Bloom filter rules out stay where they are, and only possible hits meet the ids in an anti
-    join. Rows with a null id stay.
+    The first stay where they are; only the others need a join. None without keys.
     """
-    hit = _hit(id_col, ids)
+    name = fresh((*docs.columns, *keys.columns), "key")
+    hit = _hit(key, keys)
     if hit is None:
-        return docs
+        return docs, None, name
     hit = F.coalesce(hit, F.lit(False))
-    return docs.filter(~hit).unionByName(docs.filter(hit).join(ids.select(id_col).distinct(), id_col, "left_anti").select(docs.columns))
+    return docs.filter(~hit), docs.filter(hit).withColumn(name, key), name
+
+
+def without_keys(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key isn't in ``keys`` (one column). Rows with a null key stay.
+
+    Rows that the Bloom filter rules out stay where they are, and only possible hits meet the keys in an anti join.
+    """
+    rest, hits, name = split_by_keys(docs, key, keys)
+    if hits is None:
+        return docs
+    known = keys.select(F.col(keys.columns[0]).alias(name)).distinct()
+    return rest.unionByName(hits.join(known, name, "left_anti").select(docs.columns))

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lyrebird.llm.common import materialize, wider
+from lyrebird.llm.common import fresh, materialize
+from lyrebird.llm.rows import split_by_keys, text_key
 
 # The base kinds' patterns and least lengths.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -76,18 +77,18 @@ def scan(text: str) -> list[tuple[int, int, int, bytes]]:
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
-def find_candidates(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
-    """One row per document: its id, uid, owner, repo and candidates ``found``."""
+def find_candidates(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", repo_col: str | None = None, key: Column | None = None) -> DataFrame:
+    """One row per document: its id, uid, owner, repo, ``key`` (a string; null where none is given) and candidates ``found``."""
     repo = F.col(repo_col) if repo_col else F.col(id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.binary())]))
         for b in batches:
-            found = [[dict(zip(("kind", "start", "end", "value"), x, strict=True)) for x in scan(t)] if (t := text.as_py()) else [] for text in b.column(4)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found, kind)], ["doc_id", "uid", "owner", "repo", "found"])
+            found = [[dict(zip(("kind", "start", "end", "value"), x, strict=True)) for x in scan(t)] if (t := text.as_py()) else [] for text in b.column(5)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(found, kind)], ["doc_id", "uid", "owner", "repo", "key", "found"])
 
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col(owner_col).cast("string").alias("owner"), repo.cast("string").alias("repo"), F.col("text").cast("string").alias("text"))
-    return cols.mapInArrow(run, f"doc_id long, uid long, owner string, repo string, found {FOUND}")
+    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col(owner_col).cast("string").alias("owner"), repo.cast("string").alias("repo"), (F.lit(None).cast("string") if key is None else key).alias("key"), F.col("text").cast("string").alias("text"))
+    return cols.mapInArrow(run, f"doc_id long, uid long, owner string, repo string, key string, found {FOUND}")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -98,6 +99,20 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.join(repos, "value")
 
 
+#: Rows of a value from which it is joined by broadcast, and the most such values.
+HOT_ROWS, HOT_VALUES = 1000, 20_000
+
+
+def _with_ownership(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """The rows (with ``value``) and their value's n_owners and n_repos. A value in very many repositories, as a widely copied
+    example is, comes by broadcast, at most ``HOT_VALUES`` of them: its rows stay where they are."""
+    owners = materialize(owners, "ownership")
+    total = owners.agg(F.sum("n_repos")).first()[0] or 0
+    often = F.col("n_repos") > max(HOT_ROWS, total // HOT_VALUES)
+    hot = F.broadcast(owners.filter(often))
+    return rows.join(hot, "value").unionByName(rows.join(hot, "value", "left_anti").join(owners.filter(~often), "value"))
+
+
 def _live(max_owners: int, max_repos: int) -> Column:
     return (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
 
@@ -115,7 +130,7 @@ def scan_corpus(docs: DataFrame, max_owners: int = MAX_OWNERS, id_col: str = "do
     found = materialize(find_candidates(docs, id_col, owner_col, repo_col), "candidates")
     some = found.filter(F.size("found") > 0)
     kept = some.select("uid", F.explode("found").alias("f")).select("uid", "f.kind", "f.start", "f.end", "f.value")
-    judged = kept.join(ownership(some), "value").withColumn("live", _live(max_owners, max_repos))
+    judged = _with_ownership(kept, ownership(some)).withColumn("live", _live(max_owners, max_repos))
     span = F.struct("start", "kind", "end", "live", "n_owners", "n_repos")
     per_doc = judged.groupBy("uid").agg(F.sort_array(F.collect_list(span)).alias("all"))
     joined = found.select("doc_id", "uid").join(per_doc, "uid", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,n_owners:bigint,n_repos:bigint>>")))
@@ -149,19 +164,14 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str = "[secret]") -> s
 def redact_corpus(docs: DataFrame, max_owners: int = MAX_OWNERS, owner_col: str = "source", max_repos: int = MAX_REPOS) -> DataFrame:
     """The documents, all of them and with their own columns, with live-looking secrets replaced in ``text``.
 
-    Texts are scanned again where they are replaced, and only those with a candidate meet the verdicts in a join.
+    Rows meet the verdicts by the digest of their text: only rows whose text may hold a live value are joined and scanned again.
     """
     columns, place = docs.columns, docs.columns.index("text")
-    found = materialize(find_candidates(docs, "doc_id", owner_col), "candidates")
+    found = materialize(find_candidates(docs, "doc_id", owner_col, key=text_key()), "candidates")
     some = found.filter(F.size("found") > 0)
-    kept = some.select("doc_id", F.explode("found.value").alias("value")).distinct()
-    live = kept.join(ownership(some).filter(_live(max_owners, max_repos)).select("value"), "value", "left_semi")
-    per_doc = live.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("value").alias("_live"))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flags = pa.array([bool(scan(t)) if (t := text.as_py()) else False for text in b.column(place)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*b.columns, flags], [*columns, "_found"])
+    kept = some.select("key", F.explode("found.value").alias("value")).distinct()
+    live = _with_ownership(kept, ownership(some)).filter(_live(max_owners, max_repos))
+    per_text = materialize(live.groupBy("key").agg(F.collect_set("value").alias("live")), "live")
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,7 +183,9 @@ def redact_corpus(docs: DataFrame, max_owners: int = MAX_OWNERS, owner_col: str
             cols[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, columns)
 
-    marked = docs.mapInArrow(mark, wider(docs, "_found", "boolean"))
-    hits = marked.filter("_found").drop("_found")
-    joined = hits.join(per_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
-    return marked.filter("not _found").drop("_found").unionByName(joined.mapInArrow(replace, docs.schema))
+    rest, hits, name = split_by_keys(docs, text_key(), per_text.select("key"))
+    if hits is None:
+        return docs
+    values = fresh((*columns, name), "live")
+    joined = hits.join(per_text.select(F.col("key").alias(name), F.col("live").alias(values)), name, "left").select(*columns, values)
+    return rest.unionByName(joined.mapInArrow(replace, docs.schema))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lyrebird.llm.common import cap_batches, trim, wider, worker_slot
+from lyrebird.llm.common import cap_batches, fresh, trim, wider, worker_slot
 
 #: Rows of the sample that the model learns from, at most; they are all the driver sees of the corpus.
 MAX_ROWS = 6000
@@ -236,8 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     return model
 
 
-def _with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents' own columns and ``_score``, in one pass."""
+def _with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """The documents' own columns and their score, as column ``name``, in one pass."""
     cap_batches(docs.sparkSession)
     place = docs.columns.index("text")
     key = uuid.uuid4().hex
@@ -247,18 +247,19 @@ def _with_score(docs: DataFrame, model: Model) -> DataFrame:
         scorer = worker_slot(("scorer", key), lambda: Scorer(Model(*shared.value)))
         for b in batches:
             scores = pa.array([scorer.score(t.as_py()) for t in b.column(place)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, scores], [*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, scores], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, wider(docs, "_score", "double"))
+    return docs.mapInArrow(run, wider(docs, name, "double"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     model = fit(docs, labels, max_rows)
-    scored = _with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    scored = _with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model, "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
     """The documents, with their own columns, that score below the threshold."""
-    return _with_score(docs, fit(docs, labels, max_rows)).filter(F.col("_score") < threshold).drop("_score")
+    score = fresh(docs.columns, "score")
+    return _with_score(docs, fit(docs, labels, max_rows), score).filter(F.col(score) < threshold).drop(score)

@@ -51,8 +51,9 @@ def bloom_words(rules: DataFrame, blocks: int) -> DataFrame:
         .groupBy("at")
         .agg(F.bit_or("bit").alias("bits"))
     )
-    as_map = set_bits.agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m"))
-    return as_map.select(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(blocks * WORDS - 1).cast("long")), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("bloom"))
+    every = rules.sparkSession.range(blocks * WORDS).select(F.col("id").alias("at"))
+    placed = every.join(set_bits, "at", "left").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("a"))
+    return placed.select(F.col("a.bits").alias("bloom"))
 
 
 def possible(key: Column, bloom: Column, blocks: int) -> Column:
