@@ -12,11 +12,16 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
+#: A key is hot if it has more rows than this, and than one in ``HOT_KEYS`` of all rows: so many hot keys there are at most.
+HOT_ROWS = 1000
+HOT_KEYS = 20_000
+HOT_BUCKETS = 1 << 17
 _OWN_ROOT: dict[str, str] = {}
 #: Tables written inside each open ``scratch_scope``.
 _SCOPES: list[list[DataFrame]] = []
@@ -83,6 +88,34 @@ def drop_scratch(*frames: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def hot_keys(keys: DataFrame, key: str, least: int = HOT_ROWS) -> DataFrame | None:
+    """(key, n) of the keys with over ``least`` rows and over one in ``HOT_KEYS`` of all rows; None if there are none. Null isn't a key.
+
+    Counts per hash bucket come first, so that only rows of full buckets are counted by key. At most ``HOT_KEYS`` keys come out.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(HOT_BUCKETS)).cast("int")
+    counts = keys.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).toArrow()  # at most HOT_BUCKETS rows
+    n = counts["n"].to_numpy()
+    most = max(least, int(n.sum()) // HOT_KEYS)
+    full = counts["bucket"].to_numpy()[n > most]
+    if not full.size:
+        return None
+    buckets = keys.sparkSession.createDataFrame(pa.table({"bucket": pa.array(full, pa.int32())}))
+    some = keys.filter(F.col(key).isNotNull()).withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket", "left_semi")
+    hot = some.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > most).toArrow()
+    return keys.sparkSession.createDataFrame(hot) if hot.num_rows else None
+
+
+def join_dealt(left: DataFrame, right: DataFrame, key: str, how: str = "inner", least: int = HOT_ROWS) -> DataFrame:
+    """Equi-join (inner or left) of rows whose key may be very frequent with a ``right`` that has each key once and short rows: rows of hot keys stay where they are."""
+    hot = hot_keys(left.select(key), key, least)
+    if hot is None:
+        return left.join(right, key, how)
+    hot = F.broadcast(hot.select(key))
+    warm = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how)
+    return warm.unionByName(left.join(hot, key, "left_anti").join(right, key, how))
+
+
 def trim() -> None:
     """Give this process's freed memory back, where the C library can."""
     gc.collect()

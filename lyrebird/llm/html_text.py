@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,12 +55,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?P<raw>{'|'.join(RAW)})\b[^>]*+(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
-    rf"|<(?P<unseen>{'|'.join(UNSEEN)})\b(?:[^>]*+(?<=/)>|[^>]*+>.*?</(?P=unseen)\s*+>)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
+_CLOSE = {t: re.compile(rf"</{t}\s*+>", re.IGNORECASE) for t in UNSEEN}
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z0-9]+")
@@ -98,13 +99,21 @@ class _Skipped:
     holds: frozenset[int] = frozenset()
 
 
+@dataclass
+class _Container:
+    """How surely an element holds the article, and the container around it, or -1."""
+
+    kind: int
+    around: int
+
+
 class _Lines:
-    """The page's lines: raw text, length outside links, and the containers around it. Blank lines have no text."""
+    """The page's lines: raw text, length outside links, and the innermost container, or -1. Blank lines have no text."""
 
     def __init__(self) -> None:
         self.text: list[str] = []
         self.plain: list[int] = []
-        self.inside: list[tuple[int, ...]] = []
+        self.inside: list[int] = []
         self._parts: list[str] = []
         self._linked = 0
 
@@ -113,7 +122,7 @@ class _Lines:
         if linked:
             self._linked += len(text)
 
-    def end(self, inside: tuple[int, ...]) -> None:
+    def end(self, inside: int) -> None:
         if self._parts:
             text = " ".join(html.unescape("".join(self._parts)).split())
             if text:
@@ -127,118 +136,165 @@ class _Lines:
             for _ in range(WINDOW):
                 self.text.append("")
                 self.plain.append(0)
-                self.inside.append(())
+                self.inside.append(-1)
 
 
-def _lines_of(page: str, spared: frozenset[int] = frozenset()) -> tuple[_Lines, list[int], dict[int, _Skipped]]:
-    """The page's lines, how surely each container holds the article, and by its place what was skipped for its names alone.
+class _Page:
+    """One pass over a page's tags, with the open elements. Each step takes the same time however deep they nest.
 
-    Elements at the places ``spared`` aren't skipped for their names.
+    ``lines``, ``containers``, and ``skipped``: by its place what was skipped for its names alone. Elements at the places ``spared`` aren't
+    skipped for their names.
     """
-    lines, kinds = _Lines(), []
-    skipped: dict[int, _Skipped] = {}
-    within: list[int] = []  # places of the open skipped elements, -1 for one that isn't skipped for its names alone
-    stack: list[tuple[str, int, int]] = []  # tag, mode, container or -1
-    skips = links = 0
-    inside: tuple[int, ...] = ()
-
-    def kept() -> bool:
-        if skips:
-            return False
-        for _, mode, _ in reversed(stack):
-            if mode == HEADING:
-                return True
-            if mode == HEAD_ONLY:
-                return False
-        return True
-
-    def pop() -> None:
-        nonlocal skips, links, inside
-        tag, mode, container = stack.pop()
+
+    def __init__(self, page: str, spared: frozenset[int] = frozenset()) -> None:
+        self.lines, self.containers, self.skipped = _Lines(), [], {}
+        self._spared = spared
+        self._stack: list[tuple[str, int, int, int]] = []  # tag, mode, container or -1, place if skipped for its names alone or else -1
+        self._open: Counter[str] = Counter()
+        self._blocks: list[int] = []  # where block elements stand in the stack
+        self._heads: list[int] = []  # modes HEADING and HEAD_ONLY of open elements
+        self._named: list[int] = []  # places of open elements that are skipped for their names alone
+        self._skips = self._hard = self._links = 0
+        self._inside = -1
+        self._read(page)
+        while self._stack:
+            self._pop()
+
+    def _kept(self) -> bool:
+        return not self._skips and (not self._heads or self._heads[-1] == HEADING)
+
+    def _push(self, tag: str, mode: int, container: int, place: int) -> None:
+        if tag in BLOCKS:
+            self._blocks.append(len(self._stack))
+        self._stack.append((tag, mode, container, place))
+        self._open[tag] += 1
+        self._links += tag == "a"
+        if mode in (HEADING, HEAD_ONLY):
+            self._heads.append(mode)
+        if mode == SKIP:
+            self._skips += 1
+            self._hard += place < 0
+            if place >= 0:
+                self._named.append(place)
+        if container >= 0:
+            self._inside = container
+
+    def _pop(self) -> int:
+        tag, mode, container, place = self._stack.pop()
+        if tag in BLOCKS:
+            self._blocks.pop()
+        self._open[tag] -= 1
+        self._links -= tag == "a"
+        if mode in (HEADING, HEAD_ONLY):
+            self._heads.pop()
         if mode == SKIP:
-            skips -= 1
-            within.pop()
-        links -= tag == "a"
+            self._skips -= 1
+            self._hard -= place < 0
+            if place >= 0:
+                self._named.pop()
+                if self._named:  # what it holds, the skipped element around it holds too
+                    own, outer = self.skipped[place], self.skipped[self._named[-1]]
+                    outer.size += own.size
+                    outer.holds |= own.holds
         if container >= 0:
-            inside = inside[:-1]
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            if kept():
-                lines.add(page[at : m.start()], links > 0)
-            elif skips and -1 not in within:
-                for place in within:
-                    skipped[place].size += len(page[at : m.start()].strip())
-        at = m.end()
-        tag = m["tag"] or m["tag2"]
-        if not tag:
-            continue
-        if not page.endswith(">", m.start(), m.end()):  # cut off inside a tag
-            continue
-        tag = tag.lower()
-        block = tag in BLOCKS
-        if block:
-            lines.end(inside)
-        if m["end"] or m["end2"]:
-            if any(t == tag for t, _, _ in stack):
-                while True:
-                    was = stack[-1]
-                    pop()
-                    if was[1] == SKIP:
+            self._inside = self.containers[container].around
+        return mode
+
+    def _text(self, text: str) -> None:
+        if self._kept():
+            self.lines.add(text, self._links > 0)
+        elif self._named and not self._hard:
+            self.skipped[self._named[-1]].size += len(text.strip())
+
+    def _read(self, page: str) -> None:
+        lines, at = self.lines, 0
+        closes = dict.fromkeys(UNSEEN, 0)  # end of each element's next end tag, or -1 if none is left: looked for once
+        while m := _TOKEN.search(page, at):
+            tag = (m["tag"] or m["tag2"] or "").lower()
+            ends = bool(m["end"] or m["end2"])
+            attrs = m["attrs"] or m["attrs2"] or ""
+            whole = page.endswith(">", m.start(), m.end())  # else cut off inside a tag
+            if m.start() > at:
+                self._text(page[at : m.start()])
+            at = m.end()
+            if not tag or not whole:
+                continue
+            if tag in closes and not ends:
+                if attrs.endswith("/"):
+                    continue
+                if 0 <= closes[tag] < at:
+                    close = _CLOSE[tag].search(page, at)
+                    closes[tag] = close.end() if close else -1
+                if closes[tag] >= 0:
+                    at = closes[tag]
+                    continue
+            block = tag in BLOCKS
+            if block:
+                lines.end(self._inside)
+            if ends:
+                while self._open[tag]:
+                    was = self._stack[-1][0]
+                    if self._pop() == SKIP:
                         lines.blank()
-                    if was[0] == tag:
+                    if was == tag:
                         break
-            continue
-        if tag in VOID or (m["attrs"] or m["attrs2"] or "").endswith("/") and not block:
-            continue
-        if block:  # a block ends an open paragraph; an item ends the one before
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] == tag == "li":
-                    while len(stack) > i:
-                        pop()
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
-        skip, named, main = _marks(tag, m["attrs"] or m["attrs2"] or "")
-        if m.start() in spared:
+                continue
+            if tag in VOID or attrs.endswith("/") and not block:
+                continue
+            if block and self._blocks:  # a block ends an open paragraph; an item ends the one before
+                last = self._stack[self._blocks[-1]][0]
+                if last == "p" or last == tag == "li":
+                    for _ in range(len(self._stack) - self._blocks[-1]):
+                        self._pop()
+            self._start(tag, attrs, m.start())
+        if at < len(page) and self._kept():
+            lines.add(page[at:], self._links > 0)
+        lines.end(self._inside)
+
+    def _start(self, tag: str, attrs: str, at: int) -> None:
+        skip, named, main = _marks(tag, attrs)
+        if at in self._spared:
             named = set()
         mode = PLAIN
         if skip or named:
-            mode = HEAD_ONLY if tag == "header" and inside else SKIP
+            mode = HEAD_ONLY if tag == "header" and self._inside >= 0 else SKIP
         elif tag in HEADINGS:
             mode = HEADING
         container = -1
-        if main and mode == PLAIN and not skips:
-            kinds.append(main)
-            container = len(kinds) - 1
-            inside = (*inside, container)
-        elif main > 1 and mode == PLAIN and -1 not in within:
-            for place in within:
-                skipped[place].holds |= {main}
-        stack.append((tag, mode, container))
-        if mode == SKIP:
-            skips += 1
-            within.append(-1 if skip else m.start())
-            if not skip:
-                skipped[m.start()] = _Skipped(bool(named & OTHERS))
-        links += tag == "a"
+        if main and mode == PLAIN and not self._skips:
+            self.containers.append(_Container(main, self._inside))
+            container = len(self.containers) - 1
+        elif main > 1 and mode == PLAIN and self._named and not self._hard:
+            self.skipped[self._named[-1]].holds |= {main}
+        place = at if mode == SKIP and not skip else -1
+        if place >= 0:
+            self.skipped[at] = _Skipped(bool(named & OTHERS))
+        self._push(tag, mode, container, place)
         if mode == SKIP:
-            lines.blank()
-    if at < len(page) and kept():
-        lines.add(page[at:], links > 0)
-    lines.end(inside)
-    return lines, kinds, skipped
+            self.lines.blank()
+
+
+def _outermost(containers: list[_Container], least: int) -> list[int]:
+    """For each container the outermost one around it, or itself, that holds the article as surely as ``least`` or more; -1 without one."""
+    out: list[int] = []
+    for i, c in enumerate(containers):
+        above = out[c.around] if c.around >= 0 else -1
+        out.append(above if above >= 0 else i if c.kind >= least else -1)
+    return out
 
 
-def _spared(lines: _Lines, kinds: list[int], skipped: dict[int, _Skipped]) -> frozenset[int]:
+def _spared(page: _Page) -> frozenset[int]:
     """Places of the elements whose names mislead: a main element is in them, or else, where what is left has no article,
     an article, or where it has no marked container and no surge, most of the page's text."""
+    lines = page.lines
     left = sum(map(len, lines.text))
-    seen = max((kinds[c] for inside in lines.inside for c in inside), default=0)
+    surest: list[int] = []
+    for c in page.containers:
+        surest.append(max(c.kind, surest[c.around] if c.around >= 0 else 0))
+    seen = max((surest[c] for c in lines.inside if c >= 0), default=0)
     surges = bool(text_blocks(lines.plain, SURGE))
     # a share of the page without what lists others' texts
-    own = left + max((e.size for e in skipped.values() if not e.others), default=0)
+    own = left + max((e.size for e in page.skipped.values() if not e.others), default=0)
 
     def misled(e: _Skipped) -> bool:
         if 2 in e.holds:
@@ -250,7 +306,7 @@ def _spared(lines: _Lines, kinds: list[int], skipped: dict[int, _Skipped]) -> fr
             return most or not surges
         return most and not seen and not surges
 
-    return frozenset(place for place, e in skipped.items() if misled(e))
+    return frozenset(place for place, e in page.skipped.items() if misled(e))
 
 
 def text_blocks(lengths: list[int], surge: int, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -269,24 +325,23 @@ def text_blocks(lengths: list[int], surge: int, window: int = WINDOW) -> list[tu
     return out
 
 
-def _groups(lines: _Lines, kinds: list[int], least: int) -> list[range]:
+def _groups(page: _Page, least: int) -> list[range]:
     """The lines of each outermost container that holds the article as surely as ``least`` or more."""
-    out: dict[int, list[int]] = {}
-    for i, inside in enumerate(lines.inside):
-        for c in inside:
-            if kinds[c] >= least:
-                out.setdefault(c, [i, i])[1] = i
-                break
+    outermost, out = _outermost(page.containers, least), {}
+    for i, inside in enumerate(page.lines.inside):
+        if inside >= 0 and (c := outermost[inside]) >= 0:
+            out.setdefault(c, [i, i])[1] = i
     return [range(a, b + 1) for a, b in out.values()]
 
 
-def _chosen(lines: _Lines, kinds: list[int]) -> set[int]:
+def _chosen(page: _Page) -> set[int]:
     """Numbers of the lines to keep."""
+    lines = page.lines
     size = list(map(len, lines.text))
     runs = [range(a, b) for a, b in text_blocks(lines.plain, SURGE)]
     surging = sum(size[i] for r in runs for i in r)
-    for least in sorted(set(kinds), reverse=True):
-        groups = _groups(lines, kinds, least)
+    for least in sorted({c.kind for c in page.containers}, reverse=True):
+        groups = _groups(page, least)
         if runs:
             groups = [g for g in groups if text_blocks(lines.plain[g.start : g.stop], SURGE)]
             if 2 * sum(size[i] for g in groups for i in g) < surging:  # most of what surges is elsewhere
@@ -300,15 +355,15 @@ def _chosen(lines: _Lines, kinds: list[int]) -> set[int]:
     return {i for r in runs for i in r}
 
 
-def main_text(page: str | None) -> str:
+def main_text(html_text: str | None) -> str:
     """The page's main text; see the module's text for what counts."""
-    if not page:
+    if not html_text:
         return ""
-    lines, kinds, skipped = _lines_of(page)
-    if skipped and (spared := _spared(lines, kinds, skipped)):
-        lines, kinds, _ = _lines_of(page, spared)
-    keep = _chosen(lines, kinds)
-    return "\n".join(t for i, t in enumerate(lines.text) if t and i in keep)
+    page = _Page(html_text)
+    if page.skipped and (spared := _spared(page)):
+        page = _Page(html_text, spared)
+    keep = _chosen(page)
+    return "\n".join(t for i, t in enumerate(page.lines.text) if t and i in keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from lyrebird.llm.common import by_bytes, cap_batches, drop_scratch, fresh, materialize, release, worker_slot
+from lyrebird.llm.common import by_bytes, cap_batches, drop_scratch, fresh, hot_keys, materialize, release, worker_slot
 from lyrebird.llm.components import connected_components
 from lyrebird.llm.rows import split_by_keys, text_key, with_keys
 from lyrebird.llm.words import WordHashes, mix, shingle_set
@@ -47,9 +47,8 @@ BUCKET_BITS = 17
 RARE = 3
 #: 64-bit words of a set's parity bits.
 PARITY_WORDS = 16
-#: A key is hot if it has more rows than this, and than one in ``HOT_KEYS`` of all rows: so many hot keys there are at most.
+#: Rows of a signature, or pairs of a node, from which they are dealt over many tasks.
 HOT_ROWS = 1000
-HOT_KEYS = 20_000
 
 _NO_PARITY = np.zeros(PARITY_WORDS, np.int64)
 
@@ -186,24 +185,6 @@ def _fetch_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return found.dropDuplicates(["set_id"]).join(wanted, "set_id").select("node", "tokens")
 
 
-def _hot(keys: DataFrame, key: str) -> DataFrame | None:
-    """(key, n) of the keys with over ``HOT_ROWS`` rows and over one in ``HOT_KEYS`` of all rows; None if there are none.
-
-    Counts per hash bucket come first, so that only rows of full buckets are counted by key. At most ``HOT_KEYS`` keys come out.
-    """
-    bucket = F.pmod(F.xxhash64(key), F.lit(1 << BUCKET_BITS)).cast("int")
-    counts = keys.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).toArrow()  # at most 2**BUCKET_BITS rows
-    n = counts["n"].to_numpy()
-    most = max(HOT_ROWS, int(n.sum()) // HOT_KEYS)
-    full = counts["bucket"].to_numpy()[n > most]
-    if not full.size:
-        return None
-    buckets = keys.sparkSession.createDataFrame(pa.table({"bucket": pa.array(full, pa.int32())}))
-    some = keys.withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket", "left_semi")
-    hot = some.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > most).toArrow()
-    return keys.sparkSession.createDataFrame(hot) if hot.num_rows else None
-
-
 def _per_sig(rows: DataFrame, hot: DataFrame | None, **aggregates: Column) -> DataFrame:
     """The rows (with ``sig``) and their signature's aggregates. Rows of hot signatures are aggregated before they are shuffled and get the result by broadcast."""
     over = Window.partitionBy("sig")
@@ -238,7 +219,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([xs.filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    hot = _hot(pairs.select("a"), "a")
+    hot = hot_keys(pairs.select("a"), "a", HOT_ROWS)
     deal = pairs.withColumn("deal", F.lit(0))
     if hot is not None:
         parts = hot.select("a", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts"))
@@ -296,7 +277,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> Da
     drop_scratch(signed)
     release(spark)
     exploded = nodes.select("node", F.explode("sigs").alias("sig"))
-    hot = _hot(exploded.select("sig"), "sig")
+    hot = hot_keys(exploded.select("sig"), "sig", HOT_ROWS)
     groups_of = materialize(_per_sig(exploded, hot, lo=F.min("node"), hi=F.max("node")).filter("lo < hi").select("sig", "node"), "groups")
     sizes = materialize(nodes.drop("sigs"), "sizes")
     drop_scratch(nodes)

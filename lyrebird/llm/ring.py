@@ -8,7 +8,8 @@ vnodes numbers, the only thing the driver sees), and each row then finds its pla
 With ``slack`` a capacity is (1 + slack) times the mean: few rows move when shards come or go. Without it, shards have
 exact quotas that differ by at most one row.
 
-Ranks are counted in sub-buckets of an arc by the scan's partition, so that repeated keys spread over tasks.
+Ranks are counted in sub-buckets of an arc. A row's sub-bucket follows from its key, so its place depends on the rows alone and not on how
+they are partitioned; only rows of one key that has very many of them, which stand for each other, are dealt by the scan's partition.
 
 Defined results: null text has 0 bytes; a null key has a home like any other; repeated rows are placed as
 often as they occur; extra columns are ignored; an empty table gives no rows.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lyrebird.llm.common import materialize
+from lyrebird.llm.common import hot_keys, materialize
 
 #: Sub-buckets of an arc; with the arcs they bound the broadcast table of ranks.
 SUB_BUCKETS = 64
@@ -83,8 +84,14 @@ def shard_rows(docs: DataFrame, shards: int, vnodes: int = 64, slack: float | No
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(F.col("doc_id").cast("long")).alias("h"),
-        (F.spark_partition_id() % SUB_BUCKETS).alias("sub"),
     )
+    dealt = F.spark_partition_id() % SUB_BUCKETS
+    by_key = F.pmod(F.xxhash64("h", F.lit("sub")), F.lit(SUB_BUCKETS)).cast("int")
+    hot = hot_keys(rows.select("h"), "h")
+    if hot is None:
+        rows = rows.withColumn("sub", by_key)
+    else:
+        rows = rows.join(F.broadcast(hot), "h", "left").select("doc_id", "size", "text_crc32", "h", F.when(F.col("n").isNotNull(), dealt).otherwise(by_key).alias("sub"))
     homes = materialize(rows.mapInArrow(home, "doc_id long, size long, text_crc32 long, arc int, sub int"), "homes")
     per_sub = homes.groupBy("arc", "sub").agg(F.count("*").alias("n"))
     before = Window.partitionBy("arc").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)

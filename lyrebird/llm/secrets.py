@@ -1,7 +1,7 @@
 """Secret scan with corpus-wide ownership frequency.
 
 A scan of every whole text finds candidates: the three base kinds (assign, access, hex), and two wider kinds,
-token (vendor prefixes and long mixed strings) and private key blocks. Each candidate's value is hashed, and the hashes are
+token (vendor prefixes) and private key blocks (to the first END line if it comes before another BEGIN, else the BEGIN line). Each candidate's value is hashed, and the hashes are
 aggregated over the corpus by distinct owners and distinct repositories. A value seen with many owners, or in very many
 repositories of few owners, is a widely copied example; one that stays with few of both is a live-looking credential. Base spans are always
 reported; a wider span is reported when its value looks live and no base span covers it.
@@ -67,12 +67,16 @@ def scan(text: str) -> list[tuple[int, int, int, bytes]]:
     for m in _HEX_RUN.finditer(text):  # a run of 32 or more is a whole match of HEX: both are as long as they can be
         tell(2, m.start(), m.end(), m[0])
     if ("_" in text or "-" in text or "AIza" in text) and any(h in text for h in _WIDE_HINTS):
+        close = stop = begin = 0  # of the next END line and the next BEGIN, or -1 if none is left: each is looked for once
         for m in WIDE.finditer(text):
             end = m.end()
             if m["key"]:
-                close = text.find("-----END ", end)
-                stop = text.find("-----", close + 9) if close >= 0 else -1
-                end = stop + 5 if stop >= 0 else end
+                if 0 <= close < end:
+                    close = text.find("-----END ", end)
+                    stop = text.find("-----", close + 9) if close >= 0 else -1
+                if 0 <= begin < end:
+                    begin = text.find("-----BEGIN ", end)
+                end = stop + 5 if stop >= 0 and not 0 <= begin < close else end
             tell(3 if m["token"] else 4, m.start(), end, text[m.start() : end])
     return sorted(out, key=lambda x: (x[1], x[0]))
 

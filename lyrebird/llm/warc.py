@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lyrebird.llm.common import materialize
+from lyrebird.llm.common import join_dealt, materialize
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -42,7 +42,7 @@ def write_archive(pages: DataFrame, payload: str = "html", least: int = 1000) ->
     payloads = materialize(hashed.select("sha256", "payload").dropDuplicates(["sha256"]), "payloads")
     rows = materialize(hashed.select("page_id", "url", "sha256", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha1"), F.monotonically_increasing_id().alias("uid")), "captures")
     winner = rows.filter(F.col("n") >= least).groupBy("sha256").agg(F.max(F.struct("page_id", "uid")).alias("w"))
-    rows = rows.join(winner, "sha256", "left")
+    rows = join_dealt(rows, winner, "sha256", "left")
     revisit = F.col("w").isNotNull() & (F.col("w.uid") != F.col("uid"))
     clean = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     header = F.concat(
@@ -65,7 +65,9 @@ def write_archive(pages: DataFrame, payload: str = "html", least: int = 1000) ->
 def rebuild(records: DataFrame, payloads: DataFrame) -> DataFrame:
     """The archive's records: sha256, revisit and ``record``, the exact bytes (header, payload, two line ends)."""
     end = F.lit(EOL * 2).cast("binary")
-    whole = records.filter("not revisit").join(payloads, "sha256").select("sha256", "revisit", F.concat("header", "payload", end).alias("record"))
+    full = records.filter("not revisit")
+    # only payloads too short for revisits have many responses
+    whole = join_dealt(full, payloads, "sha256").select("sha256", "revisit", F.concat("header", "payload", end).alias("record"))
     return whole.unionByName(records.filter("revisit").select("sha256", "revisit", F.concat("header", end).alias("record")))
 
 
@@ -104,5 +106,5 @@ def read_archive(records: DataFrame, payloads: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest (of the full payload), record_type and refers_to of every record, from rebuilt bytes."""
     got = materialize(parse(rebuild(records, payloads)), "read_back")
     sizes = got.filter("not revisit").groupBy("sha256").agg(F.first("payload_bytes").alias("full"), F.first("payload_digest").alias("digest"))
-    again = got.filter("revisit").join(sizes, "sha256").select("page_id", F.col("full").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    again = join_dealt(got.filter("revisit"), sizes, "sha256").select("page_id", F.col("full").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
     return got.filter("not revisit").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").unionByName(again)

@@ -1,7 +1,10 @@
 """Page extraction on hand-made pages, and the url filter against a plain program."""
 
+import random
+
 import pytest
 
+from lyrebird.llm import html_text
 from lyrebird.llm.html_text import extract, main_text, text_blocks
 from lyrebird.llm.urlfilter import bloom_words, judge_urls, possible
 
@@ -113,3 +116,41 @@ def test_bloom_never_misses(spark):
     hits = spark.range(20000).select("id", possible(F.concat(F.lit("host"), F.col("id").cast("string")), words, 64).alias("p")).collect()
     assert all(r.p for r in hits if r.id < 2000)
     assert sum(r.p for r in hits if r.id >= 2000) < 900
+
+
+def test_surge_and_dive_equal_brute_force():
+    """A run is a longest stretch of windows with text, counted from its first window; it surges if one of them reaches the threshold."""
+    rng = random.Random(8)
+    for _ in range(3000):
+        lengths = [rng.choice([0, 0, 0, 5, 20, 60, 200]) for _ in range(rng.randint(0, 25))]
+        window, surge = rng.randint(1, 4), rng.randint(1, 150)
+        sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
+        want = []
+        for a in range(len(sums)):
+            for b in range(a + 1, len(sums) + 1):
+                longest = all(sums[a:b]) and (a == 0 or not sums[a - 1]) and (b == len(sums) or not sums[b])
+                if longest and max(sums[a:b]) >= surge:
+                    want.append((a, b))
+        assert html_text.text_blocks(lengths, surge, window) == want
+
+
+def test_unmarked_page_is_cut_at_surge_and_dive():
+    """Without marks the lines between surge and dive are the text, by a plain program over the lines."""
+    rng = random.Random(5)
+    for _ in range(200):
+        lines = ["w" * rng.choice([4, 15, 50, 300]) if rng.random() < 0.7 else "" for _ in range(rng.randint(1, 30))]
+        page = "".join(f"<div>{t}</div>" if t else "<nav>menu</nav>" for t in lines)
+        seen = []
+        for t in lines:  # a menu makes blank lines, once
+            seen += [t] if t else [""] * html_text.WINDOW if seen and seen[-1] else []
+        runs, run = [], []
+        for t in [*seen, ""]:
+            if t:
+                run.append(t)
+            elif run:
+                runs.append(run)
+                run = []
+        best = [r for r in runs if max(sum(map(len, r[i : i + html_text.WINDOW])) for i in range(len(r))) >= html_text.SURGE]
+        if not best and runs:
+            best = [max(runs, key=lambda r: sum(map(len, r)))]
+        assert html_text.main_text(page) == "\n".join(t for r in best for t in r)
