@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lyrebird.llm.common import drop_scratch, materialize
 
+#: Edges that a task of a round writes, about.
+ROWS_PER_TASK = 200_000
+
 
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
@@ -27,7 +30,8 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        nxt = materialize(small.filter("a <> b").distinct(), name)
+        # a round leaves at most twice the edges: small ones go to few files
+        nxt = materialize(small.filter("a <> b").distinct().coalesce(max(8, 2 * seen[0] // ROWS_PER_TASK)), name)
         now = _fingerprint(nxt)
         drop_scratch(edges)
         edges = nxt
