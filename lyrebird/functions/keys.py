@@ -57,15 +57,9 @@ def normal_label(label: Column, default: str = GUEST, primary: tuple[str, ...] =
 
 
 def repaired_source_type(source_type: Column, url: Column, source_id: Column) -> Column:
-    """Source type from url and id patterns where it is missing or unknown."""
-    return (
-        F.when(source_type.isin("youtube", "zoom", "youtube_api", "local_file"), source_type)
-        .when(url.rlike(r"youtube\.com|youtu\.be"), "youtube")
-        .when(url.rlike(r"zoom\.us"), "zoom")
-        .when(source_id.rlike(r"^local_"), "local_file")
-        .when(source_id.rlike(r"^[A-Za-z0-9_-]{11}$"), "youtube")
-        .otherwise("zoom")
-    )
+    """A known type becomes youtube or zoom, zoom last, where id or url say so; null and empty become youtube."""
+    says = lambda name, part: F.coalesce(F.contains(source_id, F.lit(name)), F.lit(False)) | F.coalesce(F.contains(url, F.lit(part)), F.lit(False))
+    return F.when(source_type.isNull(), "youtube").when(says("zoom", "zoom"), "zoom").when(says("youtube", "youtube.com") | (source_type == ""), "youtube").otherwise(source_type)
 
 
 def provenance_of(method: Column) -> Column:

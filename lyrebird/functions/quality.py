@@ -6,14 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lyrebird.functions.text import word_count
-from lyrebird.schemas import PRIMARY
+from lyrebird.schemas import GUEST, PRIMARY
 
 # Thresholds of recognition quality.
 LOW_LOGPROB, HIGH_COMPRESSION, NO_SPEECH = -0.35, 2.4, 0.8
 MANUAL_CAPTIONS, AUTO_CAPTIONS, CAPTIONS_ACCEPTED = 0.95, 0.85, 0.92
 SHORT_S = 120
-MEMBER_TITLES = r"(?i)members? only|member exclusive|exclusive for members|channel members|for members|join this channel|membership|members-only"
-INTERVIEW_TITLES = r"(?i)interview|guest|conversation with|podcast|talks with|speaks with|q&a|q & a"
+# Words of titles and messages.
+RESTRICTED = ("subscriber_only", "premium_only", "needs_auth", "unlisted")
+MEMBER_TITLES = ("members only", "members exclusive", "exclusive to members", "member exclusive", "patreon exclusive", "subscriber exclusive", "premium content", "early access")
+MEMBER_ERRORS = ("join this channel to get access to members-only content", "membership required", "premium content", "available to members only", "subscribers only", "exclusive content")
+INTERVIEW_TITLES = ("interview", "conversation", "chat", "talk", "guest", "podcast", "discussion", "debate")
+# Worst log probability and compression of a good segment, of the primary speaker and of guests.
+GOOD_PRIMARY, GOOD_GUEST = (-0.55, 2.4), (-0.8, 2.6)
 
 
 def low_confidence(logprob: Column, compression: Column) -> Column:
@@ -33,8 +38,25 @@ def not_longer(duration: Column, most: float) -> Column:
     return duration.isNull() | (duration == 0) | (duration <= most)
 
 
+def _names_any(c: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether the text holds one of the phrases, in any case; null holds none."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(low, p))
+
+
 def members_only(availability: Column, title: Column) -> Column:
-    return F.coalesce(availability.isin("subscriber_only", "premium_only", "needs_auth", "private"), F.lit(False)) | F.coalesce(title.rlike(MEMBER_TITLES), F.lit(False))
+    """By the availability, or by phrases of the title."""
+    return F.coalesce(availability.isin(*RESTRICTED), F.lit(False)) | _names_any(title, MEMBER_TITLES)
+
+
+def members_only_error(message: Column) -> Column:
+    """Whether a failure's message speaks of content for members."""
+    return _names_any(message, MEMBER_ERRORS)
+
+
+def interview(title: Column) -> Column:
+    """Whether a title speaks of several speakers."""
+    return _names_any(title, INTERVIEW_TITLES)
 
 
 def captions_accepted(automatic: Column, least: float = CAPTIONS_ACCEPTED) -> Column:
@@ -47,10 +69,14 @@ def preset(duration_minutes: Column, interview: Column) -> Column:
 
 
 def quality_label(label: Column, logprob: Column, compression: Column) -> Column:
-    """Label by cut-offs, which are looser for guests."""
-    ok = F.when(label == PRIMARY, (logprob > -0.3) & (compression < 2.0)).otherwise((logprob > -0.4) & (compression < 2.2))
-    poor = low_confidence(logprob, compression)
-    return F.when(ok, "high").when(poor, "low").otherwise("medium")
+    """low_quality by cut-offs that are looser for guests, else good_quality; other speakers and null metrics are never low."""
+    poor = lambda who, limits: (label == who) & ((logprob < limits[0]) | (compression > limits[1]))
+    return F.when(poor(PRIMARY, GOOD_PRIMARY) | poor(GUEST, GOOD_GUEST), "low_quality").otherwise("good_quality")
+
+
+def percent_text(similarity: Column) -> Column:
+    """A share as a whole per cent, halves up: 0.875 -> 88%."""
+    return F.concat(F.floor(similarity * 100 + 0.5).cast("long").cast("string"), F.lit("%"))
 
 
 def confidence_band(avg_similarity: Column, n: Column) -> Column:
@@ -62,12 +88,13 @@ def clamp(c: Column) -> Column:
 
 
 def transcript_issues(text: Column, avg_seconds: Column) -> Column:
-    """Names of a transcript's issues: too_short, low_punctuation, repetitive, nonsense_words, poor_segmentation."""
+    """Names of a transcript's issues: no_content alone for a transcript without segments (null text), else too_short, low_punctuation,
+    repetitive, nonsense_words, poor_segmentation."""
     n, chars = word_count(text), F.greatest(F.length(text), F.lit(1))
     marks = F.regexp_count(text, F.lit(r"[.!?,:;]")) / chars
     repeats = F.regexp_count(text, F.lit(r"(?i)\b(\w+)\s+\1\b"))
     nonsense = F.regexp_count(text, F.lit(r"(?i)\b[bcdfghjklmnpqrstvwxyz]{4,}\b"))
-    return F.array_compact(
+    found = F.array_compact(
         F.array(
             F.when(n < 10, "too_short"),
             F.when(marks < 0.01, "low_punctuation"),
@@ -76,10 +103,11 @@ def transcript_issues(text: Column, avg_seconds: Column) -> Column:
             F.when(avg_seconds > 30, "poor_segmentation"),
         )
     )
+    return F.when(text.isNull(), F.array(F.lit("no_content"))).otherwise(found)
 
 
 # Points that each issue costs.
-PENALTY = {"too_short": 50, "low_punctuation": 20, "repetitive": 30, "nonsense_words": 40, "poor_segmentation": 10}
+PENALTY = {"no_content": 100, "too_short": 50, "low_punctuation": 20, "repetitive": 30, "nonsense_words": 40, "poor_segmentation": 10}
 
 
 def transcript_score(issues: Column) -> Column:

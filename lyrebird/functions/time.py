@@ -61,7 +61,7 @@ def years_before(published: Column, as_of: Column) -> Column:
 
 
 def recency_boosted(similarity: Column, published: Column, source_type: Column, as_of: Column) -> Column:
-    """Similarity plus 0.10 within a year or 0.05 within two, plus 0.05 for youtube, at most 1."""
+    """The similarity's size times 1 plus 0.10 within a year or 0.05 within two, plus 0.05 for youtube, at most 1. Without a date only the kind counts."""
     y = years_before(published, as_of)
     boost = F.when(y <= 1, 0.10).when(y <= 2, 0.05).otherwise(0.0) + F.when(source_type == "youtube", 0.05).otherwise(0.0)
-    return F.least(F.lit(1.0), similarity + boost)
+    return F.least(F.lit(1.0), F.abs(similarity) * (1.0 + boost))

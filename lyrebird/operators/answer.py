@@ -65,12 +65,17 @@ def answer_confidence(chunks: DataFrame, citations: DataFrame, answers: DataFram
     return j.select("answer_id", value.alias("confidence"))
 
 
-def prompt_package(chunks: DataFrame, by: str, order: Column, tie: str, k: int, template: str = "[{n}] {id}@{time}: {text}") -> DataFrame:
-    """Per ``by`` the numbered snippets of its best k chunks, as one text, and its citations."""
+def prompt_package(chunks: DataFrame, by: str, order: Column, tie: str, k: int, title: str | None = None, text_chars: int | None = None) -> DataFrame:
+    """Per ``by`` the numbered snippets "1. [title - id @ m:ss]: text" of its best k chunks, a blank line between them, and its citations id@m:ss.
+
+    Texts are whole, unless ``text_chars`` cuts them. A null title is "Unknown Video", a null text empty.
+    """
     w = Window.partitionBy(by).orderBy(order, tie)
+    named = F.coalesce(F.col(title) if title else F.lit(None).cast("string"), F.lit("Unknown Video"))
+    text = F.coalesce("text", F.lit(""))
+    cut = text if text_chars is None else F.substring(text, 1, text_chars)
+    ident, time = F.col(by).cast("string"), m_ss(F.col("start_sec"))
+    line = F.concat(F.col("_n").cast("string"), F.lit(". ["), named, F.lit(" - "), ident, F.lit(" @ "), time, F.lit("]: "), cut)
     top = chunks.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k)
-    line = F.lit(template)
-    for name, value in (("{n}", F.col("_n").cast("string")), ("{id}", F.col(by).cast("string")), ("{time}", m_ss(F.col("start_sec"))), ("{text}", F.substring("text", 1, 300))):
-        line = F.replace(line, F.lit(name), value)
-    rows = top.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_n", line.alias("line"), m_ss(F.col("start_sec")).alias("time")))).alias("r"))
-    return rows.select(by, F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("prompt"), F.transform("r", lambda x: F.concat(F.col(by).cast("string"), F.lit("@"), x["time"])).alias("citations"))
+    rows = top.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_n", line.alias("line"), F.concat(ident, F.lit("@"), time).alias("cite")))).alias("r"))
+    return rows.select(by, F.array_join(F.transform("r", lambda x: x["line"]), "\n\n").alias("prompt"), F.transform("r", lambda x: x["cite"]).alias("citations"))

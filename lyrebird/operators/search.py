@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lyrebird.functions.text import escaped_like
+from lyrebird.schemas import PROVENANCES
 
 
 def contains(c: Column, term: str) -> Column:
@@ -29,8 +30,9 @@ def of_type(df: DataFrame, value: str, column: str = "source") -> DataFrame:
 
 
 def of_year(df: DataFrame, year: int, column: str) -> DataFrame:
-    """Null dates drop out."""
-    return df.filter(F.year(column) == year)
+    """Null dates drop out. A range of dates, so that the scan can skip by it."""
+    first, after = (F.expr(f"TIMESTAMP_NTZ '{y:04d}-01-01 00:00:00'").cast(df.schema[column].dataType) for y in (year, year + 1))
+    return df.filter((F.col(column) >= first) & (F.col(column) < after))
 
 
 def ranked(df: DataFrame, *order: Column, limit: int, tie: str) -> DataFrame:
@@ -39,5 +41,9 @@ def ranked(df: DataFrame, *order: Column, limit: int, tie: str) -> DataFrame:
 
 
 def provenance_rank(c: Column) -> Column:
-    """Owner transcripts first, then captions, then recognition."""
-    return F.when(c == "owner", 1).when(c.isin("yt_caption", "yt_dlp"), 2).otherwise(3)
+    """Owner transcripts first, then captions, then recognition, then others; null counts as yt_caption."""
+    known = F.coalesce(c, F.lit("yt_caption"))
+    out = F
+    for rank, name in enumerate(PROVENANCES, 1):
+        out = out.when(known == name, rank)
+    return out.otherwise(len(PROVENANCES) + 1)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lyrebird.functions.quality import low_confidence
 from lyrebird.functions.vector import cosine, doubles
 from lyrebird.operators.bounds import small
 from lyrebird.schemas import UNKNOWN
@@ -26,22 +27,27 @@ def majority_label(words: DataFrame, by: list[str], label: str = "label", confid
 
 
 def boosted(similarity: Column, seconds: Column) -> Column:
-    """Similarity times 1.05 over 10 s of speech, 1.02 over 5 s, at most 1."""
-    return F.least(F.lit(1.0), similarity * F.when(seconds > 10, 1.05).when(seconds > 5, 1.02).otherwise(1.0))
+    """Similarity times 1.05 over 10 s of speech, 1.02 over 5 s; it may pass 1."""
+    return similarity * F.when(seconds > 10, 1.05).when(seconds > 5, 1.02).otherwise(1.0)
 
 
 def attribute_clusters(clusters: DataFrame, profiles: DataFrame, margin: float = MARGIN, least_s: float = MIN_CLUSTER_S) -> DataFrame:
     """cluster, label, similarity and second best: clusters (cluster, seconds, centroid) against profiles (name, centroid, threshold).
 
-    Profiles are few and named by hand; they are broadcast, after a check of their number. A label needs enough speech, the profile's threshold, and a
-    margin over the next distinct similarity.
+    Profiles are few and named by hand; they are broadcast as one packed row, after a check of their number, and no pair is made. A label
+    needs enough speech, the profile's threshold on the boosted similarity, and a margin of the raw similarity over the next distinct one.
+    Of equal profiles the first name wins; similarity is the boosted one, second the next distinct raw one, null without one.
     """
-    p = small(profiles.select("name", F.col("centroid").alias("p_centroid"), "threshold"), "voice profiles")
-    pairs = clusters.join(p, F.lit(True)).withColumn("similarity", boosted(cosine(F.col("centroid"), F.col("p_centroid")), F.col("seconds")))
-    best = pairs.groupBy("cluster", "seconds").agg(F.max_by(F.struct("name", "threshold"), F.struct("similarity", "name")).alias("b"), F.max("similarity").alias("similarity"), F.reverse(F.array_sort(F.collect_set("similarity"))).alias("all"))
-    second = F.get("all", F.lit(1))
-    known = (F.col("seconds") >= least_s) & (F.col("similarity") >= F.col("b.threshold")) & (second.isNull() | (F.col("similarity") - second >= margin))
-    return best.select("cluster", F.when(known, F.col("b.name")).otherwise(UNKNOWN).alias("label"), "similarity", second.alias("second"))
+    p = small(profiles.select("name", "centroid", "threshold"), "voice profiles")
+    packed = F.broadcast(p.agg(F.array_sort(F.collect_list(F.struct("name", "centroid", "threshold"))).alias("_p")))
+    scored = F.transform("_p", lambda x: F.struct((-cosine(F.col("centroid"), x["centroid"])).alias("s"), x["name"].alias("name"), x["threshold"].alias("threshold")))
+    best = clusters.join(packed, F.lit(True)).withColumn("_p", scored).withColumn("_b", F.array_min("_p"))
+    raw = -F.col("_b.s")
+    second = F.array_max(F.transform(F.filter("_p", lambda x: -x["s"] < raw), lambda x: -x["s"]))
+    value = boosted(raw, F.col("seconds"))
+    best = best.select("cluster", "seconds", F.col("_b.name").alias("name"), F.col("_b.threshold").alias("threshold"), raw.alias("raw"), value.alias("similarity"), second.alias("second"))
+    known = (F.col("seconds") >= least_s) & (F.col("similarity") > 0) & (F.col("similarity") >= F.col("threshold")) & (F.col("second").isNull() | (F.col("raw") - F.col("second") >= margin))
+    return best.select("cluster", F.when(known, F.col("name")).otherwise(UNKNOWN).alias("label"), "similarity", "second")
 
 
 def strict_label(label: Column, confidence: Column, n_overlaps: Column, threshold: float) -> Column:
@@ -104,8 +110,36 @@ def pair_similarities(df: DataFrame, by: str, vector: str) -> DataFrame:
 
 
 def speaker_stats(df: DataFrame, label: str = "speaker_label") -> DataFrame:
-    """Rows, seconds, mean length and share of all seconds per speaker; the total is a one-row aggregate, not a global window."""
+    """Rows, seconds, mean length and share of all seconds per speaker; of the columns that are there also the least, largest and mean confidence,
+    and the numbers of refined and embedded rows. The total is a one-row aggregate, not a global window."""
     seconds = F.col("end_sec") - F.col("start_sec")
-    per = df.groupBy(label).agg(F.count("*").alias("n_segments"), F.sum(seconds).alias("seconds"), F.avg(seconds).alias("avg_seconds"))
+    more = []
+    if "speaker_conf" in df.columns:
+        more += [f("speaker_conf").alias(f"{name}_conf") for name, f in (("min", F.min), ("max", F.max), ("avg", F.avg))]
+    if "re_asr" in df.columns:
+        more.append(F.count_if(F.coalesce("re_asr", F.lit(False))).alias("n_refined"))
+    if "embedding" in df.columns:
+        more.append(F.count("embedding").alias("n_embedded"))
+    per = df.groupBy(label).agg(F.count("*").alias("n_segments"), F.sum(seconds).alias("seconds"), F.avg(seconds).alias("avg_seconds"), *more)
     total = per.agg(F.sum("seconds").alias("_all"))
     return per.join(F.broadcast(total), F.lit(True)).withColumn("share_pct", F.when(F.col("_all") > 0, 100.0 * F.col("seconds") / F.col("_all")).otherwise(0.0)).drop("_all")
+
+
+def quality_means(df: DataFrame) -> DataFrame:
+    """One row: means of the quality metrics (missing ones neutral), number and share of low-confidence segments, number without a known speaker."""
+    low = low_confidence(F.coalesce("avg_logprob", F.lit(0.0)), F.coalesce("compression_ratio", F.lit(1.0)))
+    out = df.agg(
+        F.count("*").alias("n_segments"),
+        F.avg(F.coalesce("avg_logprob", F.lit(0.0))).alias("avg_logprob_mean"),
+        F.avg(F.coalesce("compression_ratio", F.lit(1.0))).alias("compression_ratio_mean"),
+        F.avg(F.coalesce("no_speech_prob", F.lit(0.0))).alias("no_speech_prob_mean"),
+        F.count_if(low).alias("n_low_conf"),
+        F.count_if(F.col("speaker_label") == UNKNOWN).alias("n_unknown"),
+    )
+    return out.withColumn("low_conf_pct", F.when(F.col("n_segments") > 0, 100.0 * F.col("n_low_conf") / F.col("n_segments")).otherwise(0.0))
+
+
+def threshold_share(similarities: DataFrame, by: str, column: str = "similarity", threshold: float = 0.62) -> DataFrame:
+    """Per key the least, mean and largest similarity and the per cent of at least ``threshold``."""
+    s = F.col(column)
+    return similarities.groupBy(by).agg(F.count(s).alias("n"), F.min(s).alias("least"), F.avg(s).alias("mean"), F.max(s).alias("most"), (100.0 * F.count_if(s >= threshold) / F.nullif(F.count(s), F.lit(0))).alias("above_pct"))

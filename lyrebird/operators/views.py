@@ -10,8 +10,8 @@ from lyrebird.schemas import GUEST, PRIMARY
 
 
 def segments_with_metadata(segments: DataFrame) -> DataFrame:
-    """Segments with duration, display name and quality label."""
-    name = F.when(F.col("speaker_label") == PRIMARY, "Primary speaker").when(F.col("speaker_label") == GUEST, "Guest").otherwise("Unknown speaker")
+    """Segments with duration, display name (the label itself for other speakers) and quality label."""
+    name = F.when(F.col("speaker_label") == PRIMARY, "Primary speaker").when(F.col("speaker_label") == GUEST, "Guest").otherwise(F.col("speaker_label"))
     return segments.withColumn("duration", F.col("end_sec") - F.col("start_sec")).withColumn("speaker_display_name", name).withColumn("quality", quality_label(F.col("speaker_label"), F.col("avg_logprob"), F.col("compression_ratio")))
 
 

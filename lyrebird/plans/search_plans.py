@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lyrebird.functions.quality import confidence_band
@@ -34,8 +34,11 @@ _CLASS = r"CASE WHEN contains(text, '{t}') THEN 1 WHEN regexp_matches(text, '(?i
 def search_keyword(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: documents that contain a term, with their source's totals, in match-class order."""
     docs = table(spark, d, "documents")
-    hits = search.keyword(docs, "the").join(_per_source(docs), "source")
-    return search.ranked(hits, F.col("match_class").asc(), F.desc("n_chars"), limit=30, tie="doc_id").select("doc_id", "source", "n_chars", "n_docs", "source_chars", "match_class")
+    # the cut comes before the join: only its rows meet the totals
+    order = (F.col("match_class").asc(), F.desc("n_chars"))
+    top = search.ranked(search.keyword(docs.filter("source IS NOT NULL"), "the").select("doc_id", "source", "n_chars", "match_class"), *order, limit=30, tie="doc_id")
+    hits = F.broadcast(top).join(_per_source(docs), "source")
+    return hits.orderBy(*order, "doc_id").select("doc_id", "source", "n_chars", "n_docs", "source_chars", "match_class")
 
 
 @query("search_title_or_text", "SELECT doc_id, source FROM documents WHERE source ILIKE '%src1%' OR text ILIKE '%idiot%' ORDER BY doc_id LIMIT 100")
@@ -56,18 +59,42 @@ def search_year_filter(spark: SparkSession, d: str) -> DataFrame:
     return search.of_year(table(spark, d, "orders"), 1996, "o_orderdate").select("o_orderkey", F.year("o_orderdate").alias("y"))
 
 
-_PROV = "CASE lang WHEN 'en' THEN 'owner' WHEN 'fr' THEN 'yt_caption' ELSE 'whisper' END"
+_PROV = "CASE lang WHEN 'en' THEN 'owner' WHEN 'fr' THEN 'yt_caption' WHEN 'de' THEN 'yt_dlp' END"
+_PUBLISHED = "CASE WHEN doc_id % 7 > 0 THEN TIMESTAMP '2020-01-01' + (doc_id % 1000) * INTERVAL 1 DAY END"
+
+
+def _published() -> Column:
+    return F.when(F.col("doc_id") % 7 > 0, F.expr("TIMESTAMP '2020-01-01' + make_dt_interval(CAST(doc_id % 1000 AS INT))"))
+
+
+def _provenance() -> Column:
+    return F.when(F.col("lang") == "en", "owner").when(F.col("lang") == "fr", "yt_caption").when(F.col("lang") == "de", "yt_dlp")
 
 
 @query(
     "search_provenance_order",
-    f"""SELECT doc_id, prov FROM (SELECT doc_id, n_chars, {_PROV} AS prov FROM documents WHERE text ILIKE '%en%')
-    ORDER BY CASE prov WHEN 'owner' THEN 1 WHEN 'yt_caption' THEN 2 ELSE 3 END, n_chars DESC NULLS LAST, doc_id LIMIT 40""",
+    f"""SELECT doc_id, prov FROM (SELECT *, coalesce({_PROV}, 'yt_caption') AS prov, {_PUBLISHED} AS published FROM {CHUNKS_SQL} WHERE text ILIKE '%en%' OR source ILIKE '%src1%')
+    ORDER BY CASE WHEN text ILIKE '%en%' THEN 1 WHEN source ILIKE '%src1%' THEN 2 ELSE 3 END,
+      CASE prov WHEN 'owner' THEN 1 WHEN 'yt_caption' THEN 2 WHEN 'yt_dlp' THEN 3 WHEN 'whisper' THEN 4 ELSE 5 END, published DESC NULLS LAST, start_sec, doc_id LIMIT 40""",
 )
 def search_provenance_order(spark: SparkSession, d: str) -> DataFrame:
-    prov = F.when(F.col("lang") == "en", "owner").when(F.col("lang") == "fr", "yt_caption").otherwise("whisper")
-    hits = table(spark, d, "documents").filter(search.contains(F.col("text"), "en")).withColumn("prov", prov)
-    return search.ranked(hits, search.provenance_rank(F.col("prov")).asc(), F.desc_nulls_last("n_chars"), limit=40, tie="doc_id").select("doc_id", "prov")
+    """Hits in the text before hits in the title, then by provenance, the newest first, then by time."""
+    in_text, in_title = search.contains(F.col("text"), "en"), search.contains(F.col("source"), "src1")
+    hits = chunks(spark, d).filter(in_text | in_title).withColumn("prov", F.coalesce(_provenance(), F.lit("yt_caption"))).withColumn("published", _published())
+    order = (F.when(in_text, 1).when(in_title, 2).otherwise(3).asc(), search.provenance_rank(F.col("prov")).asc(), F.desc_nulls_last("published"), F.asc("start_sec"))
+    return search.ranked(hits, *order, limit=40, tie="doc_id").select("doc_id", "prov")
+
+
+@query(
+    "answer_order",
+    f"""SELECT doc_id, owner FROM (SELECT *, coalesce({_PROV}, 'yt_caption') = 'owner' AS owner, {_PUBLISHED} AS published FROM {CHUNKS_SQL} WHERE text ILIKE '%en%' OR source ILIKE '%src1%')
+    ORDER BY CASE WHEN text ILIKE '%en%' THEN 1 ELSE 2 END, owner DESC, published DESC NULLS LAST, start_sec, doc_id LIMIT 40""",
+)
+def answer_order(spark: SparkSession, d: str) -> DataFrame:
+    """The order of an answer's fallback search: hits in the text, then the owner's, then the newest."""
+    in_text, in_title = search.contains(F.col("text"), "en"), search.contains(F.col("source"), "src1")
+    hits = chunks(spark, d).filter(in_text | in_title).withColumn("owner", F.coalesce(_provenance(), F.lit("yt_caption")) == "owner").withColumn("published", _published())
+    return search.ranked(hits, F.when(in_text, 1).otherwise(2).asc(), F.desc("owner"), F.desc_nulls_last("published"), F.asc("start_sec"), limit=40, tie="doc_id").select("doc_id", "owner")
 
 
 @query("search_word_match_class", f"SELECT {_CLASS.format(t='and')} AS match_class, count(*) AS n FROM documents WHERE text ILIKE '%and%' GROUP BY 1")
@@ -169,13 +196,10 @@ def vector_best_centroid(spark: SparkSession, d: str) -> DataFrame:
     "vector_pairwise_threshold",
     f"""SELECT label, count(*) AS n_pairs, round(avg(s), 6) AS mean, round(CASE WHEN count(*) < 2 THEN 0.7 ELSE greatest(0.5, avg(s) - 3 * stddev_pop(s)) END, 6) AS threshold
     FROM (SELECT a.label, {_COS.format(a='a.embedding', b='b.embedding')} AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
-      WHERE a.vec_id % 20 = a.label AND b.vec_id % 20 = b.label) GROUP BY label""",
+      ) GROUP BY label""",
 )
 def vector_pairwise_threshold(spark: SparkSession, d: str) -> DataFrame:
-    """Threshold per profile from the similarities of all pairs of its vectors.
-
-    The SQL takes one vector in 20 only, so its rows differ; without its filter on vec_id it gives these.
-    """
+    """Threshold per profile from the similarities of all pairs of its vectors."""
     from lyrebird.operators.speakers import pair_similarities, threshold_of
 
     s = pair_similarities(table(spark, d, "embeddings"), "label", "embedding")
@@ -185,8 +209,8 @@ def vector_pairwise_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "recency_boost_rank",
-    f"""SELECT o_orderkey, round(least(1.0, o_totalprice / 600000.0 + CASE WHEN y <= 1 THEN 0.10 WHEN y <= 2 THEN 0.05 ELSE 0.0 END
-      + CASE WHEN o_orderkey % 2 = 0 THEN 0.05 ELSE 0.0 END), 6) AS boosted FROM (
+    f"""SELECT o_orderkey, round(least(1.0, abs(o_totalprice / 600000.0) * (1.0 + (CASE WHEN y <= 1 THEN 0.10 WHEN y <= 2 THEN 0.05 ELSE 0.0 END
+      + CASE WHEN o_orderkey % 2 = 0 THEN 0.05 ELSE 0.0 END))), 6) AS boosted FROM (
       SELECT *, (epoch({AS_OF}) - epoch(o_orderdate)) / (365 * 86400.0) AS y FROM orders)
     ORDER BY boosted DESC, o_orderkey LIMIT 50""",
 )
@@ -206,13 +230,23 @@ def confidence_band_query(spark: SparkSession, d: str) -> DataFrame:
     return agg.select("label", "n", confidence_band(F.col("m") * 8, F.col("n")).alias("band"))
 
 
-@query("prompt_package")
+@query(
+    "prompt_package",
+    f"""SELECT source, string_agg(line, chr(10) || chr(10) ORDER BY n) AS prompt, string_agg(cite, ',' ORDER BY n) AS citations FROM (
+      SELECT source, n, source || '@' || t AS cite, n || '. [' || lang || ' - ' || source || ' @ ' || t || ']: ' || text AS line FROM (
+        SELECT *, CAST(floor(start_sec) AS BIGINT) // 60 || ':' || lpad(CAST(CAST(floor(start_sec) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS t,
+          row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM {CHUNKS_SQL}) WHERE n <= 3) GROUP BY source""",
+)
 def prompt_package(spark: SparkSession, d: str) -> DataFrame:
     """Numbered snippets and citations of each source's three longest chunks."""
-    return answer.prompt_package(chunks(spark, d), "source", F.desc("n_chars"), "doc_id", 3)
+    return answer.prompt_package(chunks(spark, d), "source", F.desc("n_chars"), "doc_id", 3, title="lang").withColumn("citations", F.array_join("citations", ","))
 
 
-@query("rerank_lexical")
+@query(
+    "rerank_lexical",
+    """SELECT doc_id, round(1 / (1 + exp(-(len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '\\s+')), ['the', 'thing', 'of', 'and'])) / 4.0 * 8 - 4))), 6) AS rerank_score
+    FROM documents WHERE text ILIKE '%the%' ORDER BY rerank_score DESC, doc_id LIMIT 20""",
+)
 def rerank_lexical(spark: SparkSession, d: str) -> DataFrame:
     hits = search.keyword(table(spark, d, "documents"), "the")
     return answer.rerank(hits, "the thing of and", 20, "doc_id").select("doc_id", F.round("rerank_score", 6).alias("rerank_score"))

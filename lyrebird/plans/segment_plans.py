@@ -84,13 +84,10 @@ def span_union_merge(spark: SparkSession, d: str) -> DataFrame:
     f"""SELECT media_id, CAST(c AS BIGINT) AS cluster, count(*) AS n_rows, md5(string_agg(text, ' ' ORDER BY start_sec, seq)) AS text_md5 FROM (
       SELECT *, sum(fresh) OVER (PARTITION BY media_id ORDER BY start_sec, seq ROWS UNBOUNDED PRECEDING) AS c FROM (
         SELECT *, CASE WHEN start_sec - lag(end_sec) OVER (PARTITION BY media_id ORDER BY start_sec, seq) <= 1 THEN 0 ELSE 1 END AS fresh
-        FROM {SEGMENTS_SQL} WHERE seq % 3 <> 1)) GROUP BY media_id, c""",
+        FROM (SELECT * REPLACE (start_sec + 2 * (seq // 3) AS start_sec, end_sec + 2 * (seq // 3) AS end_sec) FROM {SEGMENTS_SQL}))) GROUP BY media_id, c""",
 )
 def close_caption_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Every segment, merged where gaps are short; two seconds more before each third segment make gaps.
-
-    The SQL makes gaps by leaving out a third of the segments, so its rows differ.
-    """
+    """Every segment, merged where gaps are short; two seconds more before each third segment make gaps."""
     shift = 2.0 * F.floor(F.col("seq") / 3)
     spaced = segments(spark, d).withColumns({"start_sec": F.col("start_sec") + shift, "end_sec": F.col("end_sec") + shift})
     out = cluster.merged(cluster.gap_clusters(spaced, "media_id", "seq", 1.0), "media_id", "seq", by=" ")
@@ -186,13 +183,13 @@ def overlap_flag(spark: SparkSession, d: str) -> DataFrame:
     "speaker_margin",
     """WITH c AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY 1, 2),
     p AS (SELECT label, list(x ORDER BY i) AS v FROM c GROUP BY label),
-    s AS (SELECT vec_id, p.label, least(1.0, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) * 1.02) AS sim FROM embeddings e, p WHERE vec_id % 10 = 0),
+    s AS (SELECT vec_id, p.label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS sim FROM embeddings e, p),
     r AS (SELECT *, dense_rank() OVER (PARTITION BY vec_id ORDER BY sim DESC) AS k FROM s)
-    SELECT vec_id, CASE WHEN max(sim) >= 0.5 AND (max(CASE WHEN k = 2 THEN sim END) IS NULL OR max(sim) - max(CASE WHEN k = 2 THEN sim END) >= 0.05)
-      THEN CAST(max_by(label, sim) AS VARCHAR) ELSE 'Unknown' END AS label, round(max(sim), 6) AS similarity FROM r GROUP BY vec_id""",
+    SELECT vec_id, CASE WHEN max(sim) * 1.02 >= 0.5 AND (max(CASE WHEN k = 2 THEN sim END) IS NULL OR max(sim) - max(CASE WHEN k = 2 THEN sim END) >= 0.05)
+      THEN CAST(min(CASE WHEN k = 1 THEN CAST(label AS VARCHAR) END) AS VARCHAR) ELSE 'Unknown' END AS label, round(max(sim) * 1.02, 6) AS similarity FROM r GROUP BY vec_id""",
 )
 def speaker_margin(spark: SparkSession, d: str) -> DataFrame:
-    """The label of every vector. The SQL takes one vector in 10 only; without its filter on vec_id it gives these rows."""
+    """The label of every vector, against the centroids of all labels."""
     from lyrebird.functions.vector import centroids
 
     e = table(spark, d, "embeddings")

@@ -31,7 +31,7 @@ def search_page(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "answer_retrieval",
-    f"""WITH hits AS (SELECT *, least(1.0, n_chars / 8000.0 + CASE WHEN doc_id % 3 = 0 THEN 0.10 ELSE 0.0 END + CASE WHEN lang = 'en' THEN 0.05 ELSE 0.0 END) AS boosted FROM {CHUNKS_SQL} WHERE text ILIKE '%en%'),
+    f"""WITH hits AS (SELECT *, least(1.0, abs(n_chars / 8000.0) * (1.0 + (CASE WHEN doc_id % 3 = 0 THEN 0.10 ELSE 0.0 END + CASE WHEN lang = 'en' THEN 0.05 ELSE 0.0 END))) AS boosted FROM {CHUNKS_SQL} WHERE text ILIKE '%en%'),
     top AS (SELECT * FROM hits ORDER BY boosted DESC, doc_id LIMIT 80),
     g AS (SELECT *, sum(fresh) OVER (PARTITION BY source ORDER BY start_sec, doc_id ROWS UNBOUNDED PRECEDING) AS c FROM (
       SELECT *, CASE WHEN abs(start_sec - lag(end_sec) OVER (PARTITION BY source ORDER BY start_sec, doc_id)) <= 120 THEN 0 ELSE 1 END AS fresh FROM top))
@@ -66,10 +66,11 @@ def rag_vector_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "segments_with_metadata",
-    f"""SELECT media_id, seq, round(end_sec - start_sec, 6) AS duration, CASE speaker_label WHEN 'PRIMARY' THEN 'Primary speaker' WHEN 'GUEST' THEN 'Guest' ELSE 'Unknown speaker' END AS speaker_display_name FROM {SEGMENTS_SQL}""",
+    f"""SELECT media_id, seq, round(end_sec - start_sec, 6) AS duration, CASE speaker_label WHEN 'PRIMARY' THEN 'Primary speaker' WHEN 'GUEST' THEN 'Guest' ELSE speaker_label END AS speaker_display_name,
+    CASE WHEN speaker_label = 'PRIMARY' AND (avg_logprob < -0.55 OR compression_ratio > 2.4) OR speaker_label = 'GUEST' AND (avg_logprob < -0.8 OR compression_ratio > 2.6) THEN 'low_quality' ELSE 'good_quality' END AS quality FROM {SEGMENTS_SQL}""",
 )
 def segments_with_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return views.segments_with_metadata(segments(spark, d)).select("media_id", "seq", F.round("duration", 6).alias("duration"), "speaker_display_name")
+    return views.segments_with_metadata(segments(spark, d)).select("media_id", "seq", F.round("duration", 6).alias("duration"), "speaker_display_name", "quality")
 
 
 @query(
@@ -103,10 +104,11 @@ def storage_gate(spark: SparkSession, d: str) -> DataFrame:
     return s.select("media_id", "seq", views.gated_embedding(F.col("speaker_label"), F.length("text")).alias("kept"))
 
 
-@query("listing_filters", "SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(?i)members? only|membership') AND NOT regexp_matches(lower(text), '\\[(music|applause|laughter|silence)\\]') AND length(trim(text)) > 3")
+@query("listing_filters", "SELECT doc_id FROM documents WHERE NOT regexp_matches(lower(text), 'members only|members exclusive|exclusive to members|member exclusive|patreon exclusive|subscriber exclusive|premium content|early access') AND doc_id % 9 <> 4 AND NOT regexp_matches(lower(text), '\\[(music|applause|laughter|silence)\\]') AND length(trim(text)) > 3")
 def listing_filters(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    gone = quality.members_only(F.lit(None).cast("string"), t) | text.is_non_verbal(t)
+    availability = F.when(F.col("doc_id") % 9 == 4, "unlisted").when(F.col("doc_id") % 9 == 5, "private")
+    gone = quality.members_only(availability, t) | text.is_non_verbal(t)
     return table(spark, d, "documents").filter(~gone & (F.length(F.trim(t)) > 3)).select("doc_id")
 
 

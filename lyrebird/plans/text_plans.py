@@ -41,9 +41,9 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", keys.content_hash(k, F.col("o_orderdate")).alias("content_hash"), keys.content_hash(k).alias("id_hash"))
 
 
-@query("chunk_hash", f"SELECT media_id, seq, substr(sha256(media_id || ':' || printf('%.3f', start_sec) || ':' || printf('%.3f', end_sec) || ':' || text), 1, 16) AS h FROM {SEGMENTS_SQL} WHERE seq = 0")
+@query("chunk_hash", f"SELECT media_id, seq, substr(sha256(media_id || ':' || printf('%.3f', start_sec) || ':' || printf('%.3f', end_sec) || ':' || text), 1, 16) AS h FROM {SEGMENTS_SQL}")
 def chunk_hash(spark: SparkSession, d: str) -> DataFrame:
-    """The hash of every segment. The SQL takes first turns only; without its filter on seq it gives these rows."""
+    """The hash of every segment."""
     s = segments(spark, d)
     return s.select("media_id", "seq", keys.chunk_hash(F.col("media_id").cast("string"), F.col("start_sec"), F.col("end_sec"), F.col("text")).alias("h"))
 
@@ -109,25 +109,38 @@ def terminology_fix(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(text.fix_terms(F.col("text"), [("tion", "TION"), ("TIONs", "tions")])).alias("h"))
 
 
-@query("label_normalize", "SELECT role AS label, CASE upper(role) WHEN 'USER' THEN 'user' ELSE role END AS normal, count(*) AS n FROM (SELECT CASE turn % 5 WHEN 0 THEN 'CH' WHEN 1 THEN 'HOST' WHEN 2 THEN 'G1' WHEN 3 THEN '' ELSE role END AS raw, CASE turn % 5 WHEN 0 THEN 'PRIMARY' WHEN 1 THEN 'PRIMARY' WHEN 2 THEN 'GUEST' WHEN 3 THEN 'GUEST' ELSE role END AS role FROM conversations) GROUP BY 1, 2")
+_RAW_LABEL = "CASE turn % 6 WHEN 0 THEN 'ch' WHEN 1 THEN 'HOST' WHEN 2 THEN 'G1' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE role END"
+
+
+@query(
+    "label_normalize",
+    f"""SELECT raw, CASE WHEN upper(trim(raw)) IN ('CH', 'HOST', 'PRIMARY') THEN 'PRIMARY' WHEN upper(trim(raw)) IN ('G1', 'G2', 'GUEST') THEN 'GUEST' WHEN coalesce(trim(raw), '') = '' THEN 'GUEST' ELSE raw END AS normal, count(*) AS n
+    FROM (SELECT {_RAW_LABEL} AS raw FROM conversations) GROUP BY 1, 2""",
+)
 def label_normalize(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.expr("CASE turn % 5 WHEN 0 THEN 'CH' WHEN 1 THEN 'HOST' WHEN 2 THEN 'G1' WHEN 3 THEN '' ELSE role END")
-    out = table(spark, d, "conversations").select(keys.normal_label(raw).alias("label"))
-    return out.groupBy("label", F.col("label").alias("normal")).agg(F.count("*").alias("n"))
+    out = table(spark, d, "conversations").select(F.expr(_RAW_LABEL).alias("raw"))
+    return out.groupBy("raw", keys.normal_label(F.col("raw")).alias("normal")).agg(F.count("*").alias("n"))
 
 
-@query("source_type_repair", "SELECT CASE page_id % 4 WHEN 0 THEN 'youtube' WHEN 1 THEN 'zoom' WHEN 2 THEN 'local_file' ELSE 'youtube' END AS kind, count(*) AS n FROM pages GROUP BY 1")
+_TYPED = """SELECT page_id, CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'youtube' WHEN 3 THEN 'zoom' ELSE 'local_file' END AS kind,
+  CASE page_id % 3 WHEN 0 THEN 'https://www.youtube.com/watch?v=a' WHEN 1 THEN 'https://zoom.us/rec/1' ELSE url END AS u, CASE page_id % 7 WHEN 0 THEN 'zoom_1' WHEN 1 THEN 'youtube_1' WHEN 2 THEN NULL ELSE 'x' END AS sid FROM pages"""
+
+
+@query(
+    "source_type_repair",
+    f"""SELECT page_id, CASE WHEN k2 IS NULL OR k2 = '' THEN 'youtube' ELSE k2 END AS kind FROM (
+      SELECT *, CASE WHEN k1 <> 'zoom' AND (sid LIKE '%zoom%' OR u LIKE '%zoom%') THEN 'zoom' ELSE k1 END AS k2 FROM (
+        SELECT *, CASE WHEN kind <> 'youtube' AND (sid LIKE '%youtube%' OR u LIKE '%youtube.com%') THEN 'youtube' ELSE kind END AS k1 FROM ({_TYPED})))""",
+)
 def source_type_repair(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages")
-    url = F.expr("CASE page_id % 4 WHEN 0 THEN 'https://www.youtube.com/watch?v=a' WHEN 1 THEN 'https://zoom.us/rec/1' ELSE url END")
-    sid = F.expr("CASE page_id % 4 WHEN 2 THEN 'local_0123456789' WHEN 3 THEN 'abcdefghij_' ELSE '' END")
-    return p.select(keys.repaired_source_type(F.lit(None).cast("string"), url, sid).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    typed = spark.sql(_TYPED.replace("FROM pages", "FROM {pages}"), pages=table(spark, d, "pages"))
+    return typed.select("page_id", keys.repaired_source_type(F.col("kind"), F.col("u"), F.col("sid")).alias("kind"))
 
 
 @query(
     "quality_label",
-    f"""SELECT media_id, seq, CASE WHEN CASE WHEN speaker_label = 'PRIMARY' THEN avg_logprob > -0.3 AND compression_ratio < 2.0 ELSE avg_logprob > -0.4 AND compression_ratio < 2.2 END THEN 'high'
-      WHEN avg_logprob <= -0.35 OR compression_ratio >= 2.4 THEN 'low' ELSE 'medium' END AS label,
+    f"""SELECT media_id, seq, CASE WHEN speaker_label = 'PRIMARY' AND (avg_logprob < -0.55 OR compression_ratio > 2.4) THEN 'low_quality'
+      WHEN speaker_label = 'GUEST' AND (avg_logprob < -0.8 OR compression_ratio > 2.6) THEN 'low_quality' ELSE 'good_quality' END AS label,
       avg_logprob <= -0.35 OR compression_ratio >= 2.4 OR no_speech_prob >= 0.8 AS refine FROM {SEGMENTS_SQL}""",
 )
 def quality_label(spark: SparkSession, d: str) -> DataFrame:

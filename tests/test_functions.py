@@ -84,9 +84,11 @@ def test_clock_strings(spark):
 def test_recency_boost_is_capped(spark):
     at = F.expr("TIMESTAMP '2024-01-31'")
     boost = lambda days, kind, sim: one(spark, time.recency_boosted(F.col("s"), F.col("p"), F.col("k"), at), s=sim, p=F.expr(f"TIMESTAMP '2024-01-31' - INTERVAL {days} DAYS"), k=kind)
-    assert boost(365, "zoom", 0.5) == pytest.approx(0.60)
-    assert boost(366, "zoom", 0.5) == pytest.approx(0.55)
-    assert boost(731, "youtube", 0.5) == pytest.approx(0.55)
+    assert boost(365, "zoom", 0.5) == pytest.approx(0.5 * 1.10)
+    assert boost(366, "zoom", 0.5) == pytest.approx(0.5 * 1.05)
+    assert boost(731, "youtube", 0.5) == pytest.approx(0.5 * 1.05)
+    assert boost(731, "zoom", 0.5) == pytest.approx(0.5)
+    assert boost(1, "youtube", -0.5) == pytest.approx(0.5 * 1.15)
     assert boost(1, "youtube", 0.95) == 1.0
 
 
