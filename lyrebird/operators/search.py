@@ -25,6 +25,12 @@ def keyword(df: DataFrame, term: str, column: str = "text") -> DataFrame:
     return df.filter(contains(F.col(column), term)).withColumn("match_class", match_class(F.col(column), term))
 
 
+def in_title_or_text(df: DataFrame, term: str, title: str, text: str = "text", score: str = "similarity") -> DataFrame:
+    """Rows with the term in either column, best first by a score that is text; a score that is no number comes last."""
+    hits = df.filter(contains(F.col(title), term) | contains(F.col(text), term))
+    return hits.orderBy(F.desc_nulls_last(F.col(score).try_cast("double")))
+
+
 def of_type(df: DataFrame, value: str, column: str = "source") -> DataFrame:
     return df if value == "all" else df.filter(F.col(column) == value)
 

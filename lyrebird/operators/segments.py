@@ -180,3 +180,47 @@ def overlap_windows(df: DataFrame, width: float = 0.3) -> DataFrame:
     out = df.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("_k"), cut.alias("_cut"))
     start = F.col("start_sec") + F.col("_k") * width
     return out.withColumn("_s", F.when(F.col("_cut"), start).otherwise(F.col("start_sec"))).withColumn("_e", F.when(F.col("_cut"), F.least(start + width, F.col("end_sec"))).otherwise(F.col("end_sec"))).withColumn("start_sec", F.col("_s")).withColumn("end_sec", F.col("_e")).drop("_k", "_cut", "_s", "_e")
+
+
+def replace_spans(df: DataFrame, refined: DataFrame) -> DataFrame:
+    """Segments (media_id, seq, text, avg_logprob, compression_ratio, re_asr, needs_refinement) after a second recognition of spans.
+
+    ``refined`` holds the new segments (media_id, first_seq, last_seq, part, text, avg_logprob, compression_ratio). All segments of a span count as
+    refined; its first one takes the joined text, the best log probability and the least compression, the others become empty and name it in
+    ``merged_into``. Spans don't overlap.
+    """
+    spans = refined.groupBy("media_id", "first_seq", "last_seq").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), " ").alias("_text"),
+        F.max("avg_logprob").alias("_logprob"),
+        F.min("compression_ratio").alias("_compression"),
+    )
+    member = spans.withColumn("seq", F.explode(F.sequence("first_seq", "last_seq"))).drop("last_seq")
+    j = df.join(member, ["media_id", "seq"], "left")
+    first, inside = F.col("seq") == F.col("first_seq"), F.col("first_seq").isNotNull()
+    return j.select(
+        "media_id",
+        "seq",
+        F.when(first, F.col("_text")).when(inside, "").otherwise(F.col("text")).alias("text"),
+        F.when(first, F.col("_logprob")).otherwise(F.col("avg_logprob")).alias("avg_logprob"),
+        F.when(first, F.col("_compression")).otherwise(F.col("compression_ratio")).alias("compression_ratio"),
+        (F.coalesce("re_asr", F.lit(False)) | inside).alias("re_asr"),
+        (F.coalesce("needs_refinement", F.lit(False)) & ~inside).alias("needs_refinement"),
+        F.when(inside & ~first, F.col("first_seq")).alias("merged_into"),
+    )
+
+
+def sliding_windows(df: DataFrame, loud: Column, seconds: float = 3.0, step: float = 1.5) -> DataFrame:
+    """Windows of ``seconds`` that begin every ``step`` and fit into a row's time, one row each (window_start, window_end); rows that aren't ``loud`` have none.
+
+    A row shorter than a window has none either.
+    """
+    n = F.floor((F.col("end_sec") - F.col("start_sec") - seconds) / step + 1e-9)
+    rows = df.filter(F.coalesce(loud, F.lit(False)) & (n >= 0)).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), n)))
+    begin = F.col("start_sec") + F.col("_i") * step
+    return rows.withColumn("window_start", begin).withColumn("window_end", begin + seconds).drop("_i")
+
+
+def refinement_pct(df: DataFrame, by: str) -> DataFrame:
+    """Per key the rows, the refined ones and their per cent."""
+    out = df.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.coalesce("re_asr", F.lit(False))).alias("n_refined"))
+    return out.withColumn("refined_pct", 100.0 * F.col("n_refined") / F.greatest(F.col("n"), F.lit(1)))

@@ -143,3 +143,12 @@ def threshold_share(similarities: DataFrame, by: str, column: str = "similarity"
     """Per key the least, mean and largest similarity and the per cent of at least ``threshold``."""
     s = F.col(column)
     return similarities.groupBy(by).agg(F.count(s).alias("n"), F.min(s).alias("least"), F.avg(s).alias("mean"), F.max(s).alias("most"), (100.0 * F.count_if(s >= threshold) / F.nullif(F.count(s), F.lit(0))).alias("above_pct"))
+
+
+def speaker_map(df: DataFrame, by: str, label: str = "speaker_label") -> DataFrame:
+    """Per key a map from speaker to its share of the key's seconds in per cent, and the speaker with most; 0 for all where there are no seconds."""
+    seconds = df.groupBy(by, label).agg(F.sum(F.col("end_sec") - F.col("start_sec")).alias("s"))
+    pairs = seconds.filter(F.col(label).isNotNull()).groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("k"), F.col("s").alias("v")))).alias("p"), F.sum("s").alias("t"))
+    share = F.map_from_entries(F.transform("p", lambda x: F.struct(x["k"], F.when(F.col("t") > 0, 100.0 * x["v"] / F.col("t")).otherwise(0.0))))
+    most = F.array_min(F.transform("p", lambda x: F.struct((-x["v"]).alias("v"), x["k"].alias("k"))))["k"]
+    return pairs.select(by, share.alias("shares"), most.alias("main_speaker"))

@@ -61,6 +61,29 @@ def unprocessed(items: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
     return items.join(ledger.select(key).distinct(), key, "left_anti")
 
 
+def next_unprocessed(items: DataFrame, ledger: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
+    """The first k items, in a total order, that the ledger doesn't hold: the limit counts open items only."""
+    return unprocessed(items, ledger, key).orderBy(*order).limit(k)
+
+
+def recent_unprocessed(state: DataFrame, as_of: Column, days: int, method: str, k: int, tie: str) -> DataFrame:
+    """The newest k items of the last days that aren't done and weren't taken up by ``method``."""
+    fresh = state.filter((F.col("created_at") >= as_of - F.expr(f"INTERVAL {days} DAYS")) & (F.col("status") != "done"))
+    return fresh.filter(F.col("processing_method").isNull() | (F.col("processing_method") != method)).orderBy(F.desc("created_at"), tie).limit(k)
+
+
+def fill_from(rows: DataFrame, parents: DataFrame, key: str, parent_key: str, column: str, value: str) -> DataFrame:
+    """``column`` is filled, where it is null, with ``value`` of the one parent whose ``parent_key`` equals the row's ``key``; other rows stay as they are."""
+    p = parents.groupBy(F.col(parent_key).alias(key)).agg(F.min(value).alias("_v"))
+    return rows.join(p, key, "left").withColumn(column, F.coalesce(column, "_v")).select(rows.columns)
+
+
+def without_labels(parents: DataFrame, rows: DataFrame, key: str, label: str) -> DataFrame:
+    """Parents that have rows, none of which has a label, with their number of rows."""
+    per = rows.groupBy(key).agg(F.count("*").alias("n_rows"), F.count(label).alias("_labelled")).filter("_labelled = 0").drop("_labelled")
+    return parents.join(per, key)
+
+
 def pending_queue(state: DataFrame, k: int, tie: str, max_retries: int = 3) -> DataFrame:
     """Pending items first, then errors with retries left."""
     open_ = state.filter((F.col("status") == "pending") | ((F.col("status") == "error") & (F.col("retries") < max_retries)))

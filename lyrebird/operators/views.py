@@ -61,8 +61,8 @@ def analyse(spark: SparkSession, table: str) -> None:
 def compact(spark: SparkSession, source: str, target: str, bytes_each: int = 256 << 20) -> None:
     """Rewrite a Parquet folder as files of about ``bytes_each``, into another folder."""
     df = spark.read.parquet(source)
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
-    df.repartition(max(1, -(-size // bytes_each))).write.mode("errorifexists").parquet(target)
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    df.repartition(max(1, -(-int(size) // bytes_each))).write.mode("errorifexists").parquet(target)
 
 
 def reset(spark: SparkSession, path: str, confirm: str) -> None:
@@ -79,3 +79,41 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load()
+
+
+def status_page(sources: DataFrame, segments: DataFrame, as_of: Column) -> DataFrame:
+    """One row: numbers of sources (id, duration_s, created_at) and segments (source_id, text, speaker_label, embedding, created_at), what came in the last
+    hour, repeated texts, and rows without label or vector."""
+    hour = as_of - F.expr("INTERVAL 1 HOUR")
+    s = sources.agg(
+        F.count("*").alias("n_sources"),
+        F.round(F.avg("duration_s") / 60.0, 4).alias("avg_minutes"),
+        F.round(F.sum("duration_s") / 3600.0, 4).alias("total_hours"),
+        F.count_if(F.col("created_at") > hour).alias("recent_sources"),
+    )
+    g = segments.agg(
+        F.count("*").alias("n_segments"),
+        F.count_distinct("source_id").alias("n_with_segments"),
+        F.count_distinct(F.when(F.col("created_at") > hour, F.col("source_id"))).alias("recent_items"),
+        F.count_if(F.col("speaker_label").isNull()).alias("n_null_labels"),
+        F.count("embedding").alias("n_embedded"),
+    )
+    d = segments.groupBy("source_id", "text").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("n_repeated"))
+    out = s.join(g, F.lit(True)).join(d, F.lit(True))
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a).cast("double"), F.nullif(F.col(b), F.lit(0))), F.lit(0.0)), 4)
+    return out.withColumn("segments_each", share("n_segments", "n_with_segments")).withColumn("embedded_share", share("n_embedded", "n_segments"))
+
+
+def latest_sources(sources: DataFrame, segments: DataFrame, k: int = 5) -> DataFrame:
+    """The newest k sources with their numbers of segments; only those meet the segments."""
+    top = sources.orderBy(F.desc_nulls_last("created_at"), "id").limit(k)
+    return top.join(segments.select(F.col("source_id").alias("id"), "text"), "id", "left").groupBy("id", "created_at").agg(F.count("text").alias("n_segments"))
+
+
+def ingestion_stats(state: DataFrame, sources: DataFrame, chunks: DataFrame, kind: str = "youtube") -> DataFrame:
+    """(section, name, n): totals of items, sources of one kind and chunks, items by status, and the five most frequent errors."""
+    total = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit("total").alias("section"), F.lit(name).alias("name"), "n")
+    status = state.groupBy(F.col("status").alias("name")).agg(F.count("*").alias("n")).select(F.lit("status").alias("section"), "name", "n")
+    failed = state.filter((F.col("status") == "error") & F.col("last_error").isNotNull())
+    errors = failed.groupBy(F.col("last_error").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(5).select(F.lit("error").alias("section"), "name", "n")
+    return total("items", state).unionByName(total("sources", sources.filter(F.col("source_type") == kind))).unionByName(total("chunks", chunks)).unionByName(status).unionByName(errors)

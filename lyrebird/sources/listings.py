@@ -40,8 +40,12 @@ def normal_listing(raw: DataFrame) -> DataFrame:
 
 
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per line; blank and broken lines are skipped."""
-    return normal_listing(spark.read.schema(LISTING).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).drop("_corrupt").withColumn("_corrupt", F.lit(None).cast("string")))
+    """One JSON object per line; blank and broken lines are skipped. A file that isn't UTF-8 throughout is read as Latin-1, all of it."""
+    lines = spark.read.format("binaryFile").load(path).select("path", "content")
+    utf8 = F.try_validate_utf8(F.col("content").cast("string"))
+    decoded = lines.select(F.explode(F.split(F.coalesce(utf8, F.decode("content", "ISO-8859-1")), r"\r?\n")).alias("value"))
+    rows = decoded.filter(F.trim("value") != "").select(F.from_json("value", LISTING, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    return normal_listing(rows.select("r.*"))
 
 
 def api_videos(pages: DataFrame, since: Column | None = None, live: bool = False, upcoming: bool = False) -> DataFrame:
@@ -90,5 +94,18 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def seed_hash(urls: Column) -> Column:
-    """MD5 of a seed list's sorted urls, as JSON."""
-    return F.md5(F.to_json(F.array_sort(urls)))
+    """MD5 of a seed list's sorted urls, as JSON with a blank after each comma."""
+    return F.md5(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(urls), lambda u: F.concat(F.lit('"'), u, F.lit('"'))), ", "), F.lit("]")))
+
+
+def read_seeds(spark: SparkSession, path: str) -> DataFrame:
+    """Urls and hash of a seed file, a JSON object with ``sources``, a list that isn't empty and whose entries have a url; anything else is an error."""
+    raw = spark.read.option("multiLine", "true").schema("sources array<struct<url:string>>, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    row = raw.limit(1).collect()  # one small file
+    if not row or row[0]["_corrupt"] is not None or not row[0]["sources"]:
+        raise ValueError(f"{path} has no list 'sources' that holds something")
+    missing = [i for i, s in enumerate(row[0]["sources"]) if s is None or s["url"] is None]
+    if missing:
+        raise ValueError(f"source {missing[0]} of {path} has no 'url'")
+    urls = F.col("sources.url")
+    return raw.select(urls.alias("urls"), seed_hash(urls).alias("seed_hash"))

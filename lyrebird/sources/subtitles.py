@@ -53,6 +53,11 @@ def vtt_cues(files: DataFrame) -> DataFrame:
     return cues(body, lenient=True).filter((F.length("text") > 2) & ~is_non_verbal(F.col("text")))
 
 
+def entries(cues: DataFrame) -> DataFrame:
+    """Cues in the form start, duration, text."""
+    return cues.select("media_id", "seq", F.col("start_sec").alias("start"), (F.col("end_sec") - F.col("start_sec")).alias("duration"), "text")
+
+
 def merged_captions(rows: DataFrame, gap: float = 1.0) -> DataFrame:
     """Captions at most ``gap`` apart become one segment."""
     return merged(gap_clusters(rows, "media_id", "seq", gap), "media_id", "seq", by=" ")
