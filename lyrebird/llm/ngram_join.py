@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from lyrebird.llm.common import by_bytes, cap_batches, drop_scratch, fresh, hot_keys, materialize, release, worker_slot
+from lyrebird.llm.common import by_bytes, cap_batches, drop_scratch, fresh, hot_keys, join_dealt, materialize, release, worker_slot
 from lyrebird.llm.components import connected_components
 from lyrebird.llm.rows import split_by_keys, text_key, with_keys
 from lyrebird.llm.words import WordHashes, mix, shingle_set
@@ -257,7 +257,7 @@ def _star(shared: DataFrame, hot: DataFrame | None, p: int, q: int) -> DataFrame
 def jaccard_groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """The columns of ``docs`` without ``text``, n (size of the token set) and ``group``, a number for each component; null without tokens.
 
-    All tables of the way are dropped; the result reads three that stay as long as the caller wants it (``scratch_scope``).
+    All tables of the way are dropped; the result is a stored table.
     """
     spark = docs.sparkSession
     docs = docs.select(*(c for c in docs.columns if c != "text"), F.xxhash64("text").alias("text_hash"), "text")
@@ -305,7 +305,11 @@ def jaccard_groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> Da
         drop_scratch(more)
     drop_scratch(links, rest)
     by_set = sizes.select("set_id", "node").join(groups, "node", "left").select("set_id", F.coalesce("root", "node").alias("group"))
-    return members.join(by_set, "set_id", "left").drop("set_id")
+    known = join_dealt(members.filter("set_id is not null"), by_set, "set_id", least=HOT_ROWS).drop("set_id")
+    bare = members.filter("set_id is null").drop("set_id").withColumn("group", F.lit(None).cast("long"))
+    found = materialize(known.unionByName(bare), "found")
+    drop_scratch(members, sizes, groups)
+    return found
 
 
 def _links(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, k: int, p: int, q: int) -> DataFrame:
@@ -322,8 +326,10 @@ def _links(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, k: int, p: int,
 def jaccard_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id (smallest doc_id reachable over links with q*inter >= p*union)."""
     found = jaccard_groups(_texts(docs), k, p, q)
-    lowest = found.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("lowest"))
-    return found.join(lowest, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
+    known = found.filter("group is not null")
+    lowest = known.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    out = join_dealt(known, lowest, "group", least=HOT_ROWS).unionByName(found.filter("group is null").withColumn("component_id", F.col("doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
@@ -352,4 +358,4 @@ def keep_one(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFram
 def _kept_of(found: DataFrame, order: Column) -> DataFrame:
     """(key, kept) of the rows that a decision touches: all but those kept that stand once. The smallest of a group is kept."""
     lowest = found.groupBy("group").agg(F.min(order).alias("lowest"))
-    return found.join(lowest, "group").select("key", "rows", (F.col("key") == F.col("lowest.key")).alias("kept")).filter("rows > 1 or not kept").select("key", "kept")
+    return join_dealt(found, lowest, "group", least=HOT_ROWS).select("key", "rows", (F.col("key") == F.col("lowest.key")).alias("kept")).filter("rows > 1 or not kept").select("key", "kept")
