@@ -47,8 +47,10 @@ BUCKET_BITS = 17
 RARE = 3
 #: 64-bit words of a set's parity bits.
 PARITY_WORDS = 16
-#: Rows of a signature, or pairs of a node, from which they are dealt over many tasks.
+#: Rows of a signature, a set or a group from which they are dealt over many tasks.
 HOT_ROWS = 1000
+#: Pairs of a node that are verified together, about.
+DEAL_PAIRS = 128
 
 _NO_PARITY = np.zeros(PARITY_WORDS, np.int64)
 
@@ -219,10 +221,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([xs.filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    hot = hot_keys(pairs.select("a"), "a", HOT_ROWS)
+    hot = hot_keys(pairs.select("a"), "a", DEAL_PAIRS)
     deal = pairs.withColumn("deal", F.lit(0))
     if hot is not None:
-        parts = hot.select("a", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts"))
+        parts = hot.select("a", F.ceil(F.col("n") / DEAL_PAIRS).cast("int").alias("parts"))
         deal = pairs.join(F.broadcast(parts), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0)).alias("deal"))
     firsts = deal.select("a", "deal").distinct().join(sets.select(F.col("node").alias("a"), "tokens"), "a").select("a", F.lit(None).cast("long").alias("b"), F.lit(False).alias("pair"), "tokens", "deal")
     others = deal.join(sets.select(F.col("node").alias("b"), "tokens"), "b").select("a", "b", F.lit(True).alias("pair"), "tokens", "deal")
