@@ -21,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, text, start_sec, end_sec: documents as 45-second chunks on their source's clock."""
-    start = F.floor(F.col("doc_id") / 20) * 45.0
+    """doc_id, source, text, start_sec, end_sec: documents as 45-second chunks on their source's clock, with a pause of ten minutes after every 200 ids."""
+    start = F.floor(F.col("doc_id") / 20) * 45.0 + F.floor(F.col("doc_id") / 200) * 600.0
     return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text", start.alias("start_sec"), (start + 45.0).alias("end_sec"))
 
 
@@ -52,7 +52,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: DuckDB forms of the views above.
-CHUNKS_SQL = "(SELECT doc_id, source, lang, n_chars, text, floor(doc_id / 20) * 45.0 AS start_sec, floor(doc_id / 20) * 45.0 + 45.0 AS end_sec FROM documents)"
+CHUNKS_SQL = "(SELECT doc_id, source, lang, n_chars, text, floor(doc_id / 20) * 45.0 + floor(doc_id / 200) * 600.0 AS start_sec, floor(doc_id / 20) * 45.0 + floor(doc_id / 200) * 600.0 + 45.0 AS end_sec FROM documents)"
 SEGMENTS_SQL = """(SELECT conv_id AS media_id, CAST(turn AS INTEGER) AS seq, start_sec, start_sec + length(text) / 15.0 AS end_sec,
   CASE role WHEN 'user' THEN 'GUEST' WHEN 'assistant' THEN 'PRIMARY' ELSE 'Unknown' END AS speaker_label, text,
   -((length(text) % 100) / 100.0) AS avg_logprob, 1.0 + (turn % 20) / 10.0 AS compression_ratio, (turn % 10) / 10.0 AS no_speech_prob

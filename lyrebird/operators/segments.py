@@ -38,7 +38,7 @@ def duration_chunks(df: DataFrame, seconds: float = CHUNK_S) -> DataFrame:
         new = r["end_sec"] - s["start"] > seconds
         return new, F.struct(F.when(s["start"].isNull() | new, r["start_sec"]).otherwise(s["start"]).alias("start"))
 
-    out = fold_groups(rows, "media_id", ["start_sec", "seq"], F.struct(F.lit(None).cast("double").alias("start")), step, "chunk_index")
+    out = fold_groups(rows, "media_id", ["start_sec", "seq"], {"end_sec": F.col("end_sec")}, F.struct(F.lit(None).cast("double").alias("start")), step, "chunk_index")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_sec", "seq", "text"))), lambda x: x["text"]), " ")
     return out.groupBy("media_id", "chunk_index").agg(F.min("start_sec").alias("start_sec"), F.max_by("end_sec", F.struct("start_sec", "seq")).alias("end_sec"), F.count("*").alias("n_rows"), text.alias("text"))
 
@@ -77,11 +77,15 @@ def _merge_state() -> Column:
     return F.struct(F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("chars"))
 
 
+def _merge_uses() -> dict[str, Column]:
+    return {"end_sec": F.col("end_sec"), "speaker_label": F.col("speaker_label"), "chars": F.length("text")}
+
+
 def merge_short(df: DataFrame) -> DataFrame:
     """Neighbours of one speaker become one where they are short and close; the merged length counts from then on."""
 
     def step(s: Column, r: Column) -> tuple[Column, Column]:
-        n = F.length(r["text"])
+        n = r["chars"]
         near = s["label"].eqNullSafe(r["speaker_label"]) & (r["start_sec"] - s["end"] <= MAX_GAP) & (r["end_sec"] - s["start"] <= MAX_MERGE_S)
         small = (s["chars"] < TINY) | (n < TINY) | ((s["chars"] + n + 1 < TARGET_MAX) & ((s["chars"] < TARGET_MIN) | (n < TARGET_MIN)))
         join = F.coalesce(near & small, F.lit(False))
@@ -92,7 +96,7 @@ def merge_short(df: DataFrame) -> DataFrame:
             F.when(join, s["chars"] + n + 1).otherwise(n).alias("chars"),
         )
 
-    return combine(fold_groups(df, "media_id", ["start_sec", "seq"], _merge_state(), step))
+    return combine(fold_groups(df, "media_id", ["start_sec", "seq"], _merge_uses(), _merge_state(), step))
 
 
 def split_long(df: DataFrame) -> DataFrame:
@@ -125,13 +129,13 @@ def merge_very_short(df: DataFrame) -> DataFrame:
     state = F.struct(F.lit(None).cast("double").alias("start"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("taken"))
 
     def step(s: Column, r: Column) -> tuple[Column, Column]:
-        short = F.length(r["text"]) < VERY_SHORT
+        short = r["chars"] < VERY_SHORT
         ahead = F.coalesce(short & (r["_label"] == r["speaker_label"]) & (r["_end"] - r["start_sec"] <= MAX_MERGE_S), F.lit(False))
         back = F.coalesce(short & (s["label"] == r["speaker_label"]) & (r["end_sec"] - s["start"] <= MAX_MERGE_S), F.lit(False))
         new = ~s["taken"] & (ahead | ~back)
         return new, F.struct(F.when(new, r["start_sec"]).otherwise(s["start"]).alias("start"), r["speaker_label"].alias("label"), (~s["taken"] & ahead).alias("taken"))
 
-    return combine(fold_groups(rows, "media_id", ["start_sec", "seq"], state, step).drop("_label", "_end"))
+    return combine(fold_groups(rows, "media_id", ["start_sec", "seq"], {**_merge_uses(), "_label": F.col("_label"), "_end": F.col("_end")}, state, step).drop("_label", "_end"))
 
 
 def dedupe_text(df: DataFrame) -> DataFrame:
@@ -153,7 +157,7 @@ def adjacent_merge(df: DataFrame, gap: float = 0.3, longest: float = 30.0) -> Da
         join = F.coalesce(s["label"].eqNullSafe(r["speaker_label"]) & (r["start_sec"] - s["end"] <= gap) & (r["end_sec"] - s["start"] <= longest), F.lit(False))
         return ~join, F.struct(F.when(join, s["start"]).otherwise(r["start_sec"]).alias("start"), r["end_sec"].alias("end"), r["speaker_label"].alias("label"), F.lit(0).alias("chars"))
 
-    return fold_groups(df, "media_id", ["start_sec", "seq"], _merge_state(), step)
+    return fold_groups(df, "media_id", ["start_sec", "seq"], _merge_uses(), _merge_state(), step)
 
 
 def hysteresis(df: DataFrame, score: str = "speaker_conf") -> DataFrame:
@@ -170,7 +174,7 @@ def hysteresis(df: DataFrame, score: str = "speaker_conf") -> DataFrame:
         return F.when(primary, PRIMARY).otherwise(GUEST), F.struct(primary.alias("primary"), run.alias("run"))
 
     state = F.struct(F.lit(False).alias("primary"), F.lit(0).alias("run"))
-    return fold_values(df, "media_id", ["start_sec", "seq"], state, step, "string", "state_label")
+    return fold_values(df, "media_id", ["start_sec", "seq"], {score: F.col(score)}, state, step, "string", "state_label")
 
 
 def overlap_windows(df: DataFrame, width: float = 0.3) -> DataFrame:

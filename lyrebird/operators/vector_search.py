@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +24,20 @@ def vector_of(df: DataFrame, vec_id: int, vec: str = "embedding", id_col: str =
     return [float(x) for x in row[0]]
 
 
-def fit_cells(df: DataFrame, cells: int, rounds: int = 5, vec: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """(cell, centre) of k-means by plain aggregations; the seeds are the rows with the smallest hashes of id. ``cells`` bounds the broadcast."""
-    centres = df.select(vec, F.xxhash64(id_col).alias("h"), id_col).orderBy("h", id_col).limit(cells).select(F.monotonically_increasing_id().alias("cell"), F.col(vec).cast("array<double>").alias("centre"))
-    for _ in range(rounds):
-        rows = [(r["cell"], r["centre"]) for r in centres.collect()]  # at most ``cells``
-        centres = df.sparkSession.createDataFrame(rows, "cell long, centre array<double>")
-        near = assign_cells(df, centres, vec)
-        sums = near.select("cell", F.posexplode(F.col(vec).cast("array<double>")).alias("pos", "x")).groupBy("cell", "pos").agg(F.avg("x").alias("x"))
-        moved = sums.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias("centre"))
-        centres = moved
-    return centres
+def fit_cells(df: DataFrame, cells: int, rounds: int = 5, vec: str = "embedding", id_col: str = "vec_id", sample: int = 20_000) -> DataFrame:
+    """(cell, centre) of k-means over at most ``sample`` vectors, those with the smallest hashes of id, read once; the first of them are the seeds.
+
+    A cell that loses all its vectors keeps its centre. ``cells`` bounds what is broadcast; every row is assigned, whatever the sample.
+    """
+    known = df.filter(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("v"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"))
+    rows = known.orderBy("h", "i").limit(sample).collect()
+    x = np.array([r["v"] for r in rows], np.float64)
+    centres = x[:cells].copy()
+    for _ in range(rounds if len(x) else 0):
+        near = ((x**2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres**2).sum(axis=1)).argmin(axis=1)
+        for c in np.unique(near):
+            centres[c] = x[near == c].mean(axis=0)
+    return df.sparkSession.createDataFrame([(c, v.tolist()) for c, v in enumerate(centres)], "cell long, centre array<double>")
 
 
 def assign_cells(df: DataFrame, centres: DataFrame, vec: str = "embedding") -> DataFrame:

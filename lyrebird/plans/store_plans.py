@@ -123,11 +123,12 @@ def conditional_update(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "running_cost_cap",
-    "SELECT event_id, media_id FROM (SELECT event_id, user_id AS media_id, coalesce(sum(round(value * 0.006, 6)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM events) WHERE spent < 0.5",
+    "SELECT event_id, media_id FROM (SELECT event_id, user_id AS media_id, coalesce(sum(value * 100) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM (SELECT event_id, user_id, ts, CAST(round(value, 2) AS DECIMAL(18, 2)) AS value FROM events)) WHERE spent < 2000000",
 )
 def running_cost_cap(spark: SparkSession, d: str) -> DataFrame:
-    log = run_log(spark, d).withColumn("cost", F.round(F.col("duration_s") * 0.006, 6))
-    return store.within_budget(log, "media_id", ["updated_at", "event_id"], "cost", 0.5).select("event_id", "media_id")
+    """A whole run stops once it has spent its budget; costs are whole hundredths, so that sums are exact."""
+    log = run_log(spark, d).withColumn("cost", F.round(F.round("duration_s", 2) * 100))
+    return store.within_budget(log, ["updated_at", "event_id"], "cost", 2_000_000).select("event_id", "media_id")
 
 
 @query(

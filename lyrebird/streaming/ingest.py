@@ -1,7 +1,8 @@
 """Incremental ingest: new files are taken once, and a keyed table is kept current by foreachBatch.
 
-The table is a chain of immutable versions, numbered by batch; the last that was finished is current. A batch that is run
-again after a failure replaces its own version and nothing else.
+A table is dealt into buckets by its key's hash. A batch writes, as one version, the buckets that it touches and no others; a bucket's newest finished
+version is current. A batch that is run again after a failure replaces its own version and nothing else, as what it read is kept; what
+an earlier version has replaced is removed.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 from lyrebird.operators.store import latest, upsert
 
 
+#: Column and folders of the buckets, and their number unless it is given.
+BUCKET, BUCKETS = "key_bucket", 64
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the versions that were finished."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -26,20 +31,45 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(p.getName()[2:]) for p in done)
 
 
+def _buckets(spark: SparkSession, path: str, below: int | None = None) -> dict[int, list[int]]:
+    """The versions that hold each bucket, in order."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    out: dict[int, list[int]] = {}
+    for v in versions(spark, path):
+        if below is None or v < below:
+            for s in fs.listStatus(jvm_path(f"{path}/v={v}")):
+                name = s.getPath().getName()
+                if name.startswith(f"{BUCKET}="):
+                    out.setdefault(int(name[len(BUCKET) + 1 :]), []).append(v)
+    return out
+
+
+def _read(spark: SparkSession, path: str, places: dict[int, list[int]], schema) -> DataFrame:
+    found = [f"{path}/v={held[-1]}/{BUCKET}={b}" for b, held in sorted(places.items())]
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+
 def read_current(spark: SparkSession, path: str, schema) -> DataFrame:
-    done = versions(spark, path)
-    return spark.read.schema(schema).parquet(f"{path}/v={done[-1]}") if done else spark.createDataFrame([], schema)
+    return _read(spark, path, _buckets(spark, path), schema)
 
 
-def upsert_batches(path: str, key: list[str], order: str, **rules) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: the newest row per key of a batch is merged into the table at ``path``."""
+def upsert_batches(path: str, key: list[str], order: str, buckets: int = BUCKETS, **rules) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: the newest row per key of a batch is merged into the table at ``path``. The number of buckets stays what it was at first."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = [v for v in versions(spark, path) if v < number]
+        spark, schema = batch.sparkSession, batch.schema
+        bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
         new = latest(batch, key, F.desc_nulls_last(order), F.xxhash64(*batch.columns))
-        old = spark.read.schema(batch.schema).parquet(f"{path}/v={before[-1]}") if before else new.limit(0)
-        upsert(old, new, key, **rules).select(batch.columns).write.mode("overwrite").parquet(f"{path}/v={number}")
+        touched = {r["b"] for r in batch.select(bucket.alias("b")).distinct().collect()}  # at most ``buckets``
+        before = {b: held for b, held in _buckets(spark, path, number).items() if b in touched}
+        merged = upsert(_read(spark, path, before, schema), new, key, **rules).select(batch.columns)
+        merged.withColumn(BUCKET, bucket).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/v={number}")
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        for b, held in before.items():
+            for v in held[:-1]:  # the last one is what this batch has read
+                fs.delete(jvm_path(f"{path}/v={v}/{BUCKET}={b}"), True)
 
     return run
 

@@ -155,3 +155,22 @@ def test_overlap_windows(spark):
     df = spark.createDataFrame([(1, 0.0, 1.0, True), (2, 0.0, 0.3, True), (3, 0.0, 9.0, False)], "i int, start_sec double, end_sec double, is_overlap boolean")
     got = seg.overlap_windows(df).groupBy("i").agg(F.count("*").alias("n"), F.max("end_sec").alias("e")).collect()
     assert {r.i: (r.n, r.e) for r in got} == {1: (4, 1.0), 2: (1, 0.3), 3: (1, 9.0)}
+
+
+def test_folds_of_a_long_item_with_repeated_rows(spark):
+    from lyrebird.operators.fold import fold_groups
+
+    n = 30_000
+    rows = [("m", i // 2, float(i % 10), "x" * 5) for i in range(n)] + [("m", 3, 6.0, "x" * 5)] * 2 + [(None, 1, 9.0, "y"), ("w", None, 9.0, "z")]
+    df = spark.createDataFrame(rows, "k string, i int, w double, text string").repartition(4)
+    step = lambda s, r: (s["sum"] + r["w"] > 40, F.struct(F.when(s["sum"] + r["w"] > 40, r["w"]).otherwise(s["sum"] + r["w"]).alias("sum")))
+    out = fold_groups(df, "k", ["i"], {"w": F.col("w")}, F.struct(F.lit(0.0).alias("sum")), step)
+    got = sorted((r.i, r.w, r.no) for r in out.filter("k = 'm'").collect())
+    want, total, no = [], 0.0, 0
+    for i, w in sorted((r[1], r[2]) for r in rows if r[0] == "m"):
+        if total + w > 40:
+            total, no = w, no + 1
+        else:
+            total += w
+        want.append((i, w, no))
+    assert got == want and out.count() == len(rows)

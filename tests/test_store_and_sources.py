@@ -140,3 +140,33 @@ def test_cells_find_what_the_full_scan_finds(spark, medium):
     full = {r.vec_id for r in vs.top_k(e, q, 10).collect()}
     assert {r.vec_id for r in vs.probe(cells, centres, q, 10, 8).collect()} == full
     assert len({r.vec_id for r in vs.probe(cells, centres, q, 10, 3).collect()} & full) >= 5
+
+
+def test_batches_rewrite_touched_buckets_and_retire_old_ones(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k int, v string, at int"
+    merge = ingest.upsert_batches(path, ["k"], "at", buckets=8)
+    rows = lambda *r: spark.createDataFrame(r, schema)
+    current = lambda: sorted((r.k, r.v) for r in ingest.read_current(spark, path, rows((0, "", 0)).schema).collect())
+    merge(rows(*((i, "a", 1) for i in range(40))), 0)
+    held = {b: v for b, v in ingest._buckets(spark, path).items()}
+    assert len(held) == 8
+    merge(rows((1, "b", 2), (1, "old", 1)), 1)
+    merge(rows((1, None, 3), (99, "n", 3)), 2)
+    merge(rows((1, None, 3), (99, "n", 3)), 2)  # run again
+    assert current() == [(i, "b" if i == 1 else "a") for i in range(40)] + [(99, "n")]
+    after = ingest._buckets(spark, path)
+    assert sum(len(v) for v in after.values()) <= 8 + 2 and max(map(len, after.values())) <= 2
+    assert sum(v == [0] for v in after.values()) >= 6  # untouched buckets stay where they are
+    merge(rows((1, "z", 4)).limit(0), 3)
+    assert current()[1] == (1, "b")
+
+
+def test_budget_of_a_whole_run(spark):
+    rows = [(i, float(i % 7)) for i in range(500)]
+    got = sorted(r.i for r in store.within_budget(spark.createDataFrame(rows, "i int, cost double").repartition(5), ["i"], "cost", 100.0).collect())
+    want, spent = [], 0.0
+    for i, c in rows:
+        if spent < 100.0:
+            want.append(i)
+        spent += c
+    assert got == want
