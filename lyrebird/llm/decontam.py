@@ -7,11 +7,13 @@ intersected first, until the list is empty or all terms agree (an exact phrase).
 minimal spans of a document with all terms of a window, each as often as the window has it, in any order, within ``slack`` more
 words than it has, but for exact occurrences of the window. A span is minimal if no shorter one inside it has all these terms.
 
-The benchmark is searched in slices of at most ``SLICE_BYTES`` of text, which bounds what is broadcast.
+The benchmark is searched in slices of about ``SLICE_BYTES`` of text, which bounds what is broadcast; an item of over ``PIECE_WORDS`` words goes there
+in pieces that overlap by a window less one word, so that none of its windows is lost.
 
 Defined results: a null or empty text has no words and no hits; a benchmark item without words has no window;
 one with fewer words than the width is one window; repeated items are distinct by item_id; repeated documents each
-give a row; extra columns are ignored; empty tables give no hits or no rows. A null item_id counts as ''.
+give a row; extra columns are ignored; empty tables give no hits or no rows. A null item_id counts as ''. A very long document is a
+block of its own.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ BLOCK_TOKENS = 1_500_000
 #: Benchmark text that one search broadcasts at most.
 SLICE_BYTES = 16 << 20
 
+#: Words of an item's piece, about.
+PIECE_WORDS = 200_000
+
 #: Bytes to word bytes (A-Z lower-cased) or to blanks: words are digits, letters and all bytes past ASCII.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -200,6 +205,21 @@ def _search(index: DataFrame, windows, freq, slack: int | None) -> DataFrame:
     return index.mapInArrow(run, _MATCHES.format(id=id_type))
 
 
+def _pieces(items: DataFrame, width: int) -> DataFrame:
+    """(item, part, text) of (item, text): long items in overlapping pieces."""
+    most = PIECE_WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = words_of(text.as_py())
+                starts = range(0, max(1, len(words) - width + 1), most)
+                parts = [b" ".join(words[i : i + most + width - 1]).decode("utf-8", "surrogatepass") for i in starts]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], ["item", "part", "text"])
+
+    return items.mapInArrow(run, "item string, part int, text string")
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, slack: int | None = None) -> DataFrame:
     """Per document: doc_id, n_words and found, an array of (item, kind 'exact' or 'near', start, end) in words.
 
@@ -208,12 +228,12 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, slack:
     spark = docs.sparkSession
     if docs.schema["doc_id"].dataType.simpleString() != "string":
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    items = materialize(_pieces(benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")), width), "items")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-total // SLICE_BYTES))
     out = None
     for s in range(slices):
-        some = items if slices == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(slices)) == s)
+        some = items if slices == 1 else items.filter(F.pmod(F.xxhash64("item", "part"), F.lit(slices)) == s)
         windows = Windows([(r["item"], r["text"]) for r in some.toLocalIterator()], width)
         index = materialize(build_index(docs, spark.sparkContext.broadcast(windows.vocab)), "index")
         pairs = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n")).toArrow()
@@ -222,7 +242,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, slack:
         found = _search(index, spark.sparkContext.broadcast(vars(windows)), spark.sparkContext.broadcast(freq), slack)
         out = found if out is None else out.unionByName(found)
     if slices > 1:
-        out = out.groupBy("block", "ord").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("found")).alias("found"))
+        out = out.groupBy("block", "ord").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
     return out.select("doc_id", "n_words", "found")
 
 

@@ -144,3 +144,27 @@ def test_proximity_equals_brute_force(spark, monkeypatch, block):
     assert got == {i: {(item, a, b) for item, win in windows for a, b in brute_near(t, win, 2)} for i, t in rows}
     near = {r.doc_id: r.n_near_items for r in decontam.contamination(df, bench, 4, slack=2).collect()}
     assert near == {i: len({x[0] for x in found}) for i, found in got.items()}
+
+
+@pytest.mark.parametrize(("piece", "slice_bytes"), [(3, 1 << 24), (5, 40), (200_000, 1 << 24)])
+def test_long_items_in_pieces(spark, monkeypatch, piece, slice_bytes):
+    monkeypatch.setattr(decontam, "PIECE_WORDS", piece)
+    monkeypatch.setattr(decontam, "SLICE_BYTES", slice_bytes)
+    rng = random.Random(21)
+    line = lambda n: [rng.choice("abcdé") for _ in range(n)]
+    items = [(i, line(n)) for i, n in enumerate((0, 1, 3, 4, 5, 6, 7, 8, 11, 30))]
+    rows = [(i, line(rng.randint(0, 50))) for i in range(60)]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    df = wide(spark, [(i, " ".join(t), "s") for i, t in rows])
+    got = {r.doc_id: {(m.item, m.start, m.end) for m in r.found if m.kind == "exact"} for r in decontam.find_matches(df, bench, 4).collect()}
+    windows = {(str(i), tuple(t[k : k + 4])) for i, t in items if t for k in range(max(1, len(t) - 3))}
+    assert got == {i: {(item, a, a + len(w)) for item, w in windows for a in range(len(t) - len(w) + 1) if tuple(t[a : a + len(w)]) == w} for i, t in rows}
+
+
+def test_very_long_documents_and_items(spark):
+    words = [f"w{i * 7919 % 100_003}" for i in range(400_000)]
+    bench = spark.createDataFrame([(1, " ".join(words[100_000:130_000])), (2, "short item")], "item_id long, text string")
+    df = wide(spark, [(1, " ".join(words), "a"), (2, "a short item here", "a"), (3, "clean", "a")])
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontam.contamination(df, bench).collect()}
+    assert got[1] == (400_000, 3 * 30_000 + 29_997, 1, True)  # the words repeat every 100003, and the first time without three
+    assert got[2] == (4, 2, 1, True) and got[3] == (1, 0, 0, False)
