@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lyrebird.llm.common import fresh
+from lyrebird.llm.common import fresh, materialize
 from lyrebird.llm.urlfilter import KEYS_A_BLOCK, MAX_BLOCKS, bloom_words, possible
 
 
@@ -15,27 +15,31 @@ def text_key(*more: Column | str, text: Column | str = "text") -> Column:
     return F.md5(F.concat(*(F.md5(known(c)) for c in more), known(text)))
 
 
-def _hit(key: Column, keys: DataFrame) -> Column | None:
-    """Whether a row's key may be among ``keys`` (one column) by a Bloom filter of bounded size, null for a null key.
+def _marked(docs: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame | None:
+    """The rows and ``name``: whether their key may be among ``keys`` (one column), by a Bloom filter of bounded size; a null key can't be.
 
-    None without keys; true for all where the filter would be too full to tell.
+    None without keys; true for all where the filter would be too full to tell. The filter is one broadcast row of at most 1 MB, not a
+    constant, which every plan kept on the driver would spell out.
     """
     keys = keys.select(F.col(keys.columns[0]).cast("string").alias("key")).filter("key is not null").distinct()
     n, blocks = keys.count(), 1
     if not n:
         return None
     if n > MAX_BLOCKS * KEYS_A_BLOCK:
-        return F.lit(True)
+        return docs.withColumn(name, key.isNotNull())
     while blocks * KEYS_A_BLOCK < n:
         blocks *= 2
-    words = F.from_json(F.lit(bloom_words(keys, blocks).select(F.to_json("bloom")).first()[0]), "array<long>")
-    return possible(key.cast("string"), words, blocks)
+    words = fresh((*docs.columns, name), "bloom")
+    one = F.broadcast(materialize(bloom_words(keys, blocks), "bloom").select(F.col("bloom").alias(words)))
+    hit = F.coalesce(possible(key.cast("string"), F.col(words), blocks), F.lit(False))
+    return docs.join(one, F.lit(True)).withColumn(name, hit).drop(words)
 
 
 def with_keys(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     """The rows whose key is among ``keys``, and possibly some more; nothing is shuffled."""
-    hit = _hit(key, keys)
-    return docs.limit(0) if hit is None else docs.filter(F.coalesce(hit, F.lit(False)))
+    name = fresh(docs.columns, "hit")
+    marked = _marked(docs, key, keys, name)
+    return docs.limit(0) if marked is None else marked.filter(F.col(name)).drop(name)
 
 
 def split_by_keys(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame | None, str]:
@@ -44,11 +48,11 @@ def split_by_keys(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFr
     The first stay where they are; only the others need a join. None without keys.
     """
     name = fresh((*docs.columns, *keys.columns), "key")
-    hit = _hit(key, keys)
-    if hit is None:
+    hit = fresh((*docs.columns, name), "hit")
+    marked = _marked(docs, key, keys, hit)
+    if marked is None:
         return docs, None, name
-    hit = F.coalesce(hit, F.lit(False))
-    return docs.filter(~hit), docs.filter(hit).withColumn(name, key), name
+    return marked.filter(~F.col(hit)).drop(hit), marked.filter(F.col(hit)).drop(hit).withColumn(name, key), name
 
 
 def without_keys(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
