@@ -1,4 +1,4 @@
-"""Range joins of timed rows, through bins: intervals are spread over fixed bins, joined on key and bin, and rechecked."""
+"""Range joins of timed rows, through bins: intervals are spread over fixed bins, joined on key and bin, and rechecked. Overlaps by a sweep."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lyrebird.operators.scan import carried, parts_after, parts_before, spread, with_carry
+
 BIN_S = 30.0
 
 
@@ -44,7 +46,25 @@ def contained(words: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     return pairs.filter("start_sec >= r_start_sec and end_sec <= r_end_sec")
 
 
-def overlapping(df: DataFrame, key: str, row_id: str, more_than: float = 0.3) -> DataFrame:
-    """``is_overlap``: another row of the key overlaps by more than ``more_than`` seconds."""
-    other = overlap_join(df, df, key).filter(F.col(row_id) != F.col("r_" + row_id)).filter(overlap_length() > more_than).select(key, row_id).distinct()
-    return df.join(other.withColumn("_hit", F.lit(True)), [key, row_id], "left").withColumn("is_overlap", F.coalesce("_hit", F.lit(False))).drop("_hit")
+def overlapping(df: DataFrame, key: str, row_id: str, more_than: float = 0.3, start: str = "start_sec", end: str = "end_sec", partitions: int | None = None) -> DataFrame:
+    """``is_overlap``: another row of the key overlaps by more than ``more_than`` seconds. ``row_id`` names a row within its key.
+
+    A sweep over the rows by start, without any pair: an earlier row overlaps by enough if the largest end so far does; of the later rows that
+    are long enough the first to start overlaps most. A key may lie in many ranges of rows; each hands on its largest end, and to the front the
+    first start of a long enough row. A row with a null bound overlaps nothing.
+    """
+    ranges = spread(df, [key, start, row_id], partitions)
+    known = F.col(start).isNotNull() & F.col(end).isNotNull()
+    stop = F.when(known, F.col(end))
+    long_start = F.when(known & (F.col(end) - F.col(start) > more_than), F.col(start))
+    here = Window.partitionBy("_p", key).orderBy("_pos")
+    rows = ranges.withColumn("_stop", F.max(stop).over(here.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_next", F.min(long_start).over(here.rowsBetween(1, Window.unboundedFollowing)))
+    parts = ranges.groupBy("_p", key).agg(F.max(stop).alias("_top"), F.min(long_start).alias("_low"))
+    carry = carried(parts, key, {"_stop_before": F.max("_top").over(parts_before(key)), "_next_after": F.min("_low").over(parts_after(key))})
+    both = with_carry(rows, key, carry)
+    stop_before, next_start = F.greatest("_stop", "_stop_before"), F.least("_next", "_next_after")
+    by_earlier = F.least(F.col(end), stop_before) - F.col(start) > more_than
+    by_later = F.col(end) - next_start > more_than
+    hit = known & (F.coalesce(by_earlier & stop_before.isNotNull(), F.lit(False)) | F.coalesce(by_later, F.lit(False)))
+    return both.withColumn("is_overlap", hit).select(*df.columns, "is_overlap")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lyrebird.operators.scan import ranked, running_sum
+
 
 def latest(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
     """One row per key: the first in the given order, which must be total."""
@@ -90,26 +92,21 @@ def pending_queue(state: DataFrame, k: int, tie: str, max_retries: int = 3) -> D
     return open_.orderBy(F.when(F.col("status") == "pending", 0).otherwise(1), tie).limit(k)
 
 
-def _ranged(df: DataFrame, order: list[str], value: Column) -> DataFrame:
-    """The rows dealt by ranges of the order, with ``_p``, the range, and ``_before``, the sum of ``value`` over all ranges before. No window is global."""
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    sums = ranged.groupBy("_p").agg(F.sum(value).alias("_n"))
-    before = sums.alias("a").join(F.broadcast(sums.alias("b")), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    return ranged.join(F.broadcast(before), "_p")
-
+def batches(df: DataFrame, order: str, size: int, partitions: int | None = None) -> DataFrame:
+    """``batch_no`` of consecutive rows in order; the order must be total."""
+    return ranked(df, [order], "_rank", partitions).withColumn("batch_no", F.floor(F.col("_rank") / size).cast("long")).drop("_rank")
 
-def batches(df: DataFrame, order: str, size: int) -> DataFrame:
-    """``batch_no`` of consecutive rows in order."""
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
-    return _ranged(df, [order], F.lit(1)).withColumn("batch_no", F.floor(rank / size).cast("long")).drop("_p", "_before")
 
+def within_budget(df: DataFrame, order: list[str], cost: str, cap: float, by: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Rows, in a total order, whose earlier rows cost less than the cap: of a whole run, or of each ``by``. A null cost is 0.
 
-def within_budget(df: DataFrame, order: list[str], cost: str, cap: float, by: str | None = None) -> DataFrame:
-    """Rows, in a total order, whose earlier rows cost less than the cap: of a whole run, or of each ``by``. A null cost is 0."""
-    value = F.coalesce(F.col(cost), F.lit(0.0))
-    rows = df.withColumn("_before", F.lit(0.0)) if by else _ranged(df, order, value)
-    w = Window.partitionBy(by or "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_spent", F.col("_before") + F.coalesce(F.sum(value).over(w), F.lit(0.0))).filter(F.col("_spent") < cap).select(df.columns)
+    Costs that are whole numbers or decimals are summed exactly; sums of doubles round as their ranges fall.
+    """
+    if by is None:
+        return running_sum(df, order, cost, "_spent", partitions).filter(F.col("_spent") < cap).select(df.columns)
+    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    spent = F.coalesce(F.sum(F.coalesce(F.col(cost), F.lit(0.0))).over(w), F.lit(0.0))
+    return df.withColumn("_spent", spent).filter(F.col("_spent") < cap).select(df.columns)
 
 
 def integrity(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, unique: list[str]) -> DataFrame:

@@ -90,9 +90,9 @@ def ttl_cleanup(spark: SparkSession, d: str) -> DataFrame:
     return store.unexpired(log, "expires_at", F.expr("TIMESTAMP '2024-01-31'")).select("event_id")
 
 
-@query("batch_numbering", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch_no FROM documents")
+@query("batch_numbering", "SELECT doc_id, source, md5(text) AS text_md5, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch_no FROM documents")
 def batch_numbering(spark: SparkSession, d: str) -> DataFrame:
-    return store.batches(table(spark, d, "documents").select("doc_id"), "doc_id", 64)
+    return store.batches(table(spark, d, "documents"), "doc_id", 64).select("doc_id", "source", F.md5("text").alias("text_md5"), "batch_no")
 
 
 @query("anti_unprocessed", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -121,14 +121,19 @@ def conditional_update(spark: SparkSession, d: str) -> DataFrame:
     return store.conditional_update(state, change, "event_id").select("event_id", "status", "last_error", "retries")
 
 
+_COSTS = "(SELECT event_id, user_id AS media_id, props AS metadata, ts, CAST(round(CAST(round(value, 2) AS DECIMAL(18, 2)) * 100) AS BIGINT) AS cost FROM events)"
+
+
 @query(
     "running_cost_cap",
-    "SELECT event_id, media_id FROM (SELECT event_id, user_id AS media_id, coalesce(sum(value * 100) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM (SELECT event_id, user_id, ts, CAST(round(value, 2) AS DECIMAL(18, 2)) AS value FROM events)) WHERE spent < 2000000",
+    f"""SELECT event_id, media_id, metadata FROM (SELECT *, coalesce(sum(cost) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM {_COSTS})
+    WHERE spent < (SELECT sum(cost) // 2 FROM {_COSTS})""",
 )
 def running_cost_cap(spark: SparkSession, d: str) -> DataFrame:
-    """A whole run stops once it has spent its budget; costs are whole hundredths, so that sums are exact."""
-    log = run_log(spark, d).withColumn("cost", F.round(F.round("duration_s", 2) * 100))
-    return store.within_budget(log, ["updated_at", "event_id"], "cost", 2_000_000).select("event_id", "media_id")
+    """A whole run stops once it has spent half of what all of it would cost; costs are whole hundredths, so that sums are exact."""
+    log = run_log(spark, d).withColumn("cost", F.round(F.round("duration_s", 2) * 100).cast("long"))
+    cap = log.agg(F.expr("sum(cost) div 2")).first()[0] or 0
+    return store.within_budget(log, ["updated_at", "event_id"], "cost", cap).select("event_id", "media_id", "metadata")
 
 
 @query(
