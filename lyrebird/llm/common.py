@@ -116,6 +116,19 @@ def join_dealt(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return warm.unionByName(left.join(hot, key, "left_anti").join(right, key, how))
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: list[str], n: str, total: int, how: str = "inner", least: int = HOT_ROWS) -> DataFrame:
+    """Equi-join (inner or left) with a ``right`` that has each key once, short rows and, in ``n``, the number of left rows of the key, of ``total``.
+
+    Keys with over ``least`` rows and over one in ``HOT_KEYS`` of all rows, at most ``HOT_KEYS`` of them, are broadcast, so that their rows stay where they are. Keys aren't null.
+    """
+    hot = right.filter(F.col(n) > max(least, total // HOT_KEYS))
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    warm = left.join(F.broadcast(hot), key, "inner")
+    cold = left.join(F.broadcast(hot.select(*key)), key, "left_anti").join(right.join(F.broadcast(hot.select(*key)), key, "left_anti"), key, how)
+    return warm.unionByName(cold)
+
+
 def trim() -> None:
     """Give this process's freed memory back, where the C library can."""
     gc.collect()

@@ -1,4 +1,4 @@
-"""The contract queries over the training-data operators: op1 to op10, each over its whole table."""
+"""The contract queries over the training-data operators: op1 to op13, each over its whole table."""
 
 from __future__ import annotations
 
@@ -95,6 +95,27 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.filter("vec_id % 100 = 0"), 10)
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, in every order of them, for every source."""
+    from lyrebird.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources by weight takes of every document."""
+    from lyrebird.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five rounds of 40 centroids over the integer vectors."""
+    from lyrebird.llm.centroids import clusters
+
+    return clusters(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
 _QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_main_text": op2_html_main_text,
@@ -106,6 +127,9 @@ _QUERIES: dict[str, Query] = {
     "op8_warc_archive": op8_warc_archive,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_filter_interaction_audit": op11_filter_interaction_audit,
+    "op12_entropy_mixing": op12_entropy_mixing,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 _FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -172,10 +196,70 @@ SELECT d.doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, co
 FROM d LEFT JOIN per ON d.rid = per.rid LEFT JOIN its ON d.rid = its.rid LEFT JOIN nears ON d.rid = nears.rid
 """
 
+_OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+m AS (
+  SELECT part,
+    CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * list_unique(ws) < 50 * len(ws) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask,
+    CASE WHEN doc_id IN (FROM good) THEN 1 ELSE 0 END AS good, CASE WHEN doc_id IN (FROM toxic) THEN 1 ELSE 0 END AS toxic
+  FROM w),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+l AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS l(f, bit)),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM l a, l b, l c, l d, l e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+s AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS earlier
+  FROM o, (SELECT unnest(generate_series(1, 5)) AS step)),
+r AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & bit <> 0 AND mask & earlier <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""
+
+
+def _op13_sql(k: int = 40, rounds: int = 5) -> str:
+    """Each round assigns by all distances and floors the means, in whole numbers."""
+    distance = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2])::HUGEINT * (p[1] - p[2])))"
+    steps = [
+        "v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings"
+        " WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (SELECT sha256('2:' || vec_id) AS h, x FROM v ORDER BY h LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, min(struct_pack(d := d, c := c)) AS best FROM (SELECT v.vec_id, v.x, c.c, {distance} AS d FROM v, c{r} c) GROUP BY vec_id)")
+        if r < rounds:
+            steps.append(
+                f"m{r} AS (SELECT c, list(CASE WHEN s >= 0 THEN s // n ELSE -((-s + n - 1) // n) END ORDER BY i)::BIGINT[] AS x FROM"
+                f" (SELECT c, i, sum(u)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT best.c AS c, unnest(x) AS u, unnest(generate_series(1, 64)) AS i FROM a{r}) GROUP BY c, i) GROUP BY c)"
+            )
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m ON m.c = c.c)")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, best.c::INT AS cluster, best.d::BIGINT AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+  (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.c = best.c"""
+
+
 _ORACLES: dict[str, str] = {
     "op5_url_filter": _OP5_SQL,
     "op8_warc_archive": _OP8_SQL,
     "op9_benchmark_decontamination": _OP9_SQL,
+    "op11_filter_interaction_audit": _OP11_SQL,
+    "op13_centroid_clustering": _op13_sql(),
 }
 
 
