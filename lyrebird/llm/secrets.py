@@ -32,9 +32,13 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 
 # Public prefixes of vendors' credentials.
 WIDE = re.compile(
-    r"(?P<token>\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{16,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}))"
+    r"(?P<token>\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{16,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}))"
     r"|(?P<key>-----BEGIN [A-Z ]*PRIVATE KEY-----)"
 )
+# A signed web token is three runs of these characters, joined by dots; it starts at such a head in the first run.
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)(?=(\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+))")
+SIGNED_HEAD = re.compile(r"\beyJ")
+SIGNED_LEAST = len("eyJ") + 8
 #: Owners and repositories up to which a value looks live.
 MAX_OWNERS, MAX_REPOS = 2, 1000
 
@@ -48,6 +52,35 @@ _WIDE_HINTS = ("gh", "glpat-", "xox", "sk-", "sk_live_", "AIza", "eyJ", "-----BE
 FOUND = "array<struct<kind:int,start:int,end:int,value:binary>>"
 
 
+def _signed(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of possible signed tokens, by start. A run is read a few times, however many heads it holds."""
+    if "eyJ" in text:
+        for m in SIGNED.finditer(text):
+            for head in SIGNED_HEAD.finditer(text, m.start(), m.end(1)):
+                if m.end(1) - head.start() >= SIGNED_LEAST:
+                    yield head.start(), m.end(2)
+
+
+def _wide(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether it is a token) of the wider kinds, leftmost and without overlaps."""
+    others, signed = WIDE.finditer(text), _signed(text)
+    other, sign = next(others, None), next(signed, None)
+    at = 0
+    while other or sign:
+        if sign and (not other or sign[0] < other.start()):
+            if sign[0] >= at:
+                at = sign[1]
+                yield *sign, True
+            sign = next(signed, None)
+        elif other.start() >= at:
+            at = other.end()
+            yield other.start(), at, bool(other["token"])
+            other = next(others, None)
+        else:  # it starts inside a signed token: look again behind that
+            others = WIDE.finditer(text, at)
+            other = next(others, None)
+
+
 def scan(text: str) -> list[tuple[int, int, int, bytes]]:
     """(kind number, start, end, 128-bit hash of the value) of all candidates, by start, then kind. Code points, end exclusive."""
     out = []
@@ -68,16 +101,15 @@ def scan(text: str) -> list[tuple[int, int, int, bytes]]:
         tell(2, m.start(), m.end(), m[0])
     if ("_" in text or "-" in text or "AIza" in text) and any(h in text for h in _WIDE_HINTS):
         close = stop = begin = 0  # of the next END line and the next BEGIN, or -1 if none is left: each is looked for once
-        for m in WIDE.finditer(text):
-            end = m.end()
-            if m["key"]:
+        for start, end, token in _wide(text):
+            if not token:
                 if 0 <= close < end:
                     close = text.find("-----END ", end)
                     stop = text.find("-----", close + 9) if close >= 0 else -1
                 if 0 <= begin < end:
                     begin = text.find("-----BEGIN ", end)
                 end = stop + 5 if stop >= 0 and not 0 <= begin < close else end
-            tell(3 if m["token"] else 4, m.start(), end, text[m.start() : end])
+            tell(3 if token else 4, start, end, text[start:end])
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
