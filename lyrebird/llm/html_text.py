@@ -18,10 +18,11 @@ script ends there; repeated rows each give a row; extra columns are ignored; an
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -39,7 +40,13 @@ RAW = "script style title textarea".split()
 UNSEEN = "noscript template iframe svg math object canvas audio video".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul br".split())
-SKIP_TAGS = frozenset("nav footer aside form button select option menu dialog fieldset legend datalist".split())
+SKIP_TAGS = frozenset("nav footer button select option menu dialog legend datalist".split())
+#: Skipped like an element of a misleading name: not where they hold the article.
+WRAPPERS = frozenset("aside fieldset form".split())
+#: Characters from which a form, or the like, that holds most of the page's text is no form.
+LONG = 4 * SURGE
+#: Further words that, beside the words above, make no heading of an article's section.
+PART_WORDS = frozenset("area article articles bar block box container content form items link links list main page post posts section stories title top wrap wrapper".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 SKIP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus feedback footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related recommended recommendations reply replies respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
@@ -56,7 +63,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?P<raw>{'|'.join(RAW)})\b[^>]*+(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)"
+    r"|<(?:/?)(?P<tag2>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
@@ -65,12 +72,77 @@ _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z0-9]+")
 
+#: A section's first heading, right behind its start.
+_FIRST_HEADING = re.compile(r"\s*+(?:<(?:div|span|a|header)\b[^<>]*+>\s*+){0,3}<(h[1-6])\b[^<>]*+>(.{0,400}?)</\1", re.DOTALL | re.IGNORECASE)
+_MARKUP = re.compile(r"<[^<>]*+>")
+#: A tag without its end, for pages where quotes don't pair.
+_OPEN = re.compile(r"<!--.*?(?:-->|\Z)" rf"|<(?P<raw>{'|'.join(RAW)})\b[^>]*+(?:>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)" r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)" r"|<[!?/][^>]*+(?:>|\Z)", re.DOTALL | re.IGNORECASE)
+
 PLAIN, SKIP, HEAD_ONLY, HEADING = range(4)
 
 
-def _marks(tag: str, attrs: str) -> tuple[bool, set[str], int]:
-    """Whether the element is boilerplate, the words of its names that say so, and how surely it holds the article: 3 article, 2 main, 1 by its name, 0 not."""
-    named: set[str] = set()
+class _Tags:
+    """The page's tags one after the other: (start, end, tag, whether it ends an element, attributes, whether it is whole).
+
+    A tag ends at the next '>' outside quotes, or without one at the next '>'. Once a tag has no end outside quotes, one pass from the page's end
+    tells for every place where a tag there would end, so that no tag is read to the end of the page twice.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self._places: list[int] | None = None
+
+    def _look_back(self) -> None:
+        """For each quote and '>': the '>' that ends a tag which is outside quotes there, or -1."""
+        self._places = [m.start() for m in re.finditer("[>\"']", self.page)]
+        self._ends = [-1] * (len(self._places) + 1)
+        later = {}
+        for k in range(len(self._places) - 1, -1, -1):
+            sign = self.page[self._places[k]]
+            if sign == ">":
+                self._ends[k] = self._places[k]
+            else:
+                self._ends[k] = self._ends[later[sign] + 1] if sign in later else -1
+                later[sign] = k
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str, bool] | None:
+        page = self.page
+        if self._places is None:
+            m = _TOKEN.search(page, at)
+            if not m:
+                return None
+            if m["tag2"]:
+                self._look_back()
+            else:
+                return m.start(), m.end(), (m["tag"] or "").lower(), bool(m["end"]), m["attrs"] or "", page.endswith(">", m.start(), m.end())
+        m = _OPEN.search(page, at)
+        if not m:
+            return None
+        if not m["tag"]:
+            return m.start(), m.end(), "", False, "", page.endswith(">", m.start(), m.end())
+        end = self._ends[bisect.bisect_left(self._places, m.end())]
+        if end < 0:
+            end = page.find(">", m.end())
+        stop = end if end >= 0 else len(page)
+        return m.start(), min(stop + 1, len(page)), m["tag"].lower(), bool(m["end"]), page[m.end() : stop], end >= 0
+
+
+def _of_heading(name: str, heading: re.Match | None) -> bool:
+    """Whether an id is made of the words of the section's heading, and so marks nothing; comments and the like are marked all the same."""
+    if not heading:
+        return False
+    words = [w.lower() for w in _CAMEL.split(name) if w]
+    if words != [w.lower() for w in _CAMEL.split(html.unescape(_MARKUP.sub("", heading[2]))) if w]:
+        return False
+    return any(w not in SKIP_WORDS | PART_WORDS for w in words) or not set(words) & OTHERS
+
+
+def _marks(tag: str, attrs: str, heading: Callable[[], re.Match | None] = lambda: None) -> tuple[bool, set[str], int]:
+    """Whether the element is boilerplate, the words of its names that say so, and how surely it holds the article: 3 article, 2 main, 1 by its name, 0 not.
+
+    An id on a heading marks nothing, nor does one that repeats the words of the section's ``heading``.
+    """
+    named: set[str] = {tag} & WRAPPERS
     skip, main = tag in SKIP_TAGS or tag == "header", 3 if tag == "article" else 2 if tag == "main" else 0
     if attrs.strip(" /"):
         for name, *values in _ATTR.findall(attrs):
@@ -80,7 +152,7 @@ def _marks(tag: str, attrs: str) -> tuple[bool, set[str], int]:
                 main = max(main, 2 if value.lower() == "main" else 3 if value.lower() == "article" else 0)
             elif name in ("class", "id"):
                 words = {w.lower() for w in _CAMEL.split(value)}
-                if words & SKIP_WORDS:
+                if words & SKIP_WORDS and not (name == "id" and (tag in HEADINGS or _of_heading(value, heading()))):
                     names = [{w.lower() for w in _CAMEL.split(name)} for name in value.split()]
                     named.update(*(n & SKIP_WORDS for n in names if not n & LAYOUT_WORDS))
                 if tag in ("div", "section", "td") and words & MAIN_WORDS:
@@ -92,9 +164,10 @@ def _marks(tag: str, attrs: str) -> tuple[bool, set[str], int]:
 
 @dataclass
 class _Skipped:
-    """An element that is skipped for its names alone: its text's length, how surely it holds articles, whether it lists others' texts."""
+    """An element that is skipped for its names alone, or as a form or the like: its text's length, how surely it holds articles, whether it lists others' texts."""
 
     others: bool
+    wraps: bool = False
     size: int = 0
     holds: frozenset[int] = frozenset()
 
@@ -209,14 +282,12 @@ class _Page:
     def _read(self, page: str) -> None:
         lines, at = self.lines, 0
         closes = dict.fromkeys(UNSEEN, 0)  # end of each element's next end tag, or -1 if none is left: looked for once
-        while m := _TOKEN.search(page, at):
-            tag = (m["tag"] or m["tag2"] or "").lower()
-            ends = bool(m["end"] or m["end2"])
-            attrs = m["attrs"] or m["attrs2"] or ""
-            whole = page.endswith(">", m.start(), m.end())  # else cut off inside a tag
-            if m.start() > at:
-                self._text(page[at : m.start()])
-            at = m.end()
+        tags = _Tags(page)
+        while found := tags.next(at):
+            start, stop, tag, ends, attrs, whole = found  # not whole: cut off inside a tag
+            if start > at:
+                self._text(page[at:start])
+            at = stop
             if not tag or not whole:
                 continue
             if tag in closes and not ends:
@@ -246,13 +317,14 @@ class _Page:
                 if last == "p" or last == tag == "li":
                     for _ in range(len(self._stack) - self._blocks[-1]):
                         self._pop()
-            self._start(tag, attrs, m.start())
+            self._start(tag, attrs, start, page, stop)
         if at < len(page) and self._kept():
             lines.add(page[at:], self._links > 0)
         lines.end(self._inside)
 
-    def _start(self, tag: str, attrs: str, at: int) -> None:
-        skip, named, main = _marks(tag, attrs)
+    def _start(self, tag: str, attrs: str, at: int, page: str, stop: int) -> None:
+        within = tag if self._inside >= 0 and tag in ("section", "div") else ""
+        skip, named, main = _marks(tag, attrs, lambda: within and _FIRST_HEADING.match(page, stop))
         if at in self._spared:
             named = set()
         mode = PLAIN
@@ -268,7 +340,7 @@ class _Page:
             self.skipped[self._named[-1]].holds |= {main}
         place = at if mode == SKIP and not skip else -1
         if place >= 0:
-            self.skipped[at] = _Skipped(bool(named & OTHERS))
+            self.skipped[at] = _Skipped(bool(named & OTHERS), wraps=tag in WRAPPERS)
         self._push(tag, mode, container, place)
         if mode == SKIP:
             self.lines.blank()
@@ -304,6 +376,8 @@ def _spared(page: _Page) -> frozenset[int]:
         most = 2 * e.size > own
         if 3 in e.holds:
             return most or not surges
+        if e.wraps:
+            return most and not seen and e.size >= LONG
         return most and not seen and not surges
 
     return frozenset(place for place, e in page.skipped.items() if misled(e))
