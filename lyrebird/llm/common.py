@@ -91,19 +91,19 @@ def drop_scratch(*frames: DataFrame) -> None:
 def hot_keys(keys: DataFrame, key: str, least: int = HOT_ROWS) -> DataFrame | None:
     """(key, n) of the keys with over ``least`` rows and over one in ``HOT_KEYS`` of all rows; None if there are none. Null isn't a key.
 
-    Counts per hash bucket come first, so that only rows of full buckets are counted by key. At most ``HOT_KEYS`` keys come out.
+    Counts per hash bucket come first, so that only rows of full buckets are counted by key. At most ``HOT_KEYS`` keys come out. DataFrame functions only.
     """
     bucket = F.pmod(F.xxhash64(key), F.lit(HOT_BUCKETS)).cast("int")
-    counts = keys.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).toArrow()  # at most HOT_BUCKETS rows
-    n = counts["n"].to_numpy()
-    most = max(least, int(n.sum()) // HOT_KEYS)
-    full = counts["bucket"].to_numpy()[n > most]
-    if not full.size:
+    counts = materialize(keys.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")), "buckets")  # at most HOT_BUCKETS rows
+    most = max(least, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    full = counts.filter(F.col("n") > most).select("bucket")
+    if full.isEmpty():
+        drop_scratch(counts)
         return None
-    buckets = keys.sparkSession.createDataFrame(pa.table({"bucket": pa.array(full, pa.int32())}))
-    some = keys.filter(F.col(key).isNotNull()).withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket", "left_semi")
-    hot = some.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > most).toArrow()
-    return keys.sparkSession.createDataFrame(hot) if hot.num_rows else None
+    some = keys.filter(F.col(key).isNotNull()).withColumn("bucket", bucket).join(F.broadcast(full), "bucket", "left_semi")
+    hot = materialize(some.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > most), "hot")
+    drop_scratch(counts)
+    return None if hot.isEmpty() else hot
 
 
 def join_dealt(left: DataFrame, right: DataFrame, key: str, how: str = "inner", least: int = HOT_ROWS) -> DataFrame:

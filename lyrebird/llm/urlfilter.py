@@ -2,9 +2,10 @@
 
 A rule fits its host and all subdomains of it when the url's path starts with the rule's path; the longest
 fitting rule (host and path together) decides. Candidate keys of a url are its host's suffixes at label
-boundaries times its path's prefixes of the lengths that occur in the list. Each key is tested in one 512-bit block of the
-Bloom filter, inside the row; only possible hits are exploded and joined with the list, which removes false
-positives. Rows without a hit keep a null rule and the default verdict.
+boundaries, of at most as many labels as a listed host has, times its path's prefixes of the lengths that occur in the list. Each key is
+tested in one 512-bit block of the Bloom filter, inside the row. Rows without a possible hit keep a null rule and the default verdict and
+are never joined; only possible hits are exploded and joined with the list, which removes false positives. Rows of very frequent keys stay where
+they are, and only rows with several possible hits are grouped again to find the longest rule.
 
 The Bloom filter is an array of ``8 * blocks`` longs made by one aggregation, of at most ``MAX_BLOCKS`` blocks (1 MB),
 and becomes a constant of the plan; a longer list only raises its false positives, which the join removes.
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lyrebird.llm.common import join_dealt, materialize
+
 #: 64-byte blocks of the Bloom filter, at most.
 MAX_BLOCKS = 1 << 14
 #: Listed keys that a block is meant for: 16 bits a key.
@@ -91,13 +94,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     lengths = rules.agg(F.sort_array(F.collect_set(F.length("r_path"))).alias("lengths"))
     constant = lambda df, kind: F.from_json(F.lit(df.select(F.to_json(df.columns[0])).first()[0]), kind)
     bloom, lens = constant(bloom_words(rules, blocks), "array<long>"), constant(lengths, "array<int>")
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    rows = rows.withColumn("hosts", hosts).withColumn("paths", F.transform(F.filter(lens, lambda k: k <= F.length("path")), lambda k: F.substr(F.col("path"), F.lit(1), k)))
+    labels, deepest = F.split("host", r"\."), rules.agg(F.max(F.size(F.split("r_host", r"\.")))).first()[0]
+    first = F.greatest(F.lit(1), F.size("labels") - F.lit(deepest - 1))
+    hosts = F.transform(F.sequence(first, F.size("labels")), lambda i: F.array_join(F.slice(F.col("labels"), i, F.lit(deepest)), "."))
+    paths = F.transform(F.filter(lens, lambda k: k <= F.length("path")), lambda k: F.substr(F.col("path"), F.lit(1), k))
     keys = F.flatten(F.transform("hosts", lambda h: F.transform("paths", lambda p: F.concat_ws("\n", h, p))))
-    rows = rows.select("page_id", "host", "path", "uid", F.filter(keys, lambda k: possible(k, bloom, blocks)).alias("keys"))
-    tested = rows.select("page_id", "host", "path", "uid", F.explode_outer("keys").alias("key"))
-    judged = tested.join(rules.select("key", F.concat("r_host", "r_path").alias("rule"), "r_verdict"), "key", "left")
+    rows = rows.withColumn("labels", labels).withColumn("hosts", hosts).withColumn("paths", paths)
+    rows = materialize(rows.select("page_id", "host", "path", "uid", F.filter(keys, lambda k: possible(k, bloom, blocks)).alias("keys")), "urls")
+    none = rows.filter(F.size("keys") == 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    tested = rows.select("page_id", "host", "path", "uid", (F.size("keys") > 1).alias("several"), F.explode("keys").alias("key"))
+    judged = join_dealt(tested, rules.select("key", F.concat("r_host", "r_path").alias("rule"), "r_verdict"), "key", "left")
+    one = judged.filter(~F.col("several")).select("page_id", "host", "path", "rule", F.coalesce("r_verdict", F.lit(default)).alias("verdict"))
     best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("r_verdict")))).alias("best")
-    out = judged.groupBy("uid").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), best)
-    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
+    more = judged.filter("several").groupBy("uid").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), best)
+    more = more.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
+    return none.unionByName(one).unionByName(more)
