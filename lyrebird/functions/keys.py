@@ -65,3 +65,9 @@ def repaired_source_type(source_type: Column, url: Column, source_id: Column) ->
 def provenance_of(method: Column) -> Column:
     """Provenance of a transcript by its method; whisper where unknown."""
     return F.when(method.isin("youtube", "yt_caption", "captions"), "yt_caption").when(method == "yt_dlp", "yt_dlp").when(method.isin("owner", "manual"), "owner").otherwise("whisper")
+
+
+def pair_digest(*columns: str) -> Column:
+    """256 bits of several columns together, null being a value of its own: short to shuffle where the columns are long texts."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.sha2(F.col(c).cast("string"), 256)), F.lit("-")) for c in columns]
+    return F.unhex(F.sha2(F.concat_ws("|", *parts), 256))

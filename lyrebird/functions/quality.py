@@ -75,8 +75,8 @@ def quality_label(label: Column, logprob: Column, compression: Column) -> Column
 
 
 def percent_text(similarity: Column) -> Column:
-    """A share as a whole per cent, halves up: 0.875 -> 88%."""
-    return F.concat(F.floor(similarity * 100 + 0.5).cast("long").cast("string"), F.lit("%"))
+    """The size of a similarity in per cent with one decimal, halves up, and no sign: -0.8756 -> 87.6."""
+    return F.call_function("format_number", F.round(F.abs(similarity.cast("double") * 100), 1), F.lit("0.0"))
 
 
 def confidence_band(avg_similarity: Column, n: Column) -> Column:

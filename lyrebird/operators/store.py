@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,6 +43,38 @@ def replace_children(existing: DataFrame, incoming: DataFrame, parent: str) -> D
     return existing.join(incoming.select(parent).distinct(), parent, "left_anti").unionByName(incoming)
 
 
+#: Column and folders of a stored table's buckets.
+BUCKET = "parent_bucket"
+
+
+def write_children(rows: DataFrame, path: str, parent: str, buckets: int = 256) -> None:
+    """Store a table of children in folders by a hash of their parent."""
+    dealt = rows.withColumn(BUCKET, F.pmod(F.xxhash64(parent), F.lit(buckets)).cast("int"))
+    dealt.repartitionByRange(BUCKET, parent).write.partitionBy(BUCKET).parquet(path)
+
+
+def read_children(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(BUCKET)
+
+
+def replace_stored(incoming: DataFrame, path: str, parent: str, buckets: int = 256) -> int:
+    """Children of incoming parents replace the stored ones; only the buckets of those parents are read and written, in one commit. Returns their number.
+
+    The new files are staged and take their buckets' place when all are written: a failed write leaves the old rows. ``buckets`` must be what
+    the table was written with.
+    """
+    spark = incoming.sparkSession
+    bucket = F.pmod(F.xxhash64(parent), F.lit(buckets)).cast("int")
+    new = incoming.withColumn(BUCKET, bucket)
+    touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # at most ``buckets``
+    if not touched:
+        return 0
+    old = spark.read.parquet(path).filter(F.col(BUCKET).isin(touched)).select(new.columns)
+    merged = replace_children(old, new, parent)
+    merged.repartitionByRange(BUCKET, parent).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    return len(touched)
+
+
 def dedupe_first(df: DataFrame, key: list[str], *order: str) -> DataFrame:
     return latest(df, key, *(F.col(c) for c in order))
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lyrebird.functions.keys import pair_digest
 from lyrebird.functions.quality import quality_label
+from lyrebird.operators.bounds import broadcast_if_small
 from lyrebird.schemas import GUEST, PRIMARY
 
 
@@ -58,11 +63,69 @@ def analyse(spark: SparkSession, table: str) -> None:
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
 
 
-def compact(spark: SparkSession, source: str, target: str, bytes_each: int = 256 << 20) -> None:
-    """Rewrite a Parquet folder as files of about ``bytes_each``, into another folder."""
-    df = spark.read.parquet(source)
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    df.repartition(max(1, -(-int(size) // bytes_each))).write.mode("errorifexists").parquet(target)
+def file_stats(spark: SparkSession, path: str, dead: Column | None = None) -> DataFrame:
+    """(folder, file, bytes, n_rows, dead_rows) of a Parquet folder's files: what a table holds, and how much of it no longer counts.
+
+    Without a condition for dead rows only footers are read. Files without rows aren't listed.
+    """
+    file = F.col("_metadata.file_path")
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    per = rows.groupBy(file.alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("n_rows"), (F.count_if(dead) if dead is not None else F.lit(0)).cast("long").alias("dead_rows"))
+    return per.select(F.regexp_extract("file", r"^(.*)/[^/]*$", 1).alias("folder"), "file", "bytes", "n_rows", "dead_rows")
+
+
+def folder_sizes(stats: DataFrame, small_bytes: int = 64 << 20) -> DataFrame:
+    """Per folder: files, bytes, rows, files below ``small_bytes`` and the share of dead rows."""
+    return stats.groupBy("folder").agg(
+        F.count("*").alias("n_files"),
+        F.sum("bytes").alias("bytes"),
+        F.sum("n_rows").alias("n_rows"),
+        F.count_if(F.col("bytes") < small_bytes).alias("n_small"),
+        F.round(F.sum("dead_rows") / F.sum("n_rows"), 4).alias("dead_share"),
+    )
+
+
+def packed_files(sizes: list[tuple[str, int]], bytes_each: int) -> list[list[str]]:
+    """First fit, largest first: groups of at least two files that together come near ``bytes_each``, and not above it."""
+    groups: list[tuple[int, list[str]]] = []
+    for name, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        at = next((i for i, (held, _) in enumerate(groups) if held + size <= bytes_each), None)
+        if at is None:
+            groups.append((size, [name]))
+        else:
+            groups[at] = (groups[at][0] + size, [*groups[at][1], name])
+    return [names for _, names in groups if len(names) > 1]
+
+
+def compact(spark: SparkSession, path: str, bytes_each: int = 256 << 20) -> int:
+    """Pack the small files of each folder (below half of ``bytes_each``) into files near that size; all others stay as they are. Returns the number of new files.
+
+    Each group's new file is written beside the table first, moved in, and only then its old files go: a failure in
+    between leaves rows twice, never none, and the staging folder names the group. Nobody else may write meanwhile. File names are the
+    driver's, as they are in any scan of the table.
+    """
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    store = jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    small: dict[str, list[tuple[str, int]]] = {}
+    for r in file_stats(spark, path).filter(F.col("bytes") < bytes_each // 2).select("folder", "file", "bytes").toLocalIterator():
+        small.setdefault(r["folder"], []).append((r["file"], r["bytes"]))
+    groups = [(folder, names) for folder, sizes in sorted(small.items()) for names in packed_files(sizes, bytes_each)]
+    if not groups:
+        return 0
+    stage = f"{path.rstrip('/')}/_compact-{uuid.uuid4().hex}"
+    place = spark.createDataFrame([(name, i) for i, (_, names) in enumerate(groups) for name in names], "_file string, _group int")
+    rows = spark.read.parquet(*(unquote(name) for _, names in groups for name in names)).withColumn("_file", F.col("_metadata.file_path"))
+    rows.join(broadcast_if_small(place, 1_000_000), "_file").drop("_file").repartition(len(groups), "_group").write.partitionBy("_group").parquet(stage)
+    done = 0
+    for i, (folder, names) in enumerate(groups):
+        for s in store.listStatus(jvm_path(f"{stage}/_group={i}")):
+            if not store.rename(s.getPath(), jvm_path(f"{unquote(folder)}/{s.getPath().getName()}")):
+                raise OSError(f"{s.getPath()} could not be moved to {folder}; its old files are untouched")
+            done += 1
+        for name in names:
+            store.delete(jvm_path(unquote(name)), False)
+    store.delete(jvm_path(stage), True)
+    return done
 
 
 def reset(spark: SparkSession, path: str, confirm: str) -> None:
@@ -98,7 +161,7 @@ def status_page(sources: DataFrame, segments: DataFrame, as_of: Column) -> DataF
         F.count_if(F.col("speaker_label").isNull()).alias("n_null_labels"),
         F.count("embedding").alias("n_embedded"),
     )
-    d = segments.groupBy("source_id", "text").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("n_repeated"))
+    d = segments.groupBy(pair_digest("source_id", "text").alias("pair")).agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("n_repeated"))
     out = s.join(g, F.lit(True)).join(d, F.lit(True))
     share = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a).cast("double"), F.nullif(F.col(b), F.lit(0))), F.lit(0.0)), 4)
     return out.withColumn("segments_each", share("n_segments", "n_with_segments")).withColumn("embedded_share", share("n_embedded", "n_segments"))

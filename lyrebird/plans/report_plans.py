@@ -9,7 +9,8 @@ from lyrebird.functions import keys, quality, text
 from lyrebird.functions.vector import centroids, cosine, sampled_max
 from lyrebird.load import CHUNKS_SQL, SEGMENTS_SQL, chunks, segments, table
 from lyrebird.operators import monitor, search, segments as seg, speakers, store, views
-from lyrebird.operators.bounds import small
+from lyrebird.operators.bounds import broadcast_if_small, small
+from lyrebird.operators.scan import ranked
 from lyrebird.plans.monitor_plans import _STATE, _state
 from lyrebird.plans.registry import query
 
@@ -185,7 +186,7 @@ def url_like(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").filter(F.contains("url", F.lit("net/")) & F.contains("url", F.lit("1"))).select("page_id")
 
 
-@query("similarity_text", "SELECT event_id, CAST(floor(value / 128 * 100 + 0.5) AS BIGINT) || '%' AS pct FROM events")
+@query("similarity_text", "SELECT event_id, printf('%.1f', round(abs(value / 128 * 100), 1)) AS pct FROM events")
 def similarity_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", quality.percent_text(F.col("value") / 128).alias("pct"))
 
@@ -291,17 +292,17 @@ def monologue_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "profile_max_similarity",
-    """WITH r AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE label < 5),
+    """WITH r AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
     k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY i) AS rn FROM r WHERE i % greatest(1, n // 10) = 0)
     SELECT e.vec_id, k.label, round(max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(k.embedding AS DOUBLE[]))), 6) AS s FROM embeddings e, k WHERE k.rn <= 10 GROUP BY 1, 2""",
 )
 def profile_max_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Each vector against ten sampled vectors of the first five profiles."""
-    from pyspark.sql.window import Window
-
+    """Each vector against ten sampled vectors of every profile; ids alone are put in order, and the sampled ones fetch their vectors."""
     e = table(spark, d, "embeddings")
-    w = Window.partitionBy("label")
-    ranked = e.filter("label < 5").withColumn("i", F.row_number().over(w.orderBy("vec_id")) - 1).withColumn("n", F.count("*").over(w))
-    some = ranked.filter(F.col("i") % F.greatest(F.lit(1), F.floor(F.col("n") / 10)) == 0).withColumn("rn", F.row_number().over(w.orderBy("i"))).filter("rn <= 10")
+    placed = ranked(e.select("label", "vec_id"), ["label", "vec_id"], "place")
+    each = placed.groupBy("label").agg(F.min("place").alias("first"), F.greatest(F.lit(1), F.expr("count(*) div 10")).alias("step"))
+    numbered = placed.join(broadcast_if_small(each), "label").withColumn("i", F.col("place") - F.col("first"))
+    chosen = numbered.filter((F.col("i") % F.col("step") == 0) & (F.col("i") < 10 * F.col("step"))).select("label", "vec_id", "i")
+    some = e.join(broadcast_if_small(chosen), ["label", "vec_id"])
     profiles = some.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "embedding"))), lambda x: x["embedding"]).alias("profile"))
     return e.select("vec_id", "embedding").join(F.broadcast(small(profiles, "profiles")), F.lit(True)).select("vec_id", "label", F.round(sampled_max(F.col("embedding"), F.col("profile")), 6).alias("s"))

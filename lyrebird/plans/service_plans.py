@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,8 +11,9 @@ from pyspark.sql.window import Window
 from lyrebird.functions import quality, text
 from lyrebird.functions.time import m_ss
 from lyrebird.load import CHUNKS_SQL, SEGMENTS_SQL, chunks, run_log, segments, table
-from lyrebird.operators import cluster, embed, search, vector_search, views
+from lyrebird.operators import cluster, embed, search, store, vector_index, vector_search, views
 from lyrebird.plans.registry import query
+from lyrebird.storage import shared_folder
 
 
 @query(
@@ -90,18 +93,17 @@ def cleanup_removed_count(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "chunk_coverage",
     f"""SELECT c.media_id, count(s.seq) AS n_segments, round(coalesce(sum(s.end_sec - s.start_sec), 0) / nullif(max(dur), 0), 6) AS coverage
-    FROM (SELECT media_id, max(end_sec) + 10 AS dur FROM {SEGMENTS_SQL} GROUP BY 1) c LEFT JOIN (SELECT * FROM {SEGMENTS_SQL} WHERE seq % 2 = 0) s ON s.media_id = c.media_id GROUP BY 1""",
+    FROM (SELECT media_id, max(end_sec) + 10 AS dur FROM {SEGMENTS_SQL} GROUP BY 1) c LEFT JOIN {SEGMENTS_SQL} s ON s.media_id = c.media_id GROUP BY 1""",
 )
 def chunk_coverage(spark: SparkSession, d: str) -> DataFrame:
     s = segments(spark, d)
     durations = s.groupBy("media_id").agg((F.max("end_sec") + 10).alias("duration_s"))
-    return views.coverage(s.filter("seq % 2 = 0"), durations).select("media_id", "n_segments", F.round("coverage", 6).alias("coverage"))
+    return views.coverage(s, durations).select("media_id", "n_segments", F.round("coverage", 6).alias("coverage"))
 
 
-@query("storage_gate", f"SELECT media_id, seq, CAST(CASE WHEN speaker_label = 'PRIMARY' THEN length(text) END AS INTEGER) AS kept FROM {SEGMENTS_SQL} WHERE speaker_label <> 'Unknown'")
+@query("storage_gate", f"SELECT media_id, seq, CAST(CASE WHEN speaker_label = 'PRIMARY' THEN length(text) END AS INTEGER) AS kept FROM {SEGMENTS_SQL}")
 def storage_gate(spark: SparkSession, d: str) -> DataFrame:
-    s = segments(spark, d).filter("speaker_label <> 'Unknown'")
-    return s.select("media_id", "seq", views.gated_embedding(F.col("speaker_label"), F.length("text")).alias("kept"))
+    return segments(spark, d).select("media_id", "seq", views.gated_embedding(F.col("speaker_label"), F.length("text")).alias("kept"))
 
 
 @query("listing_filters", "SELECT doc_id FROM documents WHERE NOT regexp_matches(lower(text), 'members only|members exclusive|exclusive to members|member exclusive|patreon exclusive|subscriber exclusive|premium content|early access') AND doc_id % 9 <> 4 AND NOT regexp_matches(lower(text), '\\[(music|applause|laughter|silence)\\]') AND length(trim(text)) > 3")
@@ -143,6 +145,50 @@ def ann_cells(spark: SparkSession, d: str) -> DataFrame:
     return vector_search.probe(vector_search.assign_cells(e, centres), centres, q, 10, 4).select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query(
+    "ivf_full_probe",
+    """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 5)
+    SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) DESC, vec_id LIMIT 25""",
+)
+def ivf_full_probe(spark: SparkSession, d: str) -> DataFrame:
+    """A search of all lists of a stored index, half of whose rows were added later, is exact."""
+    e = table(spark, d, "embeddings")
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    lists = vector_index.build(e.filter("vec_id % 2 = 0"), path)
+    vector_index.add(e.filter("vec_id % 2 <> 0"), path)
+    return vector_index.search(spark, path, vector_search.vector_of(e, 5), 25, lists).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query("ivf_search_many")
+def ivf_search_many(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar rows of every twentieth vector, in the sixteen lists nearest to it."""
+    e = table(spark, d, "embeddings")
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    vector_index.build(e, path)
+    return vector_index.search_many(spark, path, e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10, 16).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("stored_children", "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_orderkey % 7 = 0 AND l_linenumber <= 3 THEN l_quantity + 1 ELSE l_quantity END, 2) AS l_quantity FROM lineitem WHERE NOT (l_orderkey % 7 = 0 AND l_linenumber > 3 AND EXISTS (SELECT 1 FROM lineitem k WHERE k.l_orderkey = lineitem.l_orderkey AND k.l_linenumber <= 3))")
+def stored_children(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of an order replace its stored ones, by buckets of orders."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    path = f"{shared_folder(spark)}/children-{uuid.uuid4().hex}"
+    store.write_children(rows, path, "l_orderkey", 16)
+    store.replace_stored(rows.filter("l_orderkey % 7 = 0 and l_linenumber <= 3").withColumn("l_quantity", F.col("l_quantity") + 1), path, "l_orderkey", 16)
+    return store.read_children(spark, path).withColumn("l_quantity", F.round("l_quantity", 2))
+
+
+@query("stored_sizes", "SELECT parent_bucket, count(*) AS n_rows, count_if(l_quantity > 40) AS dead_rows FROM (SELECT l_orderkey % 8 AS parent_bucket, l_quantity FROM lineitem) GROUP BY 1")
+def stored_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and dead rows of each folder of a stored table, from its files, after small files were packed."""
+    path = f"{shared_folder(spark)}/sizes-{uuid.uuid4().hex}"
+    table(spark, d, "lineitem").withColumn("parent_bucket", F.col("l_orderkey") % 8).repartition(4).write.partitionBy("parent_bucket").parquet(path)
+    views.compact(spark, path, 64 << 20)
+    stats = views.file_stats(spark, path, F.col("l_quantity") > 40)
+    per = stats.withColumn("parent_bucket", F.regexp_extract("folder", r"parent_bucket=(\d+)$", 1).cast("long")).groupBy("parent_bucket")
+    return per.agg(F.sum("n_rows").alias("n_rows"), F.sum("dead_rows").alias("dead_rows"))
+
+
 @query("llm_blocks", f"SELECT doc_id, CAST(ceil(len(w) / 500) AS BIGINT) AS n_blocks, len(w) * 1.33 > 400 AS chunked FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents)")
 def llm_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of words for a map-reduce summary, and whether a text needs them."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lyrebird.functions.keys import video_id
 from lyrebird.functions.quality import members_only
 from lyrebird.functions.time import iso_duration
+from lyrebird.operators.bounds import broadcast_if_small
 
 LISTING = (
     "id string, title string, upload_date string, duration string, view_count long, like_count long, comment_count long, channel string, channel_url string, "
@@ -40,10 +41,14 @@ def normal_listing(raw: DataFrame) -> DataFrame:
 
 
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per line; blank and broken lines are skipped. A file that isn't UTF-8 throughout is read as Latin-1, all of it."""
-    lines = spark.read.format("binaryFile").load(path).select("path", "content")
-    utf8 = F.try_validate_utf8(F.col("content").cast("string"))
-    decoded = lines.select(F.explode(F.split(F.coalesce(utf8, F.decode("content", "ISO-8859-1")), r"\r?\n")).alias("value"))
+    """One JSON object per line; blank and broken lines are skipped. A file that isn't UTF-8 throughout is read as Latin-1, all of it.
+
+    Files are split at line ends over tasks, however large they are; whether a file is UTF-8 is found out first, file by file.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    odd = lines.filter(~F.is_valid_utf8("value")).select("file").distinct().withColumn("odd", F.lit(True))
+    known = lines.join(broadcast_if_small(odd), "file", "left")
+    decoded = known.select(F.when(F.col("odd"), F.decode(F.col("value").cast("binary"), "ISO-8859-1")).otherwise(F.col("value")).alias("value"))
     rows = decoded.filter(F.trim("value") != "").select(F.from_json("value", LISTING, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
     return normal_listing(rows.select("r.*"))
 

@@ -9,6 +9,7 @@ from lyrebird.functions.keys import video_id_of_file
 from lyrebird.functions.text import collapse, is_non_verbal, trimmed
 from lyrebird.functions.time import parse_cue_time
 from lyrebird.operators.cluster import gap_clusters, merged
+from lyrebird.sources.archives import read_members
 
 _TIMES = r"([0-9:.,]+)\s*-->\s*([0-9:.,]+)"
 
@@ -72,22 +73,5 @@ def read_vtt(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_zipped_srt(spark: SparkSession, path: str) -> DataFrame:
-    """Cues of every .srt member of the ZIP files of a folder; unpacking is Python, per file."""
-    import io
-    import zipfile
-
-    import pyarrow as pa
-
-    def unpack(batches):
-        for b in batches:
-            names, texts = [], []
-            for blob in b.column(0):
-                with zipfile.ZipFile(io.BytesIO(blob.as_py())) as z:
-                    for name in z.namelist():
-                        if name.lower().endswith(".srt"):
-                            names.append(name)
-                            texts.append(z.read(name).decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n"))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["path", "value"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("content")
-    return cues(files.mapInArrow(unpack, "path string, value string"))
+    """Cues of every .srt member of the ZIP archives of a folder; each member is a task of its own."""
+    return cues(read_members(spark, path, ".srt").select(F.col("member").alias("path"), "value"))

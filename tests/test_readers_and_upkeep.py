@@ -63,8 +63,9 @@ def test_vtt_words_summary_and_ledger(spark, tmp_path):
 def test_compact_reset_analyse(spark, tmp_path):
     many, few = str(tmp_path / "many"), str(tmp_path / "few")
     spark.range(1000).repartition(8).write.parquet(many)
-    views.compact(spark, many, few)
-    assert spark.read.parquet(few).count() == 1000 and len(list((tmp_path / "few").glob("*.parquet"))) == 1
+    assert views.compact(spark, many) == 1
+    assert spark.read.parquet(many).count() == 1000 and len(list((tmp_path / "many").glob("*.parquet"))) == 1
+    spark.range(1000).write.parquet(few)
     with pytest.raises(ValueError):
         views.reset(spark, few, "other")
     views.reset(spark, few, few)

@@ -176,4 +176,4 @@ def test_progress_and_percent(spark):
     rate, eta = monitor.progress(F.col("d"), F.col("t"), F.col("m"))
     assert (one(spark, rate, d=30, t=90, m=10.0), one(spark, eta, d=30, t=90, m=10.0)) == (3.0, 20.0)
     assert one(spark, eta, d=0, t=90, m=10.0) is None and one(spark, rate, d=3, t=9, m=0.0) is None
-    assert [one(spark, quality.percent_text(F.col("s")), s=s) for s in (0.874, 0.875, 1.0)] == ["87%", "88%", "100%"]
+    assert [one(spark, quality.percent_text(F.col("s")), s=s) for s in (0.874, -0.8756, 1.0, 0.0)] == ["87.4", "87.6", "100.0", "0.0"]
