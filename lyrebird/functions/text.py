@@ -54,9 +54,13 @@ def token_estimate(c: Column) -> Column:
 
 def word_blocks(c: Column, size: int) -> Column:
     """Consecutive blocks of ``size`` words, joined by blanks; an empty array without words."""
-    w = words(c)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size)), lambda i: i < F.size(w))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+    # inside the lambda the words are a value; outside they would be split again for each block
+
+    def blocks(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size)), lambda i: i < F.size(w))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+
+    return F.flatten(F.transform(F.array(words(c)), blocks))
 
 
 def preview(c: Column, n: int) -> Column:

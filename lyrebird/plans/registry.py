@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    for name in ("search_plans", "segment_plans", "store_plans", "monitor_plans", "text_plans", "service_plans", "report_plans"):
+    for name in ("search_plans", "segment_plans", "store_plans", "monitor_plans", "text_plans", "service_plans", "report_plans", "step_plans"):
         importlib.import_module(f"lyrebird.plans.{name}")
 
 
