@@ -67,7 +67,9 @@ def salient(text: Column, most: int) -> Column:
 
 
 def _blocks(ranges: DataFrame, key: str, words: int) -> DataFrame:
-    """(key, block, text, more, and the sums of n_words, n_calls, words_read) of rows dealt into ranges; ``more``: block 0 isn't the only one."""
+    """(key, block, text, more, and the sums of n_words, n_calls, words_read) of rows (with the text ``_t``) dealt into ranges; ``more``: block 0 isn't the only one."""
+    ranges = ranges.withColumn("_w", text_functions.words(F.col("_t"))).drop("_t").withColumn("_len", F.size("_w").cast("long")).filter("_len > 0")
+    ranges = ranges.withColumn("n_words", F.coalesce("n_words", "_len"))
     here = Window.partitionBy("_p", key).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     per = ranges.groupBy("_p", key).agg(F.sum("_len").alias("_sum"))
     carry = scan.carried(per, key, {"_before": F.coalesce(F.sum("_sum").over(scan.parts_before(key)), F.lit(0))})
@@ -96,16 +98,16 @@ def tree_summaries(df: DataFrame, key: str, order: list[str], name: str = "lead"
     A text of at most ``words`` words is summarised by one call. A longer one is cut into blocks of ``words`` words; their summaries, each after
     "PART <n>:", make the text of the next round. A summary has at most ``most`` words, which is less than half of a block, so each
     round at least halves an item's text; a longer one is an error. A summary of null (a failed call) stands as [ERROR] in the next round, and is null as an
-    item's last. Items without a word have no row; null is a key of its own; rows equal in ``order`` go by their text.
+    item's last. Items without a word have no row; null is a key of its own; rows equal in ``order`` go by the MD5 of their text.
     """
     if not 0 < 2 * (most + 2) <= words:
         raise ValueError("a part's summary and its two words of heading may take half of a block at most")
-    rows = df.select(F.col(key).alias("item"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    rows = rows.select("item", *(f"_o{i}" for i in range(len(order))), "_t", text_functions.words(F.col("_t")).alias("_w")).withColumn("_len", F.size("_w").cast("long"))
-    rows = rows.withColumns({"n_words": F.col("_len"), "n_calls": F.lit(0).cast("long"), "words_read": F.lit(0).cast("long")})
-    by, rounds, done = ["item", *(f"_o{i}" for i in range(len(order))), "_t"], 0, []
+    nothing = F.lit(0).cast("long")
+    places = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+    rows = df.select(F.col(key).alias("item"), *places, F.md5(text).alias("_tie"), F.col(text).alias("_t"), F.lit(None).cast("long").alias("n_words"), nothing.alias("n_calls"), nothing.alias("words_read"))
+    by, rounds, done = ["item", *(f"_o{i}" for i in range(len(order))), "_tie"], 0, []
     while True:
-        ranges = scan.spread(rows.filter("_len > 0"), by, partitions)
+        ranges = scan.spread(rows, by, partitions)
         rounds += 1
         blocks = _blocks(ranges, "item", words).withColumn("summary", SUMMARISERS[name](F.col("text"), most))
         fits = F.coalesce(text_functions.word_count(F.col("summary")), F.lit(0)) <= most
@@ -117,7 +119,7 @@ def tree_summaries(df: DataFrame, key: str, order: list[str], name: str = "lead"
         if rest.isEmpty():
             break
         part = F.concat(F.lit("PART "), F.col("block") + 1, F.lit(": "), F.coalesce("summary", F.lit("[ERROR]")))
-        rows = rest.select("item", "block", text_functions.words(part).alias("_w"), "n_words", "n_calls", "words_read").withColumn("_len", F.size("_w").cast("long"))
+        rows = rest.select("item", "block", part.alias("_t"), "n_words", "n_calls", "words_read")
         by = ["item", "block"]
     result = done[0]
     for more in done[1:]:
