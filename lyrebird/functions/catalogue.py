@@ -10,12 +10,10 @@ import re
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark import cloudpickle
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.udtf import UserDefinedTableFunction
 from pyspark.sql import functions as F
 
-import lyrebird
 
 #: name(parameters) -> (type, body). Null arguments follow the DataFrame forms of the same names.
 SCALARS: dict[str, tuple[str, str]] = {
@@ -119,11 +117,7 @@ def table_functions() -> dict[str, UserDefinedTableFunction]:
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Put all functions into the session's catalogue, over earlier ones of their names; returns the names.
-
-    The package goes to executors by value with the table functions, so they need no copy of it.
-    """
-    cloudpickle.register_pickle_by_value(lyrebird)
+    """Put all functions into the session's catalogue, over earlier ones of their names; returns the names."""
     for head, (kind, body) in SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {body}")
     for head, (columns, body) in TABLES.items():

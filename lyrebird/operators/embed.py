@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lyrebird.functions.text import words
 from lyrebird.operators.store import upsert
 
 PROVIDERS: dict[str, Callable[[Column], Column]] = {}
@@ -27,22 +28,21 @@ def provider(name: str):
 def hashing_tf(text: Column, dim: int = 64) -> Column:
     """Signed hashing of words into ``dim`` buckets, scaled to unit length; null for a text without words.
 
-    A provider is a model behind an Arrow batch interface, and so is this one.
+    Words are cut and hashed in the JVM; a batch of texts is added up in one step, as a model would take it.
     """
-    def vector(t: str | None) -> list[float] | None:
-        words = t.lower().split() if t else []
-        if not words:
-            return None
-        h = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words))
-        v = np.bincount(h % dim, np.where(h >> 16 & 1, 1.0, -1.0), dim)
-        size = float(np.sqrt((v * v).sum()))
-        return (v / size if size else v).tolist()
-
-    @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(vector, na_action=None)
-
-    return run(text)
+
+    @F.arrow_udf("array<float>")
+    def run(hashes: pa.Array) -> pa.Array:
+        n = pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False)
+        h = hashes.flatten().to_numpy(zero_copy_only=False)
+        cell = np.repeat(np.arange(len(n)), n) * dim + h % dim
+        v = np.bincount(cell, np.where(h >> 16 & 1, 1.0, -1.0), len(n) * dim).reshape(len(n), dim)
+        size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        unit = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+        ends = np.arange(len(n) + 1, dtype=np.int32) * dim
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(unit.ravel().astype(np.float32)), mask=pa.array(n == 0))
+
+    return run(F.transform(words(F.lower(text)), lambda w: F.crc32(w)))
 
 
 def embed(df: DataFrame, name: str = "hashing", text: str = "text") -> DataFrame:

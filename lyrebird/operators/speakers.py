@@ -6,18 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lyrebird.functions.quality import low_confidence
 from lyrebird.functions.vector import cosine, doubles
-from lyrebird.operators.bounds import small
+from lyrebird.operators.bounds import broadcast_if_small, small
 from lyrebird.schemas import UNKNOWN
 
 # Thresholds of attribution.
 MARGIN, MIN_CLUSTER_S, OVERLAP_EXTRA = 0.05, 3.0, 0.03
 
+#: Vectors of one key that are added up in one task, at most.
+KEY_ROWS = 50_000
+
 
 def majority_label(words: DataFrame, by: list[str], label: str = "label", confidence: str = "confidence", start: str = "start_sec") -> DataFrame:
     """Per group the label of most words, the first spoken of equals, with its mean confidence."""
@@ -78,35 +82,66 @@ def pair_similarities(df: DataFrame, by: str, vector: str) -> DataFrame:
     """Per key with two vectors or more: n_pairs, mean and population deviation of the cosines of all pairs, without making a pair.
 
     With unit vectors u, the cosines of all pairs sum to (|sum u|^2 - sum |u|^2) / 2 and their squares to
-    (|sum u u'|^2 - sum |u|^4) / 2; both sums are added up in parts. A zero vector has similarity 0; null keys and vectors
-    take no part; all vectors have one length.
+    (|sum u u'|^2 - sum |u|^4) / 2. A key of up to ``KEY_ROWS`` vectors is added up in one task, which passes on the two sums' squares alone; a larger
+    one is dealt to several tasks, each of which passes on its sums, however many batches it reads. A zero vector has similarity 0; null keys and
+    vectors take no part; all vectors have one length.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat = b.column(1)
-            u = np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
-            size = np.linalg.norm(u, axis=1, keepdims=True)
-            u = np.divide(u, size, out=np.zeros_like(u), where=size > 0)
-            keys, place = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
-            for k in range(len(keys)):
-                x = u[place == k]
-                some = float((size[place == k] > 0).sum())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([int(np.argmax(place == k))])), pa.array([len(x)], pa.int64()), pa.array([some]), pa.array([x.sum(axis=0)]), pa.array([(x.T @ x).ravel()])], [by, "n", "some", "one", "two"])
-
-    known = df.select(by, doubles(F.col(vector)).alias("v")).filter(F.col(by).isNotNull() & F.col("v").isNotNull())
+    known = df.select(by, doubles(F.col(vector)).alias("v"), F.spark_partition_id().alias("_p")).filter(F.col(by).isNotNull() & F.col("v").isNotNull())
+    tasks = F.ceil(F.col("_n") / KEY_ROWS).cast("int")
+    large = known.groupBy(by).agg(F.count("*").alias("_n")).filter(F.col("_n") > KEY_ROWS).select(by, tasks.alias("_tasks"))
+    dealt = known.join(broadcast_if_small(large), by, "left").select(by, "v", F.col("_tasks").isNull().alias("whole"), F.coalesce(F.col("_p") % F.col("_tasks"), F.lit(0)).alias("_at"))
+    ordered = dealt.repartition(by, "_at").sortWithinPartitions(by).select(by, "v", "whole")
     kind = known.schema[by].dataType.simpleString()
-    parts = known.mapInArrow(run, f"`{by}` {kind}, n long, some double, one array<double>, two array<double>")
-    sizes = parts.groupBy(by).agg(F.sum("n").alias("n"), F.sum("some").alias("some"))
-
-    def squares(c: str) -> DataFrame:
-        cells = parts.select(by, F.posexplode(c).alias("pos", "x")).groupBy(by, "pos").agg(F.sum("x").alias("x"))
-        return cells.groupBy(by).agg(F.sum(F.col("x") * F.col("x")).alias(c))
-
-    pairs = F.col("n") * (F.col("n") - 1) / 2
-    mean, square = (F.col("one") - F.col("some")) / 2 / F.col("n_pairs"), (F.col("two") - F.col("some")) / 2 / F.col("n_pairs")
-    joined = sizes.filter("n > 1").join(squares("one"), by).join(squares("two"), by).withColumn("n_pairs", pairs.cast("long"))
-    return joined.select(by, "n_pairs", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("deviation"))
+    parts = ordered.mapInArrow(_key_sums, f"`{by}` {kind}, n long, some double, ones int, cells array<double>")
+    cells = parts.select(by, "n", "some", "ones", F.posexplode("cells").alias("pos", "x")).groupBy(by, "ones", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("some").alias("some"))
+    square = F.col("x") * F.col("x")
+    sums = cells.groupBy(by).agg(F.max("n").alias("n"), F.max("some").alias("some"), F.sum(F.when(F.col("pos") < F.col("ones"), square)).alias("one"), F.sum(F.when(F.col("pos") >= F.col("ones"), square)).alias("two"))
+    pairs = sums.filter("n > 1").withColumn("n_pairs", (F.col("n") * (F.col("n") - 1) / 2).cast("long"))
+    mean, squares = (F.col("one") - F.col("some")) / 2 / F.col("n_pairs"), (F.col("two") - F.col("some")) / 2 / F.col("n_pairs")
+    return pairs.select(by, "n_pairs", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), squares - mean * mean)).alias("deviation"))
+
+
+def _key_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of their key: per key the number of vectors and of those that aren't zero, the sum of the unit vectors and of their outer
+    products, or the lengths of both sums where the key is whole. One key is held at a time."""
+    out: list[tuple] = []
+    held = None
+
+    def closed() -> tuple:
+        key, whole, n, some, one, two = held
+        sums = np.array([np.sqrt((one * one).sum()), np.sqrt((two * two).sum())]) if whole else np.concatenate([one, two.ravel()])
+        return key, n, some, 1 if whole else len(one), sums
+
+    def rows() -> pa.RecordBatch:
+        key, n, some, ones, sums = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(key, kind), pa.array(n, pa.int64()), pa.array(some, pa.float64()), pa.array(ones, pa.int32()), pa.array(sums, pa.list_(pa.float64()))], [name, "n", "some", "ones", "cells"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        name, kind = b.schema.field(0).name, b.schema.field(0).type
+        u = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
+        size = np.linalg.norm(u, axis=1, keepdims=True)
+        u = np.divide(u, size, out=np.zeros_like(u), where=size > 0)
+        runs = pc.run_end_encode(b.column(0))
+        lo = 0
+        for key, hi in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+            if held is None or held[0] != key:
+                if held is not None:
+                    out.append(closed())
+                held = [key, b.column(2)[lo].as_py(), 0, 0.0, np.zeros(u.shape[1]), np.zeros((u.shape[1], u.shape[1]))]
+            x = u[lo:hi]
+            held[2] += len(x)
+            held[3] += float((size[lo:hi] > 0).sum())
+            held[4] += x.sum(axis=0)
+            held[5] += x.T @ x
+            lo = hi
+        if out:
+            yield rows()
+            out = []
+    if held is not None:
+        out.append(closed())
+        yield rows()
 
 
 def speaker_stats(df: DataFrame, label: str = "speaker_label") -> DataFrame:

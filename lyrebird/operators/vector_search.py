@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyrebird.functions.vector import cosine, l2, literal
+from lyrebird.functions.vector import cosine, doubles, l2, literal
 
 
 def top_k(df: DataFrame, query: list[float], k: int, vec: str = "embedding", tie: str = "vec_id", measure: str = "cosine") -> DataFrame:
@@ -16,6 +16,14 @@ def top_k(df: DataFrame, query: list[float], k: int, vec: str = "embedding", tie
     return df.withColumn("score", score).orderBy(order, F.col(tie)).limit(k)
 
 
+def top_k_like(df: DataFrame, vec_id: int, k: int, vec: str = "embedding", tie: str = "vec_id", measure: str = "cosine") -> DataFrame:
+    """The same search for the vector of one row, as a scalar subquery: nothing comes to the driver. No such row, or a null vector, gives no rows; two such rows are an error."""
+    asked = df.withColumn("_asked", df.filter(F.col(tie) == vec_id).select(doubles(F.col(vec))).scalar())
+    score = cosine(F.col(vec), F.col("_asked")) if measure == "cosine" else l2(F.col(vec), F.col("_asked"))
+    order = F.desc("score") if measure == "cosine" else F.asc("score")
+    return asked.withColumn("score", score).drop("_asked").filter("score is not null").orderBy(order, F.col(tie)).limit(k)
+
+
 def vector_of(df: DataFrame, vec_id: int, vec: str = "embedding", id_col: str = "vec_id") -> list[float]:
     """One row's vector: the query of a search by example."""
     row = df.filter(F.col(id_col) == vec_id).select(vec).first()

@@ -9,7 +9,7 @@ from lyrebird.functions.quality import confidence_band
 from lyrebird.functions.time import recency_boosted
 from lyrebird.functions.vector import cosine
 from lyrebird.load import CHUNKS_SQL, chunks, table
-from lyrebird.operators import answer, cluster, search, vector_search
+from lyrebird.operators import answer, cluster, rerank, search, vector_search
 from lyrebird.operators.bounds import small
 from lyrebird.plans.registry import query
 
@@ -158,6 +158,15 @@ def vector_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
     return vector_search.top_k(e, vector_search.vector_of(e, 7), 20).select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query(
+    "vector_scalar_subquery",
+    f"""SELECT vec_id, label, round({_COS.format(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 3)')}, 6) AS score FROM embeddings
+    ORDER BY {_COS.format(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 3)')} DESC, vec_id LIMIT 25""",
+)
+def vector_scalar_subquery(spark: SparkSession, d: str) -> DataFrame:
+    return vector_search.top_k_like(table(spark, d, "embeddings"), 3, 25).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
 @query("vector_topk_l2", f"SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), CAST({_Q} AS DOUBLE[])), 6) AS score FROM embeddings ORDER BY list_distance(CAST(embedding AS DOUBLE[]), CAST({_Q} AS DOUBLE[])), vec_id LIMIT 20")
 def vector_topk_l2(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
@@ -253,6 +262,35 @@ def rerank_lexical(spark: SparkSession, d: str) -> DataFrame:
     return answer.rerank(hits, "the thing of and", 20, "doc_id").select("doc_id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
+def _opening_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each later turn beside the first text of its conversation."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    first = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"), F.min("turn").alias("first"))
+    return c.join(first, "conv_id").filter("turn > first").drop("first")
+
+
+@query(
+    "rerank_batches",
+    """WITH w AS (SELECT conv_id, turn, list_filter(list_distinct(regexp_split_to_array(lower(text), '\\s+')), lambda x: x <> '') AS w, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations),
+    s AS (SELECT b.conv_id, b.turn, 8.0::DOUBLE * len(list_intersect(a.w, b.w)) / greatest(1, len(a.w)) - 4 AS x FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn = a.first AND b.turn > b.first)
+    SELECT conv_id, turn, rank, round(1 / (1 + exp(-x)), 6) AS rerank_score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY 1 / (1 + exp(-x)) DESC, turn) AS INTEGER) AS rank FROM s) WHERE rank <= 3""",
+)
+def rerank_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The three later turns of each conversation that share most words with its opening, scored in batches."""
+    best = rerank.rerank_each(_opening_pairs(spark, d), "conv_id", "turn", 3, lambda: rerank.overlap)
+    return best.select("conv_id", "turn", "rank", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@query("rerank_model")
+def rerank_model(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a fitted model: a turn belongs to the opening of its own conversation, the turn of the next conversation doesn't."""
+    pairs = _opening_pairs(spark, d)
+    other = pairs.select((F.col("conv_id") - 1).alias("conv_id"), "turn", "text").join(pairs.select("conv_id", "query").distinct(), "conv_id")
+    labelled = pairs.select("query", "text", F.lit(1).alias("label")).unionByName(other.select("query", "text", F.lit(0).alias("label")))
+    load = rerank.pair_model(rerank.fit_pairs(labelled))
+    return rerank.rerank_each(pairs, "conv_id", "turn", 3, load).select("conv_id", "turn", "rank", F.round("rerank_score", 6).alias("rerank_score"))
+
+
 @query(
     "answer_confidence",
     f"""WITH ch AS (SELECT source AS answer_id, source AS video_id, doc_id, start_sec, least(1.0, n_chars / 4000.0) AS similarity, doc_id % 3 = 0 AS recent FROM {CHUNKS_SQL}),

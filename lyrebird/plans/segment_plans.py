@@ -25,11 +25,11 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
     w AS (SELECT media_id, rn, start_sec AS c0, 0 AS no FROM s WHERE rn = 1
       UNION ALL SELECT s.media_id, s.rn, CASE WHEN s.end_sec - w.c0 > 45 THEN s.start_sec ELSE w.c0 END, CASE WHEN s.end_sec - w.c0 > 45 THEN w.no + 1 ELSE w.no END
       FROM w JOIN s ON s.media_id = w.media_id AND s.rn = w.rn + 1)
-    SELECT media_id, no AS chunk_index, round(min(start_sec), 6) AS start_sec, round(max(end_sec), 6) AS end_sec, count(*) AS n_rows FROM w JOIN s USING (media_id, rn) GROUP BY media_id, no""",
+    SELECT media_id, no AS chunk_index, round(min(start_sec), 6) AS start_sec, round(max(end_sec), 6) AS end_sec, count(*) AS n_rows, md5(string_agg(trim(text, ' ' || chr(9) || chr(10) || chr(13)), ' ' ORDER BY rn)) AS text_md5 FROM w JOIN s USING (media_id, rn) GROUP BY media_id, no""",
 )
 def chunk_fixed_duration(spark: SparkSession, d: str) -> DataFrame:
     out = seg.duration_chunks(segments(spark, d))
-    return out.select("media_id", "chunk_index", F.round("start_sec", 6).alias("start_sec"), F.round("end_sec", 6).alias("end_sec"), "n_rows")
+    return out.select("media_id", "chunk_index", F.round("start_sec", 6).alias("start_sec"), F.round("end_sec", 6).alias("end_sec"), "n_rows", F.md5("text").alias("text_md5"))
 
 
 @query("segment_optimize_full")
@@ -46,10 +46,12 @@ def segment_optimize_full(spark: SparkSession, d: str) -> DataFrame:
         CASE WHEN s.speaker_label = w.l AND s.start_sec - w.e0 <= 0.3 AND s.end_sec - w.c0 <= 30 THEN w.c0 ELSE s.start_sec END, s.end_sec, s.speaker_label,
         CASE WHEN s.speaker_label = w.l AND s.start_sec - w.e0 <= 0.3 AND s.end_sec - w.c0 <= 30 THEN w.no ELSE w.no + 1 END
       FROM w JOIN s ON s.media_id = w.media_id AND s.rn = w.rn + 1)
-    SELECT media_id, no, count(*) AS n_rows FROM w GROUP BY media_id, no""",
+    SELECT media_id, no, count(*) AS n_rows, md5(string_agg(text, ' ' ORDER BY rn)) AS text_md5 FROM w JOIN s USING (media_id, rn) GROUP BY media_id, no""",
 )
 def adjacent_merge(spark: SparkSession, d: str) -> DataFrame:
-    return seg.adjacent_merge(segments(spark, d)).groupBy("media_id", "no").agg(F.count("*").alias("n_rows"))
+    """Merged segments, with the digest of their joined texts."""
+    merged = seg.adjacent_merge(segments(spark, d)).groupBy("media_id", "no")
+    return merged.agg(F.count("*").alias("n_rows"), F.md5(cluster.joined_text("text", "seq")).alias("text_md5"))
 
 
 @query(

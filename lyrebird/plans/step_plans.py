@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lyrebird.functions import catalogue, text, time
+from lyrebird.functions.keys import video_id_of_file
 from lyrebird.load import SEGMENTS_SQL, segments, table
 from lyrebird.operators import monitor, segments as seg, summarise
 from lyrebird.plans.registry import query
@@ -162,3 +163,13 @@ def catalogue_chunks(spark: SparkSession, d: str) -> DataFrame:
     s = segments(spark, d).select("media_id", "seq", "start_sec", "end_sec", "text")
     s.createOrReplaceTempView("lyrebird_catalogue_segments")
     return spark.sql("SELECT media_id, chunk_index, n_rows, md5(text) AS text_md5 FROM duration_chunks(TABLE(lyrebird_catalogue_segments) PARTITION BY media_id ORDER BY (start_sec, seq), 45D)")
+
+
+@query(
+    "file_ids",
+    r"""SELECT page_id, CASE WHEN token <> '' THEN token ELSE regexp_replace(name, '\.[^.]*$', '') END AS media_id FROM (
+      SELECT page_id, name, regexp_extract(name, '(?:^|[^A-Za-z0-9_-])([A-Za-z0-9_-]{11})(?:[^A-Za-z0-9_-]|$)', 1) AS token FROM (SELECT page_id, split_part(url, '/', -1) AS name FROM pages))""",
+)
+def file_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The id in the last part of each page's path, by the rule for file names."""
+    return table(spark, d, "pages").select("page_id", video_id_of_file(F.col("url")).alias("media_id"))
