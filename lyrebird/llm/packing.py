@@ -126,7 +126,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         room = np.flatnonzero(count[s:])
         if room.size:
             gaps = room + s
-            change = 2 * np.where(room > 0, count[room], -1) - 2 * count[gaps]
+            change = np.where(room > 0, 2 * count[room] + 2, 1) - 2 * count[gaps]  # a full bin adds no square
             gap = int(gaps[int(change.argmin())])
             b = open_at[gap].pop()
             count[gap] -= 1

@@ -67,6 +67,32 @@ def test_sum_of_squares_choice():
     assert len(set(bins.tolist())) <= 1.005 * sizes.sum() / 100 + 1
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_choice_equals_trying_every_bin(seed):
+    """Each item's offset is that of a plain program which makes every placement and adds up the squares."""
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(5, 30))
+    sizes = rng.integers(1, capacity + 1, 150)
+    open_gaps, want = [], {}
+    for at in np.argsort(-sizes, kind="stable").tolist():
+        s = int(sizes[at])
+        tried = []
+        for b, gap in enumerate(open_gaps):
+            if gap >= s:
+                after = Counter(g for i, g in enumerate(open_gaps) if i != b and g) + Counter([gap - s] if gap > s else [])
+                tried.append((sum(n * n for n in after.values()), gap - s, b))
+        if tried:
+            _, _, b = min(tried)
+        else:
+            b = len(open_gaps)
+            open_gaps.append(capacity)
+        want[at] = capacity - open_gaps[b]
+        open_gaps[b] -= s
+    bins, offsets, _ = packing.sum_of_squares(sizes, capacity)
+    assert dict(enumerate(offsets.tolist())) == want
+    assert len(set(bins.tolist())) == len(open_gaps)
+
+
 def test_empty_table_packs_to_nothing(spark, tokenizer):
     assert packing.pack_documents(frame(spark, [(1, "x")]).limit(0), tokenizer).collect() == []
 
@@ -82,6 +108,54 @@ def test_rows_law(spark):
     assert ring.shard_rows(frame(spark, rows).limit(0), 40).collect() == []
 
 
+@pytest.mark.parametrize(("rows_law", "seed"), [(r, s) for r in (True, False) for s in range(6)])
+def test_walk_equals_one_row_at_a_time(rows_law, seed):
+    """Rows of all arcs step clockwise together, one point a step, and take what room is left; the plan moves the same numbers."""
+    rng = np.random.default_rng(seed)
+    n_shards, vnodes = int(rng.integers(1, 7)), int(rng.integers(1, 5))
+    points, owners = ring.ring_points(n_shards, vnodes)
+    assert (points[1:] > points[:-1]).all() and Counter(owners.tolist()) == dict.fromkeys(range(n_shards), vnodes)
+    counts = rng.integers(0, 40, len(points)) * rng.integers(0, 2, len(points))
+    counts[int(rng.integers(len(points)))] = 200  # a hot arc
+    room = ring.capacities(int(counts.sum()), n_shards, None if rows_law else 0.3)
+    left, held = room.copy(), Counter()
+    waiting = [(arc, rank) for arc, c in enumerate(counts) for rank in range(c)]
+    place, step = {}, 0
+    while waiting:
+        onward = []
+        for arc, rank in waiting:
+            shard = owners[(arc + step) % len(owners)]
+            if left[shard]:
+                left[shard] -= 1
+                place[arc, rank] = (int(shard), held[shard])
+                held[shard] += 1
+            else:
+                onward.append((arc, rank))
+        waiting, step = onward, step + 1
+    got = {(arc, rank): (shard, slot + rank - lo) for arc, lo, hi, shard, slot in ring.plan_walk(counts, owners, room) for rank in range(lo, hi)}
+    assert got == place
+
+
+def test_exact_quotas_move_a_bounded_share():
+    """With exact quotas a shard more takes its own share, and overflow moves some rows between old shards."""
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 2**63, 40000).astype(np.uint64) * np.uint64(2)
+
+    def shards(n):
+        points, owners = ring.ring_points(n, 64)
+        arc = np.searchsorted(points, keys) % len(points)
+        order = np.lexsort((keys, arc))
+        first = np.searchsorted(arc[order], np.arange(len(points)))
+        out = np.full(len(keys), -1)
+        for a, lo, hi, shard, _ in ring.plan_walk(np.bincount(arc, minlength=len(points)), owners, ring.capacities(len(keys), n, None)):
+            out[order[first[a] + lo : first[a] + hi]] = shard
+        return out
+
+    a, b = shards(40), shards(41)
+    assert np.ptp(np.bincount(a, minlength=40)) <= 1 and np.ptp(np.bincount(b, minlength=41)) <= 1
+    assert 1 / 41 <= (a != b).mean() < 0.25
+
+
 def test_bounded_loads_move_little():
     rng = np.random.default_rng(3)
     keys = rng.integers(0, 2**63, 40000).astype(np.uint64) * np.uint64(2)
