@@ -181,9 +181,15 @@ def threshold_share(similarities: DataFrame, by: str, column: str = "similarity"
 
 
 def speaker_map(df: DataFrame, by: str, label: str = "speaker_label") -> DataFrame:
-    """Per key a map from speaker to its share of the key's seconds in per cent, and the speaker with most; 0 for all where there are no seconds."""
-    seconds = df.groupBy(by, label).agg(F.sum(F.col("end_sec") - F.col("start_sec")).alias("s"))
-    pairs = seconds.filter(F.col(label).isNotNull()).groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("k"), F.col("s").alias("v")))).alias("p"), F.sum("s").alias("t"))
+    """Per key a map from speaker to its share of the key's seconds in per cent, and the speaker with most; 0 for all where there are no seconds.
+
+    A key's total is added up in the order in which its speakers first speak, so that it doesn't hang on the order in which groups arrive.
+    """
+    seconds = df.groupBy(by, label).agg(F.sum(F.col("end_sec") - F.col("start_sec")).alias("s"), F.min("start_sec").alias("_first"))
+    spoken = F.array_sort(F.collect_list(F.struct(F.col("_first").alias("first"), F.col(label).alias("k"), F.col("s").alias("v"))))
+    total = F.aggregate("_by_first", F.lit(0.0), lambda t, x: t + F.coalesce(x["v"], F.lit(0.0)))
+    pairs = seconds.filter(F.col(label).isNotNull()).groupBy(by).agg(spoken.alias("_by_first")).withColumn("t", total)
+    pairs = pairs.withColumn("p", F.array_sort(F.transform("_by_first", lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v")))))
     share = F.map_from_entries(F.transform("p", lambda x: F.struct(x["k"], F.when(F.col("t") > 0, 100.0 * x["v"] / F.col("t")).otherwise(0.0))))
     most = F.array_min(F.transform("p", lambda x: F.struct((-x["v"]).alias("v"), x["k"].alias("k"))))["k"]
     return pairs.select(by, share.alias("shares"), most.alias("main_speaker"))

@@ -1,5 +1,6 @@
 """Batch rerankers, embedding by batches, sums of hot keys, scalar subqueries, database reads."""
 
+import itertools
 import zlib
 
 import numpy as np
@@ -116,3 +117,15 @@ def test_ids_of_file_names(spark):
     names = {"/a/b/dQw4w9WgXcQ.mp4": "dQw4w9WgXcQ", "talk [dQw4w9WgXcQ].srt": "dQw4w9WgXcQ", "/x/plain name.v2.vtt": "plain name.v2", "twelve_chars.srt": "twelve_chars", "": ""}
     got = spark.createDataFrame([(n,) for n in names], "n string").select("n", video_id_of_file(F.col("n")).alias("id")).collect()
     assert {r.n: r.id for r in got} == names
+
+
+def test_shares_of_speakers_do_not_hang_on_the_order_of_rows(spark):
+    """Three lengths whose sum in doubles depends on its order: ones beside 2^53 are lost, unless they come first."""
+    rows = [("m", 0.0, 2.0**53, "B"), ("m", 1.0, 2.0, "C"), ("m", 2.0, 3.0, "A")]
+    got = set()
+    for order in itertools.permutations(rows):
+        df = spark.createDataFrame(order, "media_id string, start_sec double, end_sec double, speaker_label string").coalesce(1)
+        got.add(tuple(sorted(speakers.speaker_map(df, "media_id").first().shares.items())))
+    lengths = {k: e - s for _, s, e, k in rows}
+    total = lengths["B"] + lengths["C"] + lengths["A"]
+    assert got == {tuple(sorted((k, 100.0 * v / total) for k, v in lengths.items()))}
