@@ -15,8 +15,17 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+#: Letters whose capital is one character only in simple case mapping: sharp s, and Greek ones with iota below.
+_WITH_IOTA = [*(lo + i for lo in (0x1F80, 0x1F90, 0x1FA0) for i in range(8)), 0x1FB3, 0x1FC3, 0x1FF3]
+_SMALL = "ß" + "".join(map(chr, _WITH_IOTA))
+_CAPITAL = "ẞ" + "".join(chr(i + (8 if i < 0x1FB0 else 9)) for i in _WITH_IOTA)
+
+
 def capitalised(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substr(c, F.lit(2)))
+    """The first character by simple case mapping, which keeps it one character: no SS for a sharp s, no FI for a ligature."""
+    first = F.substring(c, 1, 1)
+    upper = F.upper(first)
+    return F.concat(F.when(F.length(upper) > 1, F.translate(first, _SMALL, _CAPITAL)).otherwise(upper), F.substr(c, F.lit(2)))
 
 
 def clean_transcript(c: Column) -> Column:

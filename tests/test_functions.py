@@ -29,6 +29,14 @@ def test_clean_transcript(spark, raw, want):
     assert one(spark, text.clean_transcript(F.col("t")), t=F.lit(raw).cast("string")) == want
 
 
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [("ßheit ß", "ẞheit ß"), ("ﬁn", "ﬁn"), ("ŉa", "ŉa"), ("ᾀ", "ᾈ"), ("ᾧ", "ᾯ"), ("ᾳ", "ᾼ"), ("ῃ", "ῌ"), ("ῳ", "ῼ"), ("ᾈa", "ᾈa"), ("ǆa", "Ǆa"), ("äb", "Äb"), ("𐐨", "𐐀"), ("", "")],
+)
+def test_first_letter_stays_one_character(spark, raw, want):
+    assert one(spark, text.clean_transcript(F.col("t")), t=F.lit(raw)) == want
+
+
 def test_clean_segment_closes_long_texts_only(spark):
     clean = text.clean_segment(F.col("t"))
     assert one(spark, clean, t="x" * 20) == "x" * 20
