@@ -15,18 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from lyrebird.functions.vector import cosine
 from lyrebird.operators.vector_search import fit_cells, top_k
 
 #: The column and folders of the lists, and the list of rows without direction.
 LIST, NOWHERE = "list", -1
 FEWEST_LISTS = 100
 
+#: Rows and queries of a list that meet in one cell, about; queries and pairs that are scored at once in it; rounding of a block product of unit vectors, at most.
+CELL_ROWS, CELL_QUERIES, BLOCK, PAIRS, SLACK = 4096, 8192, 512, 1 << 16, 1e-9
+
 
 def lists_for(rows: int) -> int:
     """Lists of an index: the floor of the root of the rows, 100 at least."""
@@ -38,7 +41,9 @@ def _direction(vec: Column) -> Column:
     v = vec.cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when((F.size(v) > 0) & whole & (norm > 0) & (norm < float("inf")), F.transform(v, lambda x: x / norm))
+    # inside the lambda the norm is a value; outside it would be added up again for each component
+    units = F.transform(F.array(norm), lambda n: F.when((F.size(v) > 0) & whole & (n > 0) & (n < float("inf")), F.transform(v, lambda x: x / n)))
+    return units[0]
 
 
 def _nearest(centres: np.ndarray, vec: int):
@@ -104,9 +109,62 @@ def search(spark: SparkSession, path: str, query: list[float], k: int, nprobe: i
     return top_k(rows_of(spark, path, probed(spark, path, query, nprobe)), query, k, vec, tie)
 
 
+def _matrix(arrays: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return np.asarray(arrays.combine_chunks().flatten(), np.float64).reshape(rows, -1)
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of columns, added up in the order of components, as ``functions.vector.dot`` does."""
+    out = np.zeros(a.shape[1])
+    for x, y in zip(a, b, strict=True):
+        out += x * y
+    return out
+
+
+def _best_of_cell(k: int):
+    """The k best rows of each query in one cell. Block products only tell which rows may be among them; those are scored again, exactly as ``cosine``
+    scores them. Of rows with one vector, the k first are enough."""
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows.column("id"), null_placement="at_start"))  # a smaller place is a smaller id
+        x, u = _matrix(rows.column("v"), rows.num_rows), _matrix(asked.column("u"), asked.num_rows)
+        _, same = np.unique(x.view(f"V{x.strides[0]}").ravel(), return_inverse=True)
+        by = np.argsort(same, kind="stable")
+        first = np.r_[True, same[by][1:] != same[by][:-1]]
+        nth = np.arange(len(by)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        kept = np.sort(by[nth < k])
+        xt, ut = np.ascontiguousarray(x[kept].T), np.ascontiguousarray(u.T)
+        x_norm, u_norm = np.sqrt(_dots(xt, xt)), np.sqrt(_dots(ut, ut))
+        unit = xt / x_norm
+        out = []
+        for lo in range(0, len(u), BLOCK):
+            near = u[lo : lo + BLOCK] @ unit
+            least = np.partition(near, -k, axis=1)[:, -k] - SLACK if near.shape[1] > k else np.full(len(near), -np.inf)
+            q, r = np.nonzero(near >= least[:, None])
+            q += lo
+            score = np.concatenate([_dots(xt[:, r[i : i + PAIRS]], ut[:, q[i : i + PAIRS]]) for i in range(0, len(q), PAIRS)]) / (x_norm[r] * u_norm[q])
+            best = np.lexsort((r, -score, q))
+            q, r, score = q[best], r[best], score[best]
+            top = np.arange(len(q)) - np.searchsorted(q, q) < k
+            out.append((q[top], kept[r[top]], score[top]))
+        q, r, score = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"q": asked.column("q").take(pa.array(q)), "id": rows.column("id").take(pa.array(r)), "score": score})
+
+    def cell(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        if rows.num_rows and asked.num_rows:
+            return run(rows, asked)
+        return pa.table({"q": asked.column("q").slice(0, 0), "id": rows.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
+
+    return cell
+
+
 def search_many(spark: SparkSession, path: str, queries: DataFrame, k: int, nprobe: int, query_id: str = "query_id", vec: str = "embedding", tie: str = "vec_id") -> DataFrame:
-    """query_id, rank, the tie column and score of many queries at once: queries meet the rows of their probed lists, and no others, by an equi-join on the list."""
-    centres = _read_centres(spark, path)
+    """query_id, rank, the tie column and score of many queries at once: queries meet the rows of their probed lists, and no others.
+
+    A list's rows and the queries that probe it are dealt into shares by hashes of their ids; each pair of shares is a cell, scored as one block product,
+    of which a query's k best go on.
+    """
+    centres, rows = _read_centres(spark, path), spark.read.parquet(f"{path}/rows").select(LIST, tie, vec)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,10 +172,16 @@ def search_many(spark: SparkSession, path: str, queries: DataFrame, k: int, npro
             best = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :nprobe].astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(best), pa.list_(pa.int32()))], ["q", "u", "lists"])
 
-    kind = dict(queries.dtypes)[query_id]
+    kind, tie_kind = dict(queries.dtypes)[query_id], dict(rows.dtypes)[tie]
     units = queries.select(F.col(query_id).alias("q"), _direction(F.col(vec)).alias("u")).filter("u is not null")
     wanted = units.mapInArrow(lists, f"q {kind}, u array<double>, lists array<int>").select("q", "u", F.explode("lists").alias(LIST))
-    pairs = wanted.join(spark.read.parquet(f"{path}/rows").select(LIST, tie, vec), LIST)
-    scored = pairs.select("q", tie, cosine(F.col(vec), F.col("u")).alias("score"))
+    share = lambda most: F.ceil(F.count("*") / most).cast("int")
+    shares = F.broadcast(rows.groupBy(LIST).agg(share(CELL_ROWS).alias("_rs")).join(wanted.groupBy(LIST).agg(share(CELL_QUERIES).alias("_qs")), LIST))
+    one_of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = rows.join(shares, LIST).withColumn("_r", one_of(tie, "_rs")).withColumn("_q", each_of("_qs")).select(LIST, "_r", "_q", F.col(tie).alias("id"), F.col(vec).alias("v"))
+    asked = wanted.join(shares, LIST).withColumn("_q", one_of("q", "_qs")).withColumn("_r", each_of("_rs")).select(LIST, "_r", "_q", "q", "u")
+    cell = [LIST, "_r", "_q"]
+    scored = held.groupBy(cell).cogroup(asked.groupBy(cell)).applyInArrow(_best_of_cell(k), f"q {kind}, id {tie_kind}, score double").withColumnRenamed("id", tie)
     order = Window.partitionBy("q").orderBy(F.desc("score"), tie)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("q").alias(query_id), "rank", tie, "score")

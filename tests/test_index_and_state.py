@@ -2,12 +2,14 @@
 
 import glob
 import os
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lyrebird.functions import vector
 from lyrebird.operators import vector_index
 from lyrebird.operators.vector_search import top_k
 from lyrebird.streaming import stateful
@@ -83,6 +85,34 @@ def test_many_queries_equal_single_ones(spark, index):
         assert len(set(want) & set(got[q].values())) >= 9 and sorted(got[q]) == list(range(1, 11))
 
 
+def test_cells_of_a_list_give_what_its_pairs_give(spark, tmp_path, monkeypatch):
+    """Copies in more rows than a cell holds, ties by id, rows of every length but none: small cells against each pair's cosine."""
+    rng = np.random.default_rng(4)
+    data = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(150)]
+    data += [(200 + i, data[i % 3][1]) for i in range(60)] + [(300 + i, [2 * x for x in data[7][1]]) for i in range(15)] + [(400, None), (401, [0.0] * 8)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3)
+    path = f"{tmp_path}/ivf"
+    n = vector_index.build(df, path, lists=3)
+    queries = df.filter("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    for name, value in (("CELL_ROWS", 20), ("CELL_QUERIES", 7), ("BLOCK", 3), ("PAIRS", 11)):
+        monkeypatch.setattr(vector_index, name, value)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in vector_index.search_many(spark, path, queries, 10, n).collect())
+    pairs = queries.select("query_id", vector_index._direction(F.col("embedding")).alias("u")).filter("u is not null").crossJoin(df.filter("vec_id < 400"))
+    scored = pairs.select("query_id", "vec_id", vector.cosine(F.col("embedding"), F.col("u")).alias("score")).collect()
+    want = {}
+    for r in sorted(scored, key=lambda r: (r.query_id, -r.score, r.vec_id)):
+        want.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == [(q, i + 1, *x) for q in sorted(want) for i, x in enumerate(want[q][:10])]
+
+
+def test_a_direction_adds_up_its_length_once(spark):
+    """A row's work grows with its components, not with their square."""
+    df = spark.range(0, 64, 1, 8).select(F.transform(F.sequence(F.lit(1), F.lit(6000)), lambda i: (i + F.col("id")).cast("float")).alias("v"))
+    began = time.monotonic()
+    unit = df.select(vector_index._direction(F.col("v")).alias("u")).select(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x).alias("n")).collect()
+    assert time.monotonic() - began < 12 and all(abs(r.n - 1) < 1e-9 for r in unit)
+
+
 # --- streams
 
 
