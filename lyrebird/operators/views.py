@@ -102,7 +102,7 @@ def compact(spark: SparkSession, path: str, bytes_each: int = 256 << 20) -> int:
 
     Each group's new file is written beside the table first, moved in, and only then its old files go: a failure in
     between leaves rows twice, never none, and the staging folder names the group. Nobody else may write meanwhile. File names are the
-    driver's, as they are in any scan of the table.
+    driver's, as they are in any scan of the table. A task writes one group: hashes of group numbers would put several into one.
     """
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path
     store = jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -115,7 +115,7 @@ def compact(spark: SparkSession, path: str, bytes_each: int = 256 << 20) -> int:
     stage = f"{path.rstrip('/')}/_compact-{uuid.uuid4().hex}"
     place = spark.createDataFrame([(name, i) for i, (_, names) in enumerate(groups) for name in names], "_file string, _group int")
     rows = spark.read.parquet(*(unquote(name) for _, names in groups for name in names)).withColumn("_file", F.col("_metadata.file_path"))
-    rows.join(broadcast_if_small(place, 1_000_000), "_file").drop("_file").repartition(len(groups), "_group").write.partitionBy("_group").parquet(stage)
+    rows.join(broadcast_if_small(place, 1_000_000), "_file").drop("_file").repartitionById(len(groups), F.col("_group")).write.partitionBy("_group").parquet(stage)
     done = 0
     for i, (folder, names) in enumerate(groups):
         for s in store.listStatus(jvm_path(f"{stage}/_group={i}")):

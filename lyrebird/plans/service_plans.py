@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,9 @@ from lyrebird.operators import cluster, embed, search, store, vector_index, vect
 from lyrebird.plans.registry import query
 from lyrebird.storage import shared_folder
 
+#: Rows that one task sorts into the folders of a stored table, about.
+ROWS_A_FILE_TASK = 2_000_000
+
 
 @query(
     "search_page",
@@ -182,7 +186,10 @@ def stored_children(spark: SparkSession, d: str) -> DataFrame:
 def stored_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Rows and dead rows of each folder of a stored table, from its files, after small files were packed."""
     path = f"{shared_folder(spark)}/sizes-{uuid.uuid4().hex}"
-    table(spark, d, "lineitem").withColumn("parent_bucket", F.col("l_orderkey") % 8).repartition(4).write.partitionBy("parent_bucket").parquet(path)
+    lines = table(spark, d, "lineitem").withColumn("parent_bucket", F.col("l_orderkey") % 8)
+    # dealt by a hash, as rows dealt in turn are sorted first; a task's rows stay as many however large the table is
+    parts = max(4, math.ceil(lines.count() / ROWS_A_FILE_TASK))
+    lines.repartition(parts, "l_orderkey", "l_linenumber").write.partitionBy("parent_bucket").parquet(path)
     views.compact(spark, path, 64 << 20)
     stats = views.file_stats(spark, path, F.col("l_quantity") > 40)
     per = stats.withColumn("parent_bucket", F.regexp_extract("folder", r"parent_bucket=(\d+)$", 1).cast("long")).groupBy("parent_bucket")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lyrebird.operators import store, views
+from lyrebird.plans import service_plans
 from lyrebird.sources import archives, listings
 
 
@@ -120,3 +121,30 @@ def test_one_listing_file_is_read_by_several_tasks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == {f"v{i}": f"Café {i}" for i in [*range(2000), *range(5000, 6000)]}
+
+
+def test_each_packed_group_is_written_by_one_task(spark, tmp_path):
+    """Groups keep apart: the largest task of packing sorts one of them, however many there are."""
+    path = str(tmp_path / "t")
+    for _ in range(3):
+        spark.range(8 * 50).select(F.col("id"), (F.col("id") % 8).alias("k")).coalesce(1).write.mode("append").partitionBy("k").parquet(path)
+    before = set(files(path))
+    assert views.compact(spark, path, 1 << 20) == 8
+    now = files(path)
+    assert len(now) == 8 and not before & set(now)
+    tasks = [os.path.basename(f).split("-")[1] for f in now]
+    assert len(set(tasks)) == 8, "part numbers of the files name their tasks"
+
+
+def test_stored_sizes_deals_a_large_table_to_more_tasks(spark, small, monkeypatch):
+    """Rows of one writing task are bounded: parts grow with the table."""
+    parts, write = [], service_plans.views.compact
+
+    def seen(session, path, *args):
+        parts.append(len({os.path.basename(f).split("-")[1] for f in files(path.removeprefix("file://"))}))
+        return write(session, path, *args)
+
+    monkeypatch.setattr(service_plans.views, "compact", seen)
+    monkeypatch.setattr(service_plans, "ROWS_A_FILE_TASK", 500, raising=False)
+    got = service_plans.stored_sizes(spark, small).agg(F.sum("n_rows")).first()[0]
+    assert got == spark.read.parquet(f"{small}/lineitem.parquet").count() and parts[0] > 4
